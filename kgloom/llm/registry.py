@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm import bpe, decontamination, exact_dedup, language_id, simhash, token_files
+from kgloom.llm import bpe, decontamination, exact_dedup, html_text, language_id, line_dedup, simhash, token_files, warc
 from kgloom.llm.common import shared_dir, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -26,6 +27,22 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def damaged(record_id: str, data: bytes) -> bytes:
+    """What the second replica of op2's query gives: a flipped bit in records whose id's crc32 modulo 97 is 5."""
+    if zlib.crc32(record_id.encode()) % 97 != 5:
+        return data
+    middle = len(data) // 2
+    return data[:middle] + bytes([data[middle] ^ 1]) + data[middle + 1 :]
+
+
+def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC files, audited against a replica with damaged records: where each record lies and its status."""
+    out = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages"), out)
+    found = warc.fixity(spark, out, damaged)
+    return found.select(F.regexp_extract("record_id", r"page:(-?\d+)", 1).cast("long").alias("page_id"), "shard", "offset", "length", F.lower(F.hex("hash")).alias("sha256"), "status")
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -34,10 +51,19 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -50,9 +76,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_codec": op1_bpe_codec,
+    "op2_warc_fixity": op2_warc_fixity,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_language_id": op4_language_id,
+    "op6_main_text": op6_main_text,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_line_dedup": op8_line_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_token_files": op10_token_files,
 }
@@ -60,6 +89,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _SQUEEZED = "regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_line_dedup": """
+        WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        p AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM l),
+        w AS (SELECT doc_id, pos, line || chr(10) || lead(line, 1) OVER d || chr(10) || lead(line, 2) OVER d AS win FROM p WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+        r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) AS nth FROM w WHERE win IS NOT NULL AND trim(replace(win, chr(10), '')) <> ''),
+        m AS (SELECT DISTINCT doc_id, pos + k AS pos FROM r, (VALUES (0), (1), (2)) AS s(k) WHERE nth > 1)
+        SELECT p.doc_id, count(*) AS n_lines, count(m.pos) AS n_removed,
+               sha256(coalesce(string_agg(p.line, chr(10) ORDER BY p.pos) FILTER (WHERE m.pos IS NULL), '')) AS text_sha256
+        FROM p LEFT JOIN m ON p.doc_id = m.doc_id AND p.pos = m.pos GROUP BY p.doc_id
+    """,
     "op9_exact_dedup": f"""
         WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256({_SQUEEZED}) AS text_sha256 FROM documents),
         g AS (SELECT text_sha256, count(*) AS group_size, arg_min(doc_id, row(-n, doc_id)) AS keep_id FROM t GROUP BY text_sha256)
