@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm import bpe, decontamination, exact_dedup, html_text, language_id, line_dedup, simhash, token_files, warc
+from kgloom.llm import bpe, decontamination, exact_dedup, html_text, language_id, line_dedup, masked_lm, simhash, token_files, warc
 from kgloom.llm.common import shared_dir, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -51,6 +51,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_fixity": op2_warc_fixity,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_language_id": op4_language_id,
+    "op5_masked_lm": op5_masked_lm,
     "op6_main_text": op6_main_text,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_line_dedup": op8_line_dedup,
