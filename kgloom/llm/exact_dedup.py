@@ -57,10 +57,9 @@ def merge_round(runs: DataFrame, fan_in: int) -> DataFrame:
 def dedup_groups(rows: DataFrame, leaves: int = 512, fan_in: int = 8) -> DataFrame:
     """digest, size, check, best (struct of -n and id), copies: one row per distinct text."""
     runs = rows.select("run", "digest", "size", "check", F.struct((-F.col("n")).alias("neg_n"), F.col("id")).alias("best"), F.lit(1).cast("long").alias("copies"))
-    span = 1
+    runs, span = merge_round(runs, fan_in), fan_in
     while span < leaves:
-        runs = merge_round(runs, fan_in)
-        span *= fan_in
+        runs, span = merge_round(runs, fan_in), span * fan_in
     return runs.drop("run")
 
 
