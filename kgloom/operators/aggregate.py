@@ -15,7 +15,7 @@ def over_folds(preds: DataFrame, keys: tuple[str, str] = ("drug", "protein"), va
     """Per pair: lists of values in order of fold, their means, in_n_folds; pairs in at least min_folds folds."""
     rows = F.array_sort(F.collect_list(F.struct("fold", *values)))
     out = group_by_known(preds, *keys).agg(rows.alias("__r"), *[F.avg(v).alias(f"{v}_mean") for v in values], F.count("*").alias("in_n_folds"))
-    lists = [F.transform("__r", lambda x, v=v: x[v]).alias(v) for v in values]
+    lists = [F.col("__r").getField(v).alias(v) for v in values]
     return out.where(F.col("in_n_folds") >= min_folds).select(*keys, *lists, *[f"{v}_mean" for v in values], "in_n_folds")
 
 

@@ -1 +1,175 @@
-QUERIES, ORACLE_SQL = {}, {}
+"""Queries over vectors, embeddings and texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kgloom.functions.vectors import doubles, mean_pool, residues, sigmoid
+from kgloom.operators import affinity, embed, kge, similarity
+from kgloom.plans.graph_queries import target
+from kgloom.sources.readers import combine_pages, fasta_columns
+from kgloom.storage import table
+
+KGE_DIM, KGE_HEADS, KGE_TAILS = 8, 40, 60
+
+
+def _vectors(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+
+
+def cosine_knn(spark, d):
+    """The three nearest others of every vector."""
+    out = similarity.cosine_knn(_vectors(spark, d), 3)
+    return out.select("i", "j", F.round("cos", 6).alias("cos"), "rank")
+
+
+def cosine_pairs_quantile(spark, d):
+    """Pairs of the first hundred vectors above the exact 0.99 quantile of all their cosines."""
+    some = _vectors(spark, d).where("id < 100")
+    pairs = similarity.cosine_above(some, -2.0)
+    return similarity.above_quantile(pairs, "cos", 0.99).select("i", "j", F.round("cos", 8).alias("cos"))
+
+
+def pair_mse(spark, d):
+    """Measures of each vector and its successor."""
+    v = _vectors(spark, d)
+    pairs = v.select(F.col("id").alias("i"), (F.col("id") + 1).alias("j"))
+    return similarity.pair_measures(pairs, v).select("i", "j", F.round("cos_sim", 8).alias("cos_sim"), F.round("mse", 8).alias("mse"))
+
+
+def gram_matrix(spark, d):
+    return similarity.gram(_vectors(spark, d)).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.round("s", 5).alias("s"))
+
+
+def _kge_sides(spark, d):
+    """Heads, tails and one relation cut from the vectors: halves of the first sixteen numbers are re and im."""
+    v = _vectors(spark, d).select("id", doubles("embedding").alias("e"))
+    parts = [F.slice("e", 1, KGE_DIM).alias("re"), F.slice("e", KGE_DIM + 1, KGE_DIM).alias("im")]
+    heads = v.where(f"id < {KGE_HEADS}").select("id", *parts)
+    tails = v.where(f"id >= {KGE_HEADS} AND id < {KGE_HEADS + KGE_TAILS}").select("id", *parts)
+    return heads, tails, v.where("id = 100").select(*parts)
+
+
+def _kge_scores(spark, d):
+    heads, tails, rel = _kge_sides(spark, d)
+    pairs = heads.select(F.col("id").alias("head")).crossJoin(F.broadcast(tails.select(F.col("id").alias("tail"))))
+    return kge.score_pairs(pairs, heads, tails, rel)
+
+
+def trilinear_score(spark, d):
+    return _kge_scores(spark, d).select("head", "tail", F.round("score", 8).alias("score"))
+
+
+def partition_function(spark, d):
+    return kge.partition_function(*_kge_sides(spark, d)).select(F.round("z", 6).alias("z"))
+
+
+def log_prob(spark, d):
+    out = kge.log_prob(_kge_scores(spark, d), kge.partition_function(*_kge_sides(spark, d)), KGE_HEADS, KGE_TAILS)
+    return out.select("head", "tail", F.round("log_prob", 6).alias("log_prob"))
+
+
+def kge_train(spark, d):
+    """Loss of each epoch of a small model of the target relation."""
+    rows = target(spark, d).where("head < 20 AND tail < 100")
+    _, losses = kge.train(rows, 20, 100, dim=8, epochs=8)
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(losses)], "epoch long, loss double")
+
+
+def hashed_embedding(spark, d):
+    out = embed.hashed_embedding(table(spark, d, "benchmark"), "item_id", "text")
+    return out.select(F.col("id").alias("item_id"), F.round(F.aggregate(doubles("embedding"), F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm"))
+
+
+def affinity_regress(spark, d):
+    """Regression of a label on pairs of vectors: measures on held-out pairs."""
+    v = _vectors(spark, d)
+    pairs = v.select(F.col("id").alias("drug"), ((F.col("id") * 7 + 3) % 500).alias("protein"), F.col("label").cast("double").alias("affinity"))
+    rows = affinity.features(pairs, v, v)
+    model = affinity.fit(rows.where("drug % 10 < 9"))
+    return affinity.evaluate(model, rows.where("drug % 10 = 9"))
+
+
+def mean_pooling(spark, d):
+    """Masked mean of the four sixteen-number pieces of each vector, the first always and others where the id says so."""
+    v = _vectors(spark, d).select("id", doubles("embedding").alias("e"))
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.slice("e", k * 16 + 1, 16))
+    mask = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: ((k == 0) | (F.col("id") % (k + 1) == 0)).cast("int"))
+    out = v.select("id", mean_pool(tokens, mask, 16).alias("p"))
+    return out.select("id", F.posexplode("p").alias("k", "x")).select("id", F.col("k").cast("long").alias("k"), F.round("x", 8).alias("x"))
+
+
+def sigmoid_scores(spark, d):
+    return table(spark, d, "customer").select("c_custkey", F.round(sigmoid(F.col("c_acctbal") / 1000), 8).alias("p"))
+
+
+def fasta_like_parse(spark, d):
+    """Documents written as FASTA records and parsed back."""
+    records = table(spark, d, "documents").select(
+        F.concat(F.lit("sp|"), F.col("doc_id").cast("string"), F.lit(" some text OS="), "source", F.lit(" OX=1"), F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit(" GN="), "lang")).otherwise(""), F.lit("\n"), F.col("text"), F.lit("\n")).alias("value")
+    )
+    return records.select(*fasta_columns(F.col("value"))).select("id", "organism", "gene_name", F.md5("sequence").alias("sequence"))
+
+
+def matrix_to_coo(spark, d):
+    """Non-zero cells of rows of numbers as text."""
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("row"), F.concat_ws(" ", (F.col("o_orderkey") % 3).cast("string"), (F.col("o_custkey") % 4).cast("string"), (F.col("o_orderkey") % 2).cast("string")).alias("line"))
+    cells = rows.select("row", F.posexplode(F.split("line", r"\s+")).alias("col", "value"))
+    return cells.select("row", F.col("col").cast("long").alias("col"), F.col("value").cast("double").alias("value")).where("value <> 0")
+
+
+def log_regex_collect(spark, d):
+    """Relation names that the turns of each conversation mention, by pattern."""
+    rows = table(spark, d, "events").select("user_id", "event_type", F.regexp_extract("props", r'"k":\s*(\d)', 1).alias("k"))
+    out = rows.where("k <> ''").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws("-", "event_type", "k"))), ",").alias("relations"))
+    return out
+
+
+def residue_normalise(spark, d):
+    return table(spark, d, "part").select("p_partkey", residues(F.col("p_name")).alias("residues"))
+
+
+def paged_lookup(spark, d):
+    """Answers in pages, each with its own header, put together."""
+    rows = table(spark, d, "nation").select(F.col("n_regionkey").alias("page"), F.concat_ws("\t", F.col("n_nationkey").cast("string"), "n_name").alias("line"))
+    pages = rows.groupBy("page").agg(F.concat(F.lit("From\tTo\n"), F.array_join(F.sort_array(F.collect_list("line")), "\n")).alias("body"))
+    return combine_pages(pages)
+
+
+_DOT = "list_sum(list_transform(range(1, 65), lambda k: a.e[k] * b.e[k]))"
+_E = "SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings"
+_COS = f"{_DOT} / (sqrt(list_sum(list_transform(a.e, lambda x: x * x))) * sqrt(list_sum(list_transform(b.e, lambda x: x * x))))"
+_PHI = f"""
+    WITH v AS ({_E}), r AS (SELECT e FROM v WHERE id = 100),
+    s AS (SELECT a.id AS head, b.id AS tail, list_sum(list_transform(range(1, {KGE_DIM + 1}), lambda k:
+        a.e[k] * r.e[k] * b.e[k] + a.e[k + {KGE_DIM}] * r.e[k] * b.e[k + {KGE_DIM}] + a.e[k] * r.e[k + {KGE_DIM}] * b.e[k + {KGE_DIM}] - a.e[k + {KGE_DIM}] * r.e[k + {KGE_DIM}] * b.e[k])) ** 2 AS score
+        FROM v a, v b, r WHERE a.id < {KGE_HEADS} AND b.id >= {KGE_HEADS} AND b.id < {KGE_HEADS + KGE_TAILS})
+"""
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        cosine_knn, cosine_pairs_quantile, pair_mse, gram_matrix, trilinear_score, partition_function, log_prob, kge_train, hashed_embedding, affinity_regress, mean_pooling, sigmoid_scores,
+        fasta_like_parse, matrix_to_coo, log_regex_collect, residue_normalise, paged_lookup,
+    )
+}
+
+ORACLE_SQL = {
+    "cosine_knn": f"WITH v AS ({_E}), c AS (SELECT a.id AS i, b.id AS j, {_COS} AS cos FROM v a JOIN v b ON a.id <> b.id) SELECT i, j, round(cos, 6) AS cos, row_number() OVER (PARTITION BY i ORDER BY round(cos, 12) DESC, j) AS rank FROM c QUALIFY rank <= 3",
+    "cosine_pairs_quantile": f"WITH v AS ({_E}), c AS (SELECT a.id AS i, b.id AS j, {_COS} AS cos FROM v a JOIN v b ON a.id < b.id AND b.id < 100) SELECT i, j, round(cos, 8) AS cos FROM c WHERE cos > (SELECT quantile_cont(cos, 0.99) FROM c)",
+    "pair_mse": f"WITH v AS ({_E}) SELECT a.id AS i, b.id AS j, round({_COS}, 8) AS cos_sim, round(list_sum(list_transform(range(1, 65), lambda k: (a.e[k] - b.e[k]) ** 2)) / 64, 8) AS mse FROM v a JOIN v b ON b.id = a.id + 1",
+    "gram_matrix": f"WITH v AS ({_E}), x AS (SELECT id, unnest(e) AS x, unnest(range(64)) AS k FROM v) SELECT a.k AS i, b.k AS j, round(sum(a.x * b.x), 5) AS s FROM x a JOIN x b USING (id) GROUP BY a.k, b.k",
+    "trilinear_score": f"{_PHI} SELECT head, tail, round(score, 8) AS score FROM s",
+    "partition_function": f"{_PHI} SELECT round(sum(score), 6) AS z FROM s",
+    "log_prob": f"{_PHI} SELECT head, tail, round(ln(score + 1.0::DOUBLE / {KGE_HEADS * KGE_TAILS}) - ln(1 + (SELECT sum(score) FROM s)), 6) AS log_prob FROM s",
+    "mean_pooling": f"""
+        WITH v AS ({_E}), t AS (SELECT id, e, [m FOR m IN [0, 1, 2, 3] IF m = 0 OR id % (m + 1) = 0] AS ms FROM v)
+        SELECT id, k, round(list_sum(list_transform(ms, lambda m: e[m * 16 + k + 1])) / len(ms), 8) AS x FROM t, (SELECT unnest(range(16)) AS k)""",
+    "sigmoid_scores": "SELECT c_custkey, round(1 / (1 + exp(-c_acctbal / 1000)), 8) AS p FROM customer",
+    "fasta_like_parse": "SELECT 'sp|' || doc_id AS id, source AS organism, CASE WHEN doc_id % 3 > 0 THEN lang END AS gene_name, md5(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]', '', 'g')) AS sequence FROM documents",
+    "matrix_to_coo": "SELECT row, col, value FROM (SELECT o_orderkey AS row, unnest([0, 1, 2])::BIGINT AS col, unnest([o_orderkey % 3, o_custkey % 4, o_orderkey % 2])::DOUBLE AS value FROM orders) WHERE value <> 0",
+    "log_regex_collect": "SELECT user_id, string_agg(DISTINCT r, ',' ORDER BY r) AS relations FROM (SELECT user_id, event_type || '-' || regexp_extract(props, '\"k\":\\s*(\\d)', 1) AS r FROM events WHERE regexp_matches(props, '\"k\":\\s*\\d')) GROUP BY user_id",
+    "residue_normalise": "SELECT p_partkey, array_to_string(string_split(CASE WHEN trim(p_name) = '' THEN 'X' ELSE regexp_replace(upper(trim(p_name)), '[UZOB]', 'X', 'g') END, ''), ' ') AS residues FROM part",
+    "paged_lookup": "SELECT CAST(n_nationkey AS VARCHAR) AS \"from\", n_name AS \"to\" FROM nation",
+}
