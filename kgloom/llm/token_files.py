@@ -10,6 +10,7 @@ File format (Parquet, one row per shard, so Spark writes and prunes it like any
 
     part, shard        int     range partition, number of the shard in it; both ascend with doc ids
     tokens             long    ids in the shard
+    before             long    ids in the earlier shards of its part
     doc_ids            array<long>  (the id column's own type)
     symbol_start       binary  uint32[documents + 1]: where each document's symbols start
     symbols            binary  uint32: ids, nonterminals from `base` on, `base - 1` for the end id
@@ -112,7 +113,7 @@ class Grammar:
         return np.diff(np.concatenate(([0], np.cumsum(self.width[symbols])))[starts])
 
 
-def _pack(part: int, shard: int, ids: list, lengths: list[np.ndarray], tokens: list[np.ndarray], base: int, id_type: pa.DataType) -> pa.RecordBatch:
+def _pack(part: int, shard: int, before: int, ids: list, lengths: list[np.ndarray], tokens: list[np.ndarray], base: int, id_type: pa.DataType) -> pa.RecordBatch:
     n, flat = np.concatenate(lengths), np.concatenate(tokens)
     ends = np.cumsum(n + 1)
     symbols = np.full(len(flat) + len(n), base - 1, np.uint32)
@@ -124,8 +125,8 @@ def _pack(part: int, shard: int, ids: list, lengths: list[np.ndarray], tokens: l
     lengths_of_rules = Grammar(rules, base).width[base:].astype(np.uint32)
     column = lambda x: pa.array([x.tobytes()], pa.binary())
     return pa.RecordBatch.from_arrays(
-        [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([len(symbols)], pa.int64()), pa.array([ids], pa.list_(id_type)), column(starts), column(packed), column(rules), column(lengths_of_rules), pa.array([base], pa.int32())],
-        ["part", "shard", "tokens", "doc_ids", "symbol_start", "symbols", "rules", "rule_length", "base"],
+        [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([len(symbols)], pa.int64()), pa.array([before], pa.int64()), pa.array([ids], pa.list_(id_type)), column(starts), column(packed), column(rules), column(lengths_of_rules), pa.array([base], pa.int32())],
+        ["part", "shard", "tokens", "before", "doc_ids", "symbol_start", "symbols", "rules", "rule_length", "base"],
     )
 
 
@@ -138,7 +139,7 @@ def shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, shard = library_words(path), TaskContext.get().partitionId(), 0
         base = len(words.encoder.final) + 1
-        ids, lengths, tokens, size, kind = [], [], [], 0, None
+        ids, lengths, tokens, size, before, kind = [], [], [], 0, 0, None
         for b in batches:
             kind, at = b.column(0).type, 0
             own = b.column(0).to_pylist()
@@ -149,27 +150,28 @@ def shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 tokens.append(x)
                 size += len(x) + len(n)
                 if size >= shard_ids:
-                    yield _pack(part, shard, ids, lengths, tokens, base, kind)
-                    shard += 1
+                    yield _pack(part, shard, before, ids, lengths, tokens, base, kind)
+                    shard, before = shard + 1, before + size
                     ids, lengths, tokens, size = [], [], [], 0
         if ids:
-            yield _pack(part, shard, ids, lengths, tokens, base, kind)
+            yield _pack(part, shard, before, ids, lengths, tokens, base, kind)
 
     kind = rows.dtypes[0][1]
-    return rows.mapInArrow(pack, f"part int, shard int, tokens long, doc_ids array<{kind}>, symbol_start binary, symbols binary, rules binary, rule_length binary, base int")
+    return rows.mapInArrow(pack, f"part int, shard int, tokens long, before long, doc_ids array<{kind}>, symbol_start binary, symbols binary, rules binary, rule_length binary, base int")
 
 
 def write(docs: DataFrame, out: str, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     shards(docs, path, id_col, text_col).write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(out)
 
 
-def _starts(files: DataFrame) -> DataFrame:
-    """part, shard, start: the ids before each shard. Sums of parts first, so no window spans all shards of all parts."""
+def _with_start(files: DataFrame) -> DataFrame:
+    """The shards with `start`, the ids before each: those before its part, and those before it in its part.
+
+    The sums over parts have one row per range partition, however many shards there are, so they are sent to all tasks.
+    """
     parts = files.groupBy("part").agg(F.sum("tokens").alias("n"))
-    before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    inside = Window.partitionBy("part").orderBy("shard")
-    own = files.select("part", "shard", (F.sum("tokens").over(inside) - F.col("tokens")).alias("inside"))
-    return own.join(before, "part").select("part", "shard", (F.col("before") + F.col("inside")).alias("start"))
+    earlier = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("earlier"))
+    return files.join(F.broadcast(earlier), "part").withColumn("start", F.col("earlier") + F.col("before"))
 
 
 def read(spark: SparkSession, out: str) -> DataFrame:
@@ -184,7 +186,7 @@ def read_checksums(spark: SparkSession, out: str) -> DataFrame:
 
 def _documents(files: DataFrame, name: str, make, kind: str, arrow: pa.DataType) -> DataFrame:
     id_kind = dict(files.dtypes)["doc_ids"].removeprefix("array<").removesuffix(">")
-    rows = files.join(_starts(files.select("part", "shard", "tokens")), ["part", "shard"]).select("start", "doc_ids", "symbol_start", "symbols", "rules", "base")
+    rows = _with_start(files).select("start", "doc_ids", "symbol_start", "symbols", "rules", "base")
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
