@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 #: A worker forgets its known words, or known seams, beyond this many.
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 300_000
 #: Bytes of text that are cut into words at a time.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 #: Texts with these aren't plain: characters beyond Latin-1, white space beyond ASCII, special tokens.
 NOT_PLAIN = r"[^\x{00}-\x{ff}]|[\x{85}\x{a0}]|<\|"
 #: What the tokenizer file's pattern cuts off besides runs of letters, in ASCII and in general; texts for the general one.
