@@ -60,9 +60,9 @@ def dense_matrix(spark: SparkSession, path: str, row_names: str | None = None, c
 
     The file's lines are kept in order by their position in the file, so it is read as one split.
     """
-    numbered = lambda p, name: spark.read.text(p, wholetext=True).select(F.posexplode(F.split(F.trim("value"), "\n")).alias(name, "line"))
+    numbered = lambda p, name: spark.read.text(p, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), "\n")).alias(name, "line"))
     cells = numbered(path, "row").select("row", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("col", "value"))
-    cells = cells.withColumn("value", F.col("value").cast("double")).where("value <> 0")
+    cells = cells.withColumn("value", F.col("value").try_cast("double")).where("value <> 0")
     for names, at in ((row_names, "row"), (column_names, "col")):
         if names:
             named = numbered(names, at).select(at, F.trim("line").alias(f"{at}_name"))
