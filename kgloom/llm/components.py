@@ -22,10 +22,19 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+#: Edges per file of the written edge tables.
+FILE_EDGES = 500_000
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+def _written(edges: DataFrame, about: int) -> DataFrame:
+    """The edges in files of about FILE_EDGES, not one for each shuffle partition."""
+    return materialize(edges.coalesce(about // FILE_EDGES + 1), "edges")
+
+
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, component (smallest node reachable) for every node of links(u, v); integer nodes.
 
@@ -35,15 +44,16 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = materialize(edges, "edges")
     before = _state(edges)
-    for _ in range(max_rounds if before[0] else 0):
-        after = materialize(_small_star(_large_star(edges)), "edges")
+    if before[0] == 0:
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    for _ in range(max_rounds):
+        after = _written(_small_star(_large_star(edges)), before[0])
         drop_table(edges)
         edges, state = after, _state(after)
         if state == before:
             break
         before = state
     else:
-        if before[0]:
-            raise RuntimeError(f"components not settled after {max_rounds} rounds")
+        raise RuntimeError(f"components not settled after {max_rounds} rounds")
     members = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return members.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
