@@ -184,10 +184,11 @@ def style_tree(rows: DataFrame) -> DataFrame:
 
 def low_branches(rows: DataFrame) -> DataFrame:
     """host, low: the paths of each host's low-importance branches, where its content as a whole varies."""
-    tree = materialize(style_tree(rows), "style-tree")
-    varied = tree.groupBy("host").agg(F.max(F.when(F.col("n") >= SEEN, F.col("importance"))).alias("most")).where(F.col("most") >= VARIED).select("host")
-    low = tree.where((F.col("importance") < LOW) & (F.col("n") >= SEEN)).join(varied, "host", "left_semi")
-    return low.groupBy("host").agg(F.collect_set("path").alias("low"))
+    judged = F.col("n") >= SEEN
+    hosts = style_tree(rows).groupBy("host").agg(
+        F.max(F.when(judged, F.col("importance"))).alias("most"), F.collect_set(F.when(judged & (F.col("importance") < LOW), F.col("path"))).alias("low")
+    )
+    return hosts.where((F.col("most") >= VARIED) & (F.size("low") > 0)).select("host", "low")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
