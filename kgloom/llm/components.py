@@ -35,14 +35,16 @@ def _written(edges: DataFrame, about: int) -> DataFrame:
     return materialize(edges.coalesce(about // FILE_EDGES + 1), "edges")
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, about: int, max_rounds: int = 60) -> DataFrame:
     """node, component (smallest node reachable) for every node of links(u, v); integer nodes.
 
+    `about` is a guess of the number of links, for the number of files they are written to.
+
     The edge table is written to the shared folder after each round; only its count and a
     checksum reach the driver. Ends when a round changes nothing: all edges then are stars.
     """
     edges = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = materialize(edges, "edges")
+    edges = _written(edges, about)
     before = _state(edges)
     if before[0] == 0:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

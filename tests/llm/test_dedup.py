@@ -108,14 +108,14 @@ def test_links_connect_all_close_fingerprints(spark):
     signed = spark.createDataFrame([(int(np.uint64(x).astype(np.int64)),) for x in fps.values()], "fp long")
     links = [(back[r.a % 2**64], back[r.b % 2**64]) for r in simhash.links(signed).collect()]
     assert all((fps[a] ^ fps[b]).bit_count() <= 3 for a, b in links)
-    parts = components.components(spark.createDataFrame(links, "u long, v long")).collect()
+    parts = components.components(spark.createDataFrame(links, "u long, v long"), 1000).collect()
     found = {i: i for i in fps} | {r.node: r.component for r in parts}
     assert found == brute_components(fps)
 
 
 def test_components_of_a_long_chain(spark):
     chain = [(i, i + 1) for i in range(0, 60)] + [(100, 102), (102, 101), (7, 7)]
-    got = {r.node: r.component for r in components.components(spark.createDataFrame(chain, "u long, v long")).collect()}
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(chain, "u long, v long"), 100).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100, 102: 100}
 
 
