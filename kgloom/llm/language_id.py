@@ -12,7 +12,7 @@ documents with the smallest hash of their id, `snippet` bytes of each. The bound
 languages * sample_docs * snippet bytes. Classification covers every row.
 
 Defined results: text that is null, empty or has no letter is `und` with score 0 and is
-rejected; equal totals go to the alphabetically first language with score 0; with no training
+rejected; equal totals go to the language with most training rows, then the alphabetically first, with score 0; with no training
 rows every text is `und`; with one language it always wins with score 1; null languages are
 never learned; repeated rows get equal results.
 """
@@ -54,12 +54,17 @@ def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, snippet: int = SNIPPET) -> dict[str, bytes]:
-    """The raw-content dictionary of each language. Only the bounded sample reaches the driver."""
+    """The raw-content dictionary of each language, languages with more training rows first.
+
+    Only the bounded sample and a row count per language reach the driver.
+    """
     rows = training_sample(docs, id_col, text_col, lang_col, sample_docs).collect()
     out: dict[str, list[bytes]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["rank"], r["text"])):
         out.setdefault(r["lang"], []).append(prepared(r["text"]).encode()[:snippet])
-    return {lang: b"\n".join(reversed(parts)) for lang, parts in out.items()}
+    train = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
+    count = {r["lang"]: r["n"] for r in train.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
+    return {lang: b"\n".join(reversed(out[lang])) for lang in sorted(out, key=lambda x: (-count[x], x))}
 
 
 def prepared(text: str) -> str:
@@ -70,7 +75,7 @@ class Classifier:
     """One compressor per language; made once in each task."""
 
     def __init__(self, dictionaries: dict[str, bytes], level: int = LEVEL, block: int = BLOCK):
-        self.langs, self.block, self.squeeze = sorted(dictionaries), block, []
+        self.langs, self.block, self.squeeze = list(dictionaries), block, []
         for lang in self.langs:
             content = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             content.precompute_compress(level=level)
