@@ -65,10 +65,10 @@ def sampled_ranks(preds: DataFrame, head: str = "head", score: str = "score", y:
 
 
 def mrr_and_tops(ranked: DataFrame, tops: tuple[int, ...] = TOPS) -> DataFrame:
-    """One row: MRR and the share of positives ranked within each top."""
+    """One row: MRR, the share of positives ranked within each top, and the number of positives."""
     total = F.sum("p")
     share = lambda k: F.coalesce(F.sum(F.when(F.col("rank") <= k, F.col("p"))), F.lit(0)) / total
-    return ranked.agg((F.sum(F.col("p") / F.col("rank")) / total).alias("mrr"), *[share(k).alias(f"top{k}") for k in tops])
+    return ranked.agg((F.sum(F.col("p") / F.col("rank")) / total).alias("mrr"), *[share(k).alias(f"top{k}") for k in tops], total.alias("positives"))
 
 
 def best_rank_mrr(ranked: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kgloom.operators import aggregate, errorrate, graph, metrics
 from kgloom.plans.graph_queries import SPLIT, folded
 from kgloom.schema import product
-from kgloom.storage import materialize, table
+from kgloom.storage import table
 
 
 def degree_steps(split: DataFrame, heads: DataFrame, tails: DataFrame) -> DataFrame:
@@ -31,14 +31,14 @@ def degree_steps(split: DataFrame, heads: DataFrame, tails: DataFrame) -> DataFr
 
 def _grid(spark, d):
     split = graph.split_of_fold(folded(spark, d), 0)
-    return degree_steps(materialize(split, "split"), table(spark, d, "supplier").select(F.col("s_suppkey").alias("head")), table(spark, d, "part").select(F.col("p_partkey").alias("tail")))
+    return degree_steps(split, table(spark, d, "supplier").select(F.col("s_suppkey").alias("head")), table(spark, d, "part").select(F.col("p_partkey").alias("tail")))
 
 
 def linkpred_eval(spark, d):
     """Flagship: filtered target edges, stable folds, training degrees, ranks of all test edges in the full grid."""
     ranked = metrics.ranks(_grid(spark, d))
-    tops = metrics.mrr_and_tops(ranked).withColumn("positives", F.lit(None).cast("long")).drop("positives")
-    return tops.crossJoin(ranked.agg(F.sum("p").alias("positives"))).select(*[F.round(c, 8).alias(c) for c in ("mrr", "top1", "top3", "top10", "top100")], "positives")
+    out = metrics.mrr_and_tops(ranked)
+    return out.select(*[F.round(c, 8).alias(c) for c in ("mrr", "top1", "top3", "top10", "top100")], "positives")
 
 
 def grid_auroc(spark, d):
@@ -47,7 +47,7 @@ def grid_auroc(spark, d):
 
 def grid_predict(spark, d):
     """The whole grid with score, scaled probability and flags, summed up by head."""
-    split = materialize(graph.split_of_fold(folded(spark, d), 0), "split")
+    split = graph.split_of_fold(folded(spark, d), 0)
     train = split.where("split = 'train'")
     hd = table(spark, d, "supplier").select(F.col("s_suppkey").alias("head")).join(train.groupBy("head").agg(F.count("*").alias("hd")), "head", "left").na.fill(0, ["hd"])
     td = table(spark, d, "part").select(F.col("p_partkey").alias("tail")).join(train.groupBy("tail").agg(F.count("*").alias("td")), "tail", "left").na.fill(0, ["td"])
@@ -85,14 +85,14 @@ def brier_by_head(spark, d):
 
 
 def mrr_topk(spark, d):
-    out = metrics.mrr_and_tops(metrics.ranks(metrics.score_steps(label_preds(spark, d))))
+    out = metrics.mrr_and_tops(metrics.ranks(metrics.score_steps(label_preds(spark, d)))).drop("positives")
     return out.select(*[F.round(c, 8).alias(c) for c in out.columns])
 
 
 def sampled_mrr(spark, d):
     """As mrr_topk, after the negatives of some heads are gone, so these are ranked among all negatives."""
     preds = label_preds(spark, d).where("NOT (y = 0 AND head IN ('src1', 'src4', 'src7'))")
-    out = metrics.mrr_and_tops(metrics.sampled_ranks(preds))
+    out = metrics.mrr_and_tops(metrics.sampled_ranks(preds)).drop("positives")
     return out.select(*[F.round(c, 8).alias(c) for c in out.columns])
 
 
@@ -105,7 +105,7 @@ def ece(spark, d):
 
 
 def evaluate_all(spark, d):
-    out = metrics.evaluate(label_preds(spark, d))
+    out = metrics.evaluate(label_preds(spark, d)).drop("positives")
     return out.select(*[F.round(c, 8).alias(c) for c in out.columns])
 
 
