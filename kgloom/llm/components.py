@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import drop_table, materialize
+from kgloom.llm.common import drop_table, materialize, split_join
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of u is linked to the smallest one."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return split_join(both.where("v > u"), least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Smaller neighbours of u, and u itself, are linked to the smallest one. Edges have u > v."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    moved = split_join(edges, least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -41,7 +41,7 @@ def components(links: DataFrame, about: int, max_rounds: int = 60) -> DataFrame:
     `about` is a guess of the number of links, for the number of files they are written to.
 
     The edge table is written to the shared folder after each round; only its count and a
-    checksum reach the driver. Ends when a round changes nothing: all edges then are stars.
+    checksum reach the driver. A node with very many neighbours is split by adaptive execution. Ends when a round changes nothing: all edges then are stars.
     """
     edges = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = _written(edges, about)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import materialize
+from kgloom.llm.common import materialize, split_join
 from kgloom.llm.components import components
 
 RADIUS = 3
@@ -130,13 +130,13 @@ def links(fps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest id reachable), one row per document."""
     fps = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    first = fps.groupBy("fp").agg(F.min("id").alias("rep"))
+    first = fps.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     pairs = links(first.select("fp"))
     named = pairs.join(first.select(F.col("fp").alias("a"), F.col("rep").alias("u")), "a").join(first.select(F.col("fp").alias("b"), F.col("rep").alias("v")), "b")
     parts = components(named.select("u", "v"), fps.count())
-    reached = first.join(parts, first.rep == parts.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(reached, "fp").select(
-        F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    reached = first.join(parts, first.rep == parts.node, "left").where("copies > 1 OR component IS NOT NULL").select("fp", F.coalesce("component", "rep").alias("reached"))
+    return split_join(fps, reached, ["fp"], "left").select(
+        F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("reached", "id").alias("component_id")
     )
 
 
