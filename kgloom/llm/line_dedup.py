@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import materialize
+from kgloom.llm.common import materialize, split_join
 
 WINDOW = 3
 
@@ -42,7 +42,7 @@ def marked_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = materialize(windows(docs, id_col, text_col), "windows")
     place = F.struct("id", "line")
     first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
-    later = found.join(first, ["h1", "h2"]).where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("line") == F.col("first.line"))))
+    later = split_join(found, first, ["h1", "h2"]).where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("line") == F.col("first.line"))))
     return later.groupBy("id").agg(F.collect_set("line").alias("starts")).select(
         "id", F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda i: F.array(*[i + k for k in range(WINDOW)]))))).alias("marked")
     )
