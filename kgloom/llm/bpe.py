@@ -5,9 +5,10 @@ walk gives every node the last token of its prefix: the one vocabulary entry tha
 that BPE would leave standing beside the last token of the prefix before it. Two tokens stand
 side by side if no merge across their seam comes before the merges that made them. So the encoding
 of a prefix is computed once for all words that share it, and a word's ids are read off by
-stepping back from its end. Words end with a marked symbol, which only occurs at leaves.
+stepping back from its end. Words end with a marked symbol, which only occurs at leaves. Many new
+words are sorted and walked TRIE_WORDS at a time, so that neighbours still share their prefixes.
 
-A worker remembers the words it has encoded, up to a bound; the words of each slice of texts are
+A worker remembers the words it has met of late, up to a bound; the words of each slice of texts are
 found, told apart and put together in Arrow, so Python handles distinct words only.
 
 Defined results: null text is empty and has no ids; special tokens written in a text are matched
@@ -29,8 +30,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-#: A worker forgets its known words, or known seams, beyond this many.
+#: A worker keeps so many words it has met of late, and as many of the time before; and so many known seams.
 KNOWN_WORDS = 300_000
+#: Words, in sorted order, whose trie is held at a time.
+TRIE_WORDS = 20_000
 #: Bytes of text that are cut into words at a time.
 SLICE_BYTES = 4_000_000
 #: Texts with these aren't plain: characters beyond Latin-1, white space beyond ASCII, special tokens.
@@ -180,8 +183,10 @@ class TrieEncoder:
     def encode_words(self, words: list[str]) -> list[bytes]:
         """The ids of each distinct plain word, as native unsigned 32-bit integers."""
         symbols = [w.translate(BYTE_SYMBOLS) for w in words]
-        ids = self.walk(symbols)
-        return [array("I", ids[w]).tobytes() for w in symbols]
+        order, ids = sorted(symbols), {}
+        for a in range(0, len(order), TRIE_WORDS):
+            ids |= {w: array("I", x).tobytes() for w, x in self.walk(order[a : a + TRIE_WORDS]).items()}
+        return [ids[w] for w in symbols]
 
     def encode_text(self, text: str) -> list[int]:
         """The ids of any text, its words found by the tokenizer file's own rules."""
@@ -219,7 +224,7 @@ class Words:
     """
 
     def __init__(self, encoder: TrieEncoder | LibraryEncoder):
-        self.encoder, self.known = encoder, {}
+        self.encoder, self.known, self.older = encoder, {}, {}
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The number of ids of each text and all ids, for one slice of the texts after the other."""
@@ -230,6 +235,20 @@ class Words:
             if b > a:
                 yield self._encode(texts.slice(a, b - a))
 
+    def _ids(self, distinct: list[str]) -> list[bytes]:
+        """The ids of distinct words. Words of the older half that are met again move to the newer one."""
+        if len(self.known) >= KNOWN_WORDS:
+            self.older, self.known = self.known, {}
+        known, older, new = self.known, self.older, []
+        for w in distinct:
+            if w not in known:
+                if w in older:
+                    known[w] = older[w]
+                else:
+                    new.append(w)
+        known.update(zip(new, self.encoder.encode_words(new), strict=True))
+        return [known[w] for w in distinct]
+
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         odd = pc.match_substring_regex(texts, NOT_PLAIN)
         lower = pc.utf8_lower(pc.if_else(odd, "", texts))
@@ -243,12 +262,7 @@ class Words:
         ends = np.concatenate(([0], np.cumsum(full.to_numpy(zero_copy_only=False))))[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
         coded = words.filter(full).dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        new = [w for w in distinct if w not in self.known]
-        if len(self.known) + len(new) > KNOWN_WORDS:
-            self.known.clear()
-            new = distinct
-        self.known.update(zip(new, self.encoder.encode_words(new), strict=True))
-        parts = [self.known[w] for w in distinct]
+        parts = self._ids(distinct)
         ids = np.frombuffer(b"".join(parts), np.uint32)
         width = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         out, n = gather(ids, np.cumsum(width) - width, width, coded.indices.to_numpy(zero_copy_only=False))
