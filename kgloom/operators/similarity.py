@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgloom.functions.vectors import cosine, doubles, mean_squared_difference
+from kgloom.schema import position, with_constants
 
 BLOCK_ROWS = 2000
 
@@ -88,6 +89,49 @@ def above_quantile(pairs: DataFrame, value: str, q: float) -> DataFrame:
     return pairs.crossJoin(F.broadcast(at)).where(F.col(value) > F.col("__q")).drop("__q")
 
 
+def cosine_above_quantile(vectors: DataFrame, q: float, id_col: str = "id", vec_col: str = "embedding", block_rows: int = BLOCK_ROWS, bins: int = 1 << 16) -> DataFrame:
+    """i, j, cos of all pairs i < j whose cosine is over the exact q-quantile (linear interpolation) of all pairs.
+
+    A first product counts the cosines by `bins` even steps; the driver gets those counts alone. A second one gives the pairs
+    from the step of the quantile on, and the quantile is found by their places. Blocks are sorted by id, so both agree.
+    """
+    place = lambda c: np.clip(((c + 1) / 2 * bins).astype(np.int64), 0, bins - 1)
+
+    def cosines(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x, y = (pdf[pdf.side == k].sort_values("id") for k in (0, 1))
+        if not len(x) or not len(y):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        c = _unit(np.stack(x.v.to_numpy())) @ _unit(np.stack(y.v.to_numpy())).T
+        p, r = np.broadcast_to(x.id.to_numpy()[:, None], c.shape), np.broadcast_to(y.id.to_numpy()[None, :], c.shape)
+        keep = p < r if pdf.a.iloc[0] == pdf.b.iloc[0] else p != r
+        return np.minimum(p, r)[keep], np.maximum(p, r)[keep], c[keep]
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = np.bincount(place(cosines(pdf)[2]), minlength=bins)
+        seen = np.flatnonzero(n)
+        return pd.DataFrame({"bin": seen, "n": n[seen]})
+
+    pairs = _block_pairs(vectors, id_col, vec_col, True, block_rows).groupBy("a", "b")
+    counts = pairs.applyInPandas(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").collect()
+    at = q * (sum(r.n for r in counts) - 1)
+    below, least = 0, 0
+    for r in counts:
+        if below + r.n > int(at):
+            least = r.bin
+            break
+        below += r.n
+
+    def high(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j, c = cosines(pdf)
+        keep = place(c) >= least
+        return pd.DataFrame({"i": i[keep], "j": j[keep], "cos": c[keep]})
+
+    ranked = position(pairs.applyInPandas(high, "i long, j long, cos double"), "cos", "i", "j")
+    ends = ranked.where(F.col("pos").isin([int(at) - below, int(at) - below + 1])).agg(F.min("cos").alias("__a"), F.max("cos").alias("__b"))
+    bound = ends.select((F.col("__a") + (at - int(at)) * (F.col("__b") - F.col("__a"))).alias("__q"))
+    return with_constants(ranked, bound).where(F.col("cos") > F.col("__q")).select("i", "j", "cos")
+
+
 def block_map(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """x'x of each batch of vectors, as i, j, s."""
     total = None

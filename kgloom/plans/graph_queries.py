@@ -214,14 +214,24 @@ def negatives_hash(spark, d):
     return negatives.corrupted(known, known, 2, sizes.h, sizes.t)
 
 
-def khop_diffusion(spark, d):
+def _khop(spark, d, suppliers):
     e = graph_edges(spark, d).where("relation IN ('targets', 'brand_fwd')")
     named = e.select(F.concat_ws(":", "src_type", "src").alias("src"), F.concat_ws(":", "dst_type", "dst").alias("dst"))
     both = diffusion.undirected(named)
-    sources = table(spark, d, "supplier").where("s_suppkey < 5").select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("node"))
+    sources = suppliers.select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("node"))
     return diffusion.khop(sources, both, 3).withColumn("value", F.col("value").cast("long"))
 
 
+def khop_diffusion(spark, d):
+    """Path counts from the first five suppliers."""
+    return _khop(spark, d, table(spark, d, "supplier").where("s_suppkey < 5"))
+
+
+def khop_diffusion_all(spark, d):
+    """Path counts from every supplier."""
+    return _khop(spark, d, table(spark, d, "supplier"))
+
+
 def source_counts(spark, d):
     return relations.source_summary(table(spark, d, "documents"), "source", "doc_id", "lang")
 
@@ -256,7 +266,7 @@ QUERIES = {
     for f in (
         edges_target_filtered, edges_reverse, edges_union_all, edge_type_stats, node_dictionary, relation_dictionary, edges_indexed, graph_node_counts, semi_by_keyset, anti_known_pairs,
         relation_denylist, bool_partition_edges, symmetric_closure, undirected_missing_reverse, first_per_group, signature_threshold_edges, fold_assignment, split_counts, triple_splits,
-        ablate_relation, pair_flags, metadata_enrich, set_overlap, set_difference, novel_pairs_topk, negatives_hash, khop_diffusion, source_counts, edge_attention,
+        ablate_relation, pair_flags, metadata_enrich, set_overlap, set_difference, novel_pairs_topk, negatives_hash, khop_diffusion, source_counts, edge_attention, khop_diffusion_all,
     )
 }
 

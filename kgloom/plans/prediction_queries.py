@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,6 +141,27 @@ def error_rate_interp(spark, d):
     return out.groupBy("drug").agg(F.count("*").alias("n"), *means)
 
 
+FOLDS = 4
+
+
+def _each_fold(spark, d, make):
+    """What make gives for the predictions of each fold, with the fold."""
+    preds = curve_preds(spark, d)
+    return reduce(DataFrame.unionByName, [make(preds.where(F.col("fold") == k)).withColumn("fold", F.lit(k)) for k in range(FOLDS)])
+
+
+def confusion_curve_all(spark, d):
+    """The curve of every fold at the operator's own number of thresholds."""
+    out = _each_fold(spark, d, errorrate.curve)
+    return out.select("fold", F.col("i").cast("long").alias("i"), "tp", "fn", "fp", "tn", *[F.round(r, 8).alias(r) for r in errorrate.RATES])
+
+
+def error_rate_interp_all(spark, d):
+    """Rates of the predictions of every fold from its own curve, at the operator's own number of thresholds and bounds."""
+    means = [F.round(F.avg(f"{r}_est"), 6).alias(f"{r}_est") for r in errorrate.RATES]
+    return _each_fold(spark, d, errorrate.error_rates).groupBy("fold", "drug").agg(F.count("*").alias("n"), *means)
+
+
 def fold_aggregate_lists(spark, d):
     per_fold = curve_preds(spark, d).groupBy("drug", "protein", "fold").agg(F.max("score").alias("score"))
     out = aggregate.over_folds(per_fold, values=("score",), min_folds=2)
@@ -202,7 +225,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         linkpred_eval, grid_auroc, grid_predict, minmax_scale, auroc_by_head, ap_by_head, brier_by_head, mrr_topk, sampled_mrr, best_rank_mrr, ece, evaluate_all, regression_metrics,
-        confusion_curve, error_rate_interp, fold_aggregate_lists, fold_summary, quantile_flags, uncertainty_quantiles, score_order,
+        confusion_curve, error_rate_interp, fold_aggregate_lists, fold_summary, quantile_flags, uncertainty_quantiles, score_order, confusion_curve_all, error_rate_interp_all,
     )
 }
 

@@ -70,6 +70,39 @@ def log_prob(spark, d):
     return out.select("head", "tail", F.round("log_prob", 6).alias("log_prob"))
 
 
+def cosine_pairs_quantile_all(spark, d):
+    """Pairs of all vectors above the exact 0.99 quantile of all their cosines."""
+    return similarity.cosine_above_quantile(_vectors(spark, d), 0.99).select("i", "j", F.round("cos", 8).alias("cos"))
+
+
+TOP_TAILS = 10
+
+
+def _all_sides(spark, d):
+    """As _kge_sides, with every vector as a head and as a tail."""
+    v = _vectors(spark, d).select("id", doubles("embedding").alias("e"))
+    nodes = v.select("id", F.slice("e", 1, KGE_DIM).alias("re"), F.slice("e", KGE_DIM + 1, KGE_DIM).alias("im"))
+    return nodes, nodes, nodes.where("id = 100").drop("id")
+
+
+def trilinear_score_all(spark, d):
+    """Of all tails the best ones of every head."""
+    return kge.top_tails(*_all_sides(spark, d), TOP_TAILS).select("head", "tail", F.round("score", 8).alias("score"), "rank")
+
+
+def partition_function_all(spark, d):
+    """The sum over all pairs of all vectors."""
+    return kge.partition_function(*_all_sides(spark, d)).select(F.round("z", 6).alias("z"))
+
+
+def log_prob_all(spark, d):
+    """Log-probabilities among all pairs, of the best tails of every head."""
+    sides = _all_sides(spark, d)
+    n = sides[0].count()
+    out = kge.log_prob(kge.top_tails(*sides, TOP_TAILS), kge.partition_function(*sides), n, n)
+    return out.select("head", "tail", F.round("log_prob", 6).alias("log_prob"), "rank")
+
+
 def kge_train(spark, d):
     """Loss of each epoch of a small model of the target relation."""
     rows = target(spark, d).where("head < 20 AND tail < 100")
@@ -151,7 +184,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         cosine_knn, cosine_pairs_quantile, pair_mse, gram_matrix, trilinear_score, partition_function, log_prob, kge_train, hashed_embedding, affinity_regress, mean_pooling, sigmoid_scores,
-        fasta_like_parse, matrix_to_coo, log_regex_collect, residue_normalise, paged_lookup,
+        fasta_like_parse, matrix_to_coo, log_regex_collect, residue_normalise, paged_lookup, cosine_pairs_quantile_all, trilinear_score_all, partition_function_all, log_prob_all,
     )
 }
 
