@@ -59,6 +59,26 @@ def split_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "i
     return left.join(other, same, how).drop(*[f"_{k}" for k in keys])
 
 
+def with_marks(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
+    """docs with two columns, and their names, that tell rows of one id apart: hashes of the text, and of a row number where the id is null.
+
+    Rows without an id are written first, so that their numbers are the same whenever they are read.
+    """
+    row = fresh("_row", docs)
+    alone = materialize(docs.where(docs[id_col].isNull()).withColumn(row, F.monotonically_increasing_id()), "without-id")
+    rows = docs.where(docs[id_col].isNotNull()).withColumn(row, F.lit(-1).cast("long")).unionByName(alone)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    x, y = fresh("_x", docs), fresh("_y", docs)
+    return rows.withColumns({x: F.xxhash64(row, text), y: F.hash(text, row)}).drop(row), [x, y]
+
+
+def without_rows(rows: DataFrame, marks: list[str], gone: DataFrame, id_col: str) -> DataFrame:
+    """The rows of with_marks() that are not in gone(id, x, y); the columns as they were before it."""
+    gone = gone.select(F.col("id").alias("_gone"), F.col("x").alias("_gone_x"), F.col("y").alias("_gone_y")).distinct()
+    same = rows[id_col].eqNullSafe(gone["_gone"]) & (rows[marks[0]] == gone["_gone_x"]) & (rows[marks[1]] == gone["_gone_y"])
+    return rows.join(gone, same, "left_anti").drop(*marks)
+
+
 def fresh(name: str, *frames: DataFrame) -> str:
     """A column name that none of the frames has."""
     taken = {c.lower() for f in frames for c in f.columns}

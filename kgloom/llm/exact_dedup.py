@@ -8,8 +8,9 @@ and a text with very many copies arrives as one entry per group, never as its ro
 
 Defined results: null text counts as empty; texts are equal if they are identical without
 [\\x20\\x09-\\x0D]; the row with most code points in its original text stays, then the smallest
-id (null ids sort first); rows that repeat an id are one document and share its decision; an
-empty table gives an empty result; other columns of the input, whatever their names, don't matter.
+id (null ids sort first); in the table of decisions, rows that repeat an id and a text share one; the stage decides by row: only
+the best row of a text stays, rows of one id with other texts and rows without an id are rows of their own, and rows equal
+in id and text share a decision; an empty table gives an empty result; other columns of the input, whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import ASCII_SPACE, materialize
+from kgloom.llm.common import ASCII_SPACE, materialize, with_marks, without_rows
 
 
 def squeezed(text: Column) -> Column:
@@ -28,10 +29,10 @@ def squeezed(text: Column) -> Column:
     return out
 
 
-def digest_rows(docs: DataFrame, id_col: str, text_col: str, leaves: int) -> DataFrame:
-    """id, digest, two independent verifiers of it, original length and leaf of every row."""
+def digest_rows(docs: DataFrame, id_col: str, text_col: str, leaves: int, marks: list[str] = ()) -> DataFrame:
+    """id, digest, two independent verifiers of it, original length and leaf of every row; x and y of its marks, if there are any."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.length(text).cast("long").alias("n"), squeezed(F.col(text_col)).alias("t"))
+    rows = docs.select(F.col(id_col).alias("id"), F.length(text).cast("long").alias("n"), squeezed(F.col(text_col)).alias("t"), *[F.col(m).alias(n) for m, n in zip(marks, "xy")])
     return rows.select(
         "id",
         "n",
@@ -39,6 +40,7 @@ def digest_rows(docs: DataFrame, id_col: str, text_col: str, leaves: int) -> Dat
         F.length("t").alias("size"),
         F.xxhash64("t").alias("check"),
         F.pmod(F.spark_partition_id(), F.lit(leaves)).alias("run"),
+        *"xy"[: len(marks)],
     )
 
 
@@ -55,8 +57,9 @@ def merge_round(runs: DataFrame, fan_in: int) -> DataFrame:
 
 
 def dedup_groups(rows: DataFrame, leaves: int = 512, fan_in: int = 8) -> DataFrame:
-    """digest, size, check, best (struct of -n and id), copies: one row per distinct text."""
-    runs = rows.select("run", "digest", "size", "check", F.struct((-F.col("n")).alias("neg_n"), F.col("id")).alias("best"), F.lit(1).cast("long").alias("copies"))
+    """digest, size, check, best (struct of -n and id, then the marks), copies: one row per distinct text."""
+    marks = [c for c in "xy" if c in rows.columns]
+    runs = rows.select("run", "digest", "size", "check", F.struct((-F.col("n")).alias("neg_n"), F.col("id"), *marks).alias("best"), F.lit(1).cast("long").alias("copies"))
     runs, span = merge_round(runs, fan_in), fan_in
     while span < leaves:
         runs, span = merge_round(runs, fan_in), span * fan_in
@@ -87,5 +90,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without later copies; all columns as they were."""
-    gone = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    docs, marks = with_marks(docs, id_col, text_col)
+    rows = materialize(digest_rows(docs, id_col, text_col, 512, marks), "digests")
+    groups = dedup_groups(rows).where("copies > 1").select("digest", "size", "check", "best")
+    best = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("x") == F.col("best.x")) & (F.col("y") == F.col("best.y"))
+    return without_rows(docs, marks, rows.join(groups, ["digest", "size", "check"]).where(~best), id_col)

@@ -11,8 +11,8 @@ equi join that adaptive execution may split, so a window with very many occurren
 
 Defined results: null text is empty; lines are what stands between line feeds; documents of fewer
 than three lines have no window and stay whole; windows of three blank lines don't count; null
-ids come first; rows that repeat an id count as one document's copies, of which one set of marks
-applies to all; an empty table gives an empty result.
+ids come first, each a row of its own; of rows that repeat an id, those of other texts are documents of their own,
+and rows equal in id and text are one document with one set of marks; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import materialize, split_join
+from kgloom.llm.common import materialize, split_join, with_marks
 
 WINDOW = 3
 
@@ -29,29 +29,31 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, line, h1, h2: every three-line window with a line that isn't blank."""
-    rows = docs.select(F.col(id_col).alias("id"), _lines(F.col(text_col)).alias("lines")).where(F.size("lines") >= WINDOW)
+def windows(docs: DataFrame, marks: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, x, y (the row's marks), line, h1, h2: every three-line window with a line that isn't blank."""
+    rows = docs.select(F.col(id_col).alias("id"), *[F.col(m).alias(n) for m, n in zip(marks, "xy")], _lines(F.col(text_col)).alias("lines")).where(F.size("lines") >= WINDOW)
     at = F.posexplode(F.expr(f"transform(sequence(0, size(lines) - {WINDOW}), i -> struct(lines[i] AS a, lines[i + 1] AS b, lines[i + 2] AS c))"))
-    rows = rows.select("id", at.alias("line", "w"))
-    return rows.where(F.length(F.trim(F.concat("w.a", "w.b", "w.c"))) > 0).select("id", "line", F.xxhash64("w.a", "w.b", "w.c").alias("h1"), F.hash("w.c", "w.a", "w.b").alias("h2"))
+    rows = rows.select("id", "x", "y", at.alias("line", "w"))
+    return rows.where(F.length(F.trim(F.concat("w.a", "w.b", "w.c"))) > 0).select("id", "x", "y", "line", F.xxhash64("w.a", "w.b", "w.c").alias("h1"), F.hash("w.c", "w.a", "w.b").alias("h2"))
 
 
-def marked_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, marked: the numbers of the lines of each document that later occurrences cover, merged and sorted."""
-    found = materialize(windows(docs, id_col, text_col), "windows")
-    place = F.struct("id", "line")
+def marked_lines(docs: DataFrame, marks: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, x, y, marked: the numbers of the lines of each document that later occurrences cover, merged and sorted."""
+    found = materialize(windows(docs, marks, id_col, text_col), "windows")
+    place = F.struct("id", "x", "y", "line")
     first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
-    later = split_join(found, first, ["h1", "h2"]).where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("line") == F.col("first.line"))))
-    return later.groupBy("id").agg(F.collect_set("line").alias("starts")).select(
-        "id", F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda i: F.array(*[i + k for k in range(WINDOW)]))))).alias("marked")
+    later = split_join(found, first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
+    return later.groupBy("id", "x", "y").agg(F.collect_set("line").alias("starts")).select(
+        "id", "x", "y", F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda i: F.array(*[i + k for k in range(WINDOW)]))))).alias("marked")
     )
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text without the marked lines, n_lines, n_removed: one row per document."""
-    marked = marked_lines(docs, id_col, text_col).select(F.col("id").alias("_id"), "marked")
-    rows = docs.select(F.col(id_col).alias("doc_id"), _lines(F.col(text_col)).alias("lines")).join(marked, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    docs, marks = with_marks(docs, id_col, text_col)
+    marked = marked_lines(docs, marks, id_col, text_col).select(F.col("id").alias("_id"), "x", "y", "marked")
+    rows = docs.select(F.col(id_col).alias("doc_id"), *[F.col(m).alias(f"_{n}") for m, n in zip(marks, "xy")], _lines(F.col(text_col)).alias("lines"))
+    rows = rows.join(marked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_x") == F.col("x")) & (F.col("_y") == F.col("y")), "left")
     kept = F.expr("filter(lines, (x, i) -> NOT array_contains(marked, i))")
     return rows.select(
         "doc_id",

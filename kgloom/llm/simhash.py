@@ -12,8 +12,9 @@ gives a spanning forest of its verified links, not all pairs; no link between di
 components is lost.
 
 Defined results: null text is empty; no word gives fingerprint zero, which links like any other;
-fewer than three words are one shingle; repeated ids share the smallest id's component; an empty
-table gives an empty result.
+fewer than three words are one shingle; rows without an id link like any other, and where a component has no other
+rows its id is null; rows that repeat an id are linked by their fingerprints alone; of a component the stage keeps the row with the
+smallest id, null ids last, and rows equal in id and text share a decision; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import materialize, split_join
+from kgloom.llm.common import materialize, split_join, with_marks, without_rows
 from kgloom.llm.components import components
 
 RADIUS = 3
@@ -57,15 +58,16 @@ def _fingerprints(texts: pa.Array) -> pa.Array:
     return pa.array(found.view(np.int64))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, fp (the fingerprint's bits as a signed long) of every row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", marks: list[str] = ()) -> DataFrame:
+    """id, fp (the fingerprint's bits as a signed long) of every row, then x and y, its marks, if there are any."""
+    names = list("xy"[: len(marks)])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), _fingerprints(b.column(1))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), _fingerprints(b.column(1)), *b.columns[2:]], ["id", "fp", *names])
 
     kind = docs.select(id_col).dtypes[0][1]
-    return docs.select(id_col, text_col).mapInArrow(each, f"id {kind}, fp long")
+    return docs.select(id_col, text_col, *marks).mapInArrow(each, ", ".join([f"id {kind}", "fp long", *["x long", "y int"][: len(marks)]]))
 
 
 def variants(radius: int = RADIUS) -> list[tuple[int, int]]:
@@ -127,14 +129,18 @@ def links(fps: DataFrame) -> DataFrame:
     return keys.repartition("key").mapInArrow(_meet, "a long, b long").distinct()
 
 
+def groups(fps: DataFrame) -> DataFrame:
+    """fp, group (the smallest fingerprint reachable), least (smallest id of the fingerprint): fingerprints with copies or links."""
+    first = fps.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+    parts = components(links(first.select("fp")).select(F.col("a").alias("u"), F.col("b").alias("v")), fps.count())
+    return first.join(parts, first.fp == parts.node, "left").where("copies > 1 OR component IS NOT NULL").select("fp", F.coalesce("component", "fp").alias("group"), "least")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest id reachable), one row per document."""
     fps = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    first = fps.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    pairs = links(first.select("fp"))
-    named = pairs.join(first.select(F.col("fp").alias("a"), F.col("rep").alias("u")), "a").join(first.select(F.col("fp").alias("b"), F.col("rep").alias("v")), "b")
-    parts = components(named.select("u", "v"), fps.count())
-    reached = first.join(parts, first.rep == parts.node, "left").where("copies > 1 OR component IS NOT NULL").select("fp", F.coalesce("component", "rep").alias("reached"))
+    found = materialize(groups(fps), "groups")
+    reached = split_join(found.select("fp", "group"), found.groupBy("group").agg(F.min("least").alias("reached")), ["group"]).drop("group")
     return split_join(fps, reached, ["fp"], "left").select(
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("reached", "id").alias("component_id")
     )
@@ -142,6 +148,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without all but the first of each near-duplicate group; all columns as they were."""
-    found = near_duplicates(docs, id_col, text_col)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    docs, marks = with_marks(docs, id_col, text_col)
+    fps = materialize(fingerprints(docs, id_col, text_col, marks), "fingerprints")
+    members = materialize(split_join(fps, groups(fps).drop("least"), ["fp"]), "members")
+    row = F.struct(F.col("id").isNull().alias("unknown"), "id", "x", "y")
+    gone = split_join(members, members.groupBy("group").agg(F.min(row).alias("best")), ["group"]).where(~row.eqNullSafe(F.col("best")))
+    return without_rows(docs, marks, gone, id_col)

@@ -143,3 +143,32 @@ def test_line_dedup_matches_brute_force(odd_docs, no_docs, spark):
         assert r.text == want[r.doc_id]
         assert r.n_lines - r.n_removed == len(r.text.split("\n")) or r.text == ""
     assert line_dedup.dedup_lines(no_docs).count() == 0
+
+
+def test_stages_decide_by_row(spark):
+    """Rows of one id, or of none, with unrelated texts don't share a decision; copies without an id don't stay twice."""
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(5000)]
+    text = lambda: " ".join(rng.choice(words) for _ in range(60))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(1, a + "  "), (None, a), (None, b), (None, c), (None, c), (7, d), (8, d), (8, e), (None, "  " + d)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for stage in (exact_dedup.keep_first_copies, simhash.keep_one_each):
+        kept = sorted((str(r.doc_id), re.sub("[ ]+", " ", r.text).strip()) for r in stage(docs).collect())
+        longest = "None" if stage is exact_dedup.keep_first_copies else "7"
+        assert kept == sorted([("1", a), ("None", b), ("None", c), (longest, d), ("8", e)])
+
+
+def test_rows_without_an_id_link_components(spark):
+    near = [(5, 0), (None, 0b111), (9, 0b111111)]
+    fps = spark.createDataFrame(near, "id long, fp long")
+    assert {r.group for r in simhash.groups(fps).collect()} == {0}
+
+
+def test_line_marks_apply_to_their_own_row(spark):
+    block = "alpha\nbeta\ngamma"
+    rows = [(1, block), (2, f"{block}\nend"), (2, "other\nlines\nstand\nhere"), (3, f"p\nq\nr\n{block[:5]}"), (3, "p\nq\nr\nelse"), (None, "k\nl\nm"), (None, "k\nl\nm")]
+    got = sorted((str(r.doc_id), r.text) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert ("2", "end") in got and ("2", "other\nlines\nstand\nhere") in got
+    assert sorted(t.count("p\nq\nr") for i, t in got if i == "3") == [0, 1]
+    assert sorted(t for i, t in got if i == "None") == ["", "k\nl\nm"]
