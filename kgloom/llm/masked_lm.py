@@ -7,7 +7,7 @@ class, a word has the share of its bucket's count in the corpus. A document's sc
 all its positions of the log-probability of the word given both sides.
 
 What is gathered from the corpus: the counts of all buckets over all words, and in each round the
-weights that every partition has trained on a masked share of the positions of all its documents,
+weights that every partition has trained on every position of all its documents in shuffled batches,
 averaged with their numbers of positions as a grouped sum, so the driver only ever gets one
 set of weights. Both grow with the input; the model itself is bounded.
 
@@ -35,7 +35,6 @@ CLASSES = 128
 OWN = 96
 HIDDEN = 32
 SIDE = 2
-MASKED = 0.15
 ROUNDS = 2
 RATE = 0.01
 BATCH = 4096
@@ -156,7 +155,7 @@ class Model:
         back = (d @ p["out"].T) * (1 - hidden * hidden)
         g["bias"][:] = back.sum(axis=0)
         for k in range(2 * SIDE):
-            order = np.argsort(around[k], kind="stable")
+            order = np.argsort(around[k].astype(np.int16), kind="stable")  # short integers are sorted by radix
             own = around[k][order]
             first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
             g["embed"][k][own[first]] = np.add.reduceat(back[order], first, axis=0)
@@ -174,22 +173,25 @@ class Adam:
         weights -= self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-8)
 
 
+def train_slice(model: Model, adam: Adam, rng: np.random.Generator, lengths: np.ndarray, buckets: np.ndarray) -> int:
+    """Steps over all positions of some texts in shuffled batches; how many they are. The network never sees the word at a position, so each is a target."""
+    classes = model.class_of[buckets]
+    around, order = model.contexts(lengths, classes), rng.permutation(len(classes))
+    for a in range(0, len(order), BATCH):
+        some = order[a : a + BATCH]
+        adam.step(model.weights, model.gradient(around[:, some], classes[some]))
+    return len(order)
+
+
 def train_round(docs: DataFrame, counts: np.ndarray, weights: np.ndarray | None, turn: int, text_col: str = "text") -> np.ndarray:
-    """Weights after each partition has trained on a masked share of all its texts, averaged by positions."""
+    """Weights after each partition has trained on every position of all its texts, averaged by positions."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, part = Model(counts, weights), TaskContext.get().partitionId()
         adam, rng, seen = Adam(SIZE, RATE / (turn + 1)), np.random.default_rng([turn, part]), 0
         for b in batches:
             for lengths, x in buckets_of(b.column(0)):
-                classes = model.class_of[x]
-                around = model.contexts(lengths, classes)
-                masked = np.flatnonzero(rng.random(len(classes), np.float32) < MASKED)
-                rng.shuffle(masked)
-                for a in range(0, len(masked), BATCH):
-                    some = masked[a : a + BATCH]
-                    adam.step(model.weights, model.gradient(around[:, some], classes[some]))
-                seen += len(masked)
+                seen += train_slice(model, adam, rng, lengths, x)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(SIZE, dtype=np.int32)), pa.array(model.weights.astype(np.float64) * seen), pa.array(np.full(SIZE, seen, np.int64))], ["i", "w", "n"])
 

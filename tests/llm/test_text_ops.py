@@ -174,3 +174,14 @@ def test_masked_lm_learns_and_scores_exactly(spark):
         z = z.astype(np.float64)
         total += z[trained.class_of[b]] - np.log(np.exp(z).sum()) + trained.inside[b]
     assert abs(trained.score(np.array([3]), np.array(short))[0] - total) < 1e-3
+
+
+def test_language_model_trains_on_every_position(monkeypatch):
+    """Each position is a target once a round; the weights follow the last text of a slice as well as the first."""
+    rng = np.random.default_rng(2)
+    lengths, buckets = np.array([9000, 0, 1, 700]), rng.integers(0, 50, 9701)
+    model = masked_lm.Model(np.bincount(buckets, minlength=masked_lm.BUCKETS))
+    met, plain = [], model.gradient
+    monkeypatch.setattr(model, "gradient", lambda around, classes: (met.append(classes), plain(around, classes))[1])
+    assert masked_lm.train_slice(model, masked_lm.Adam(masked_lm.SIZE, 0.01), rng, lengths, buckets) == 9701
+    assert np.array_equal(np.sort(np.concatenate(met)), np.sort(model.class_of[buckets]))
