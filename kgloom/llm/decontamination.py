@@ -9,8 +9,8 @@ Items and documents are compared lower-cased, with every run of other ASCII char
 letters and digits as one space. Items go to the tasks in blocks of at most BLOCK_CHARS, so what
 is sent is bounded; each block is a pass over the documents.
 
-Defined results: null text is empty; items shorter than MIN_CHARS after normalisation are too
-short to tell and match nothing; repeated items and repeated documents each give their rows; an
+Defined results: null text is empty; items shorter than MIN_CHARS after normalisation
+match without edits and as whole words only; those without letters or digits match nothing; repeated items and repeated documents each give their rows; an
 empty benchmark or an empty table gives no rows; a tie of places goes to the first one.
 """
 
@@ -68,7 +68,7 @@ class Matcher:
     """Finds items within their budgets in texts."""
 
     def __init__(self, items: Iterable[tuple[object, str]], rate: float = RATE):
-        self.items = [(i, t, budget(len(t), rate)) for i, t in ((i, normalized(t)) for i, t in items) if len(t) >= MIN_CHARS]
+        self.items = [(i, t, budget(len(t), rate) if len(t) >= MIN_CHARS else 0) for i, t in ((i, normalized(t)) for i, t in items) if t]
         pieces: dict[str, list[tuple[int, int]]] = {}
         for n, (_, t, k) in enumerate(self.items):
             cuts = [len(t) * j // (k + 1) for j in range(k + 2)]
@@ -86,9 +86,14 @@ class Matcher:
             return []
         doc = normalized(text)
         spans: dict[int, list[list[int]]] = {}
+        whole: dict[int, int] = {}
         for end, (size, places) in self.find.iter(doc):
             for n, at in places:
                 _, t, k = self.items[n]
+                if not k:  # a short item: its first place between word ends
+                    if n not in whole and doc[max(0, end - size) : end - size + 1] in ("", " ") and doc[end + 1 : end + 2] in ("", " "):
+                        whole[n] = end + 1
+                    continue
                 low = end + 1 - size - at - k
                 high = low + len(t) + 2 * k
                 known = spans.setdefault(n, [])
@@ -96,7 +101,7 @@ class Matcher:
                     known[-1] = [min(low, known[-1][0]), max(high, known[-1][1])]
                 else:
                     known.append([low, high])
-        out = []
+        out = [(self.items[n][0], 0, end) for n, end in sorted(whole.items())]
         for n, found in sorted(spans.items()):
             i, t, k = self.items[n]
             best = min((d, max(a, 0) + end) for a, b in found for d, end in [myers(t, doc[max(a, 0) : b])])

@@ -185,3 +185,12 @@ def test_language_model_trains_on_every_position(monkeypatch):
     monkeypatch.setattr(model, "gradient", lambda around, classes: (met.append(classes), plain(around, classes))[1])
     assert masked_lm.train_slice(model, masked_lm.Adam(masked_lm.SIZE, 0.01), rng, lengths, buckets) == 9701
     assert np.array_equal(np.sort(np.concatenate(met)), np.sort(model.class_of[buckets]))
+
+
+def test_short_items_match_as_whole_words():
+    find = decontamination.Matcher([(1, "E = mc2"), (2, "Paris"), (3, "?!"), (4, "the quick brown fox jumps over")])
+    assert find.matches("e=mc2") == [(1, 0, 5)]
+    assert find.matches("so E=MC2, in Paris") == [(1, 0, 8), (2, 0, 17)]
+    assert find.matches("parisian comparis paris!") == [(2, 0, 23)]
+    assert find.matches("pariss e = mc3 ? !") == [] and find.matches("") == []
+    assert [m[:2] for m in find.matches("the quick brown fax jumps over paris")] == [(2, 0), (4, 1)]
