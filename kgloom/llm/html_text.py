@@ -1,21 +1,22 @@
 """Main text of web pages by a site style tree.
 
 Each page is parsed into blocks of text, each with its path of element labels (tag, id, classes).
-Pages of a host are merged into one style tree, whose nodes are the paths. A leaf's content
-importance is the entropy of its texts among the host's pages, over the most it could be: text that is the same on
-every page has none, text of an article has nearly full importance. A branch has presentation
-importance by the variety of its children's layouts, and a composite importance of that
-and its leaves, weighted by their blocks. Branches under LOW are removed from each page.
+Pages of a host are merged into one style tree, whose nodes are the paths and whose leaves are texts on paths. The content
+importance of a leaf is the share of the host's distinct pages that do not carry this very text there, copies of a page
+counted once: text that is the same on every page has none, text of an article has nearly full importance, on a
+small host as on a large one. A branch has presentation importance by the variety of its children's layouts, and a composite
+importance of that and its leaves, weighted by their pages. Leaves under LOW are removed from each page, and of
+branches under LOW those that LOW or more of the pages share, unless they are in an article.
 
 What an element says of itself comes first: article and main (or that role) hold the content
 where a page has them; nav, footer, aside, form and their like, elements whose class, id or role says
 menu, advert, notice, comments and so on, and hidden ones, hold none.
 
-The tree is made by grouped counts, so a host with a third of all pages is a few rows per task
-before the shuffle; pages meet only the list of their host's low branches.
+The tree is made by grouped counts of hashes; pages meet only the list of their host's low leaves, which is no longer
+than the blocks of a few pages, as each is on a fixed share of them.
 
 Defined results: null or empty html, and a page without content, have empty text; a null url is a
-host of its own name (empty); hosts where a branch was seen fewer than SEEN times, and hosts
+host of its own name (empty); hosts of fewer than SEEN distinct pages, and hosts
 whose articles themselves vary too little (copies), lose nothing by the tree; repeated pages each
 give their row; broken markup ends at the end of the page.
 """
@@ -27,17 +28,17 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgloom.llm.common import materialize
 
-#: Branches below this importance are removed.
+#: Leaves and branches below this importance are removed.
 LOW = 0.2
 #: A host's content must vary this much for the tree to be trusted.
 VARIED = 0.4
-#: Blocks that a branch must have on its host to be judged.
-SEEN = 8
+#: Distinct pages that a host must have to be judged.
+SEEN = 3
 #: Share of presentation in the composite importance.
 LAYOUT = 0.1
 
@@ -165,16 +166,27 @@ def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     return pages.select(id_col, url_col, html_col).mapInArrow(each, f"id {kinds[id_col]}, url {kinds[url_col]}, host string, blocks array<struct<path:string,kind:int,text:string>>")
 
 
-def style_tree(rows: DataFrame) -> DataFrame:
-    """host, path, n, importance: composite importance of every branch of every host's style tree."""
-    blocks = rows.select("host", F.explode("blocks").alias("b")).where("b.kind > 0").select("host", F.col("b.path").alias("path"), F.xxhash64("b.text").alias("text"))
-    counts = blocks.groupBy("host", "path", "text").agg(F.count("*").alias("c"))
-    leaf = counts.groupBy("host", "path").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("s"))
-    # entropy of c / n is log(n) - sum(c log c) / n; its greatest value is log(n)
-    content = leaf.select("host", "path", "n", F.when(F.col("n") > 1, 1 - F.col("s") / (F.col("n") * F.log("n"))).otherwise(1.0).alias("content"))
+def _key(path: Column, text: Column) -> Column:
+    return F.xxhash64(path, text)
+
+
+def leaves(rows: DataFrame) -> DataFrame:
+    """host, path, key, article (whether all of its blocks are in articles), n (distinct pages with the leaf), pages (of the host)."""
+    seen = rows.select("host", F.filter("blocks", lambda b: b["kind"] > 0).alias("blocks")).where(F.size("blocks") > 0)
+    seen = seen.select("host", F.xxhash64("blocks").alias("page"), "blocks")
+    pages = seen.groupBy("host", "page").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= SEEN)
+    each = seen.select("host", "page", F.explode("blocks").alias("b")).select("host", "page", F.col("b.path").alias("path"), _key(F.col("b.path"), F.col("b.text")).alias("key"), (F.col("b.kind") == 2).alias("article"))
+    once = each.groupBy("host", "path", "key", "page").agg(F.min("article").alias("article"))
+    found = once.groupBy("host", "path", "key").agg(F.count("*").alias("n"), F.min("article").alias("article"))
+    return found.join(pages.withColumnRenamed("host", "_host"), F.col("host") == F.col("_host")).drop("_host")
+
+
+def style_tree(found: DataFrame) -> DataFrame:
+    """host, path, n, importance: composite importance of every branch of every host's style tree of leaves."""
+    content = found.groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum(F.col("n") * (1 - F.col("n") / F.col("pages"))).alias("s")).select("host", "path", "n", (F.col("s") / F.col("n")).alias("content"))
     # every ancestor of a leaf, with the child through which the leaf hangs on it
     steps = F.expr("transform(sequence(2, size(parts)), i -> struct(array_join(slice(parts, 1, i), '/') AS path, get(parts, i) AS child))")
-    up = content.select("host", "n", "content", F.split("path", "/").alias("parts")).select("host", "n", "content", F.explode(steps).alias("u"))
+    up = content.where("contains(path, '/')").select("host", "n", "content", F.split("path", "/").alias("parts")).select("host", "n", "content", F.explode(steps).alias("u"))
     sums = up.groupBy("host", "u.path", F.coalesce("u.child", F.lit("")).alias("child")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("content")).alias("s"))
     # layouts below a branch: the entropy of its children's labels
     branch = sums.groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("kinds"), F.sum(F.col("n") * F.log("n")).alias("t"))
@@ -182,21 +194,25 @@ def style_tree(rows: DataFrame) -> DataFrame:
     return branch.select("host", "path", "n", (LAYOUT * layout + (1 - LAYOUT) * F.col("s") / F.col("n")).alias("importance"))
 
 
-def low_branches(rows: DataFrame) -> DataFrame:
-    """host, low: the paths of each host's low-importance branches, where its content as a whole varies."""
-    judged = F.col("n") >= SEEN
-    hosts = style_tree(rows).groupBy("host").agg(
-        F.max(F.when(judged, F.col("importance"))).alias("most"), F.collect_set(F.when(judged & (F.col("importance") < LOW), F.col("path"))).alias("low")
-    )
-    return hosts.where((F.col("most") >= VARIED) & (F.size("low") > 0)).select("host", "low")
+def low_leaves(rows: DataFrame) -> DataFrame:
+    """host, low, shared: keys of the leaves that are low themselves, and of those in low branches that many pages share, where the host's content varies."""
+    found = materialize(leaves(rows), "leaves")
+    tree = style_tree(found)
+    hosts = tree.groupBy("host").agg(F.max("importance").alias("most"), F.collect_set(F.when(F.col("importance") < LOW, F.col("path"))).alias("branches")).where(F.col("most") >= VARIED)
+    share = F.col("n") / F.col("pages")
+    many = found.where((share > 1 - LOW) | (share >= LOW) & ~F.col("article")).join(hosts.withColumnRenamed("host", "_host"), F.col("host") == F.col("_host"))
+    inside = F.exists("branches", lambda p: (F.col("path") == p) | F.startswith(F.col("path"), F.concat(p, F.lit("/"))))
+    own = F.when(share > 1 - LOW, F.col("key"))
+    return many.groupBy("host").agg(F.collect_set(own).alias("low"), F.collect_set(F.when(inside, F.col("key"))).alias("shared"))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars: one row per page."""
     rows = materialize(parsed(pages, id_col, url_col, html_col), "blocks")
-    pruned = rows.join(low_branches(rows).withColumnRenamed("host", "_host"), F.col("host") == F.col("_host"), "left")
+    pruned = rows.join(low_leaves(rows).withColumnRenamed("host", "_host"), F.col("host") == F.col("_host"), "left")
     best = F.array_max(F.transform("blocks", lambda b: b["kind"]))
     wanted = pruned.withColumn("blocks", F.filter("blocks", lambda b: (b["kind"] > 0) & (b["kind"] == best)))
-    kept = F.filter("blocks", lambda b: ~F.exists("low", lambda p: (b["path"] == p) | F.startswith(b["path"], F.concat(p, F.lit("/")))))
+    gone = lambda b: F.array_contains("low", _key(b["path"], b["text"])) | (b["kind"] < 2) & F.array_contains("shared", _key(b["path"], b["text"]))
+    kept = F.filter("blocks", lambda b: ~gone(b))
     text = F.array_join(F.transform(F.when(F.col("low").isNull(), F.col("blocks")).otherwise(kept), lambda b: b["text"]), "\n")
     return wanted.select(F.col("id").alias("page_id"), "url", F.coalesce(text, F.lit("")).alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -33,6 +33,22 @@ def test_style_tree_removes_what_repeats_on_a_host(spark):
     assert html_text.main_text(pages.limit(0)).count() == 0
 
 
+def test_large_and_small_hosts_are_judged_alike(spark):
+    """Few headings on many pages stay, one text of all pages goes, copies of a page don't count, and three pages are enough."""
+    def page(h, i):
+        head = ("Introduction", "Methods", "Summary")[i % 3]
+        return f"<body><div class=top>Welcome to {h}</div><article><h3>{head}</h3><p>text {i} of its own</article>", f"{head}\ntext {i} of its own"
+
+    def plain(h, i):
+        return f"<body><div class=top>Welcome to {h}</div><div class=text><h1>Title {i}</h1><p>text {i}</div>", f"Title {i}\ntext {i}"
+
+    rows = [(i, "http://large/x", *page("large", i)) for i in range(300)] + [(1000 + i, "http://small/x", *plain("small", i)) for i in range(4)]
+    rows += [(2000 + i, "http://copies/x", *plain("copies", max(0, i - 100))) for i in range(130)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, want string")
+    got = {r.page_id: r.text for r in html_text.main_text(pages).collect()}
+    assert got == {r[0]: r[3] for r in rows}
+
+
 def test_warc_round_trip_and_audit(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "FILE_BYTES", 3000)
     rows = [(i, f"http://h/{i}\r\n", f"<p>{'é' * (i % 50)}\r\n\r\n{i}") for i in range(150)] + [(None, None, None), (3, "http://h/3", "<p>again")]
