@@ -18,8 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or an own one where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "kgloom-checkpoints")
+    """The folder all executors share: spark.checkpoint.dir. Only a local master, as in tests, may do without the setting."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that the driver and all executors share")
+        path = os.path.join(tempfile.gettempdir(), "kgloom-checkpoints")
     return path.rstrip("/")
 
 

@@ -1,24 +1,39 @@
 """Main text of web pages by a site style tree.
 
-Each page is parsed into blocks of text, each with its path of element labels (tag, id, classes).
-Pages of a host are merged into one style tree, whose nodes are the paths and whose leaves are texts on paths. The content
-importance of a leaf is the share of the host's distinct pages that do not carry this very text there, copies of a page
-counted once: text that is the same on every page has none, text of an article has nearly full importance, on a
-small host as on a large one. A branch has presentation importance by the variety of its children's layouts, and a composite
-importance of that and its leaves, weighted by their pages. Leaves under LOW are removed from each page, and of
-branches under LOW those that LOW or more of the pages share, unless they are in an article.
-
-What an element says of itself comes first: article and main (or that role) hold the content
-where a page has them; nav, footer, aside, form and their like, elements whose class, id or role says
-menu, advert, notice, comments and so on, and hidden ones, hold none.
-
-The tree is made by grouped counts of hashes; pages meet only the list of their host's low leaves, which is no longer
-than the blocks of a few pages, as each is on a fixed share of them.
+The pages of a host are merged into one style tree. Its element nodes are branches: an element that holds text, told
+apart by the labels (tag, id, classes) on its path. Elements that only shape a piece of text (paragraphs, headings,
+list items, cells) belong to the element around them, so a branch is a menu, a footer, an advert or an article, not
+a heading in it. Importances are by entropy over the host's distinct pages. What stands alike on n pages is spread
+evenly over them, with entropy H = ln n, and has importance exp(-H): 1 for text of one page, nearly 0 for template
+text, whatever the number of other pages. A branch has two importances:
+
+* content: the mean of that over all appearances of texts in it, a page counting a text once. Text of an article is different on
+  each page: nearly 1. Menus, notices and footers draw on few texts, however many pages there are: nearly 0. A line
+  that all articles have takes no more from an article than its share of the lines, on a large host as on a small one.
+* presentation: the same mean for the layouts (sequences of the paths of its texts) that the branch has on the pages.
+
+A branch is low if LAYOUT * presentation + (1 - LAYOUT) * content lies under a share of the best branch of its host,
+and low branches are removed from each page. The share is set by what elements say of themselves: LIMITS. A text
+outside of articles that stands at the same place on nearly all pages of the host (less than LEAST_BITS of information)
+is removed by itself: its entropy is that of nearly all pages.
+
+Besides, what elements say removes what the tree has left in two plain cases. Elements such as nav, footer and form, roles of
+that kind, hidden elements, and elements one of whose classes, or whose id, as a whole is a word such as `ad` or `comments`, are
+noise on any page: on a host of few pages no tree can tell, and readers' comments differ from page to page as articles do.
+And a page with an article or main element has its text there. A name with such a word as a part (`post-footer-note`)
+only raises the share.
+With hints=False nothing of this is used: all elements are judged alike, by the tree.
+
+Two passes over the pages: the first one gives hashes of branches, layouts and texts, which are counted; the second one
+meets the low branches of its host, as a broadcast list if it is small, else by a join that adaptive execution can split.
+Texts are never written or shuffled before that. A low branch is on at least SHARED of its host's pages, so a host's list is
+no longer than the branches of a few pages.
 
 Defined results: null or empty html, and a page without content, have empty text; a null url is a
-host of its own name (empty); hosts of fewer than SEEN distinct pages, and hosts
-whose articles themselves vary too little (copies), lose nothing by the tree; repeated pages each
-give their row; broken markup ends at the end of the page.
+host of its own name (empty); copies of a page count once in the tree; hosts of fewer than SEEN distinct pages
+lose nothing by it; repeated pages each give their row; broken markup ends at the end of the page; digits in labels
+count as one, so numbered ids are one branch; other columns of the input, whatever their names, don't matter; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,19 +43,24 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import materialize
+from kgloom.llm.common import drop_table, materialize, split_join
 
-#: Leaves and branches below this importance are removed.
-LOW = 0.2
-#: A host's content must vary this much for the tree to be trusted.
-VARIED = 0.4
-#: Distinct pages that a host must have to be judged.
-SEEN = 3
-#: Share of presentation in the composite importance.
+#: What is said of an element: noise, a noise word as part of a name, nothing, such a name within an article, an article; and the share of its host's best importance under which it goes.
+NOISE, SUSPECT, PLAIN, DOUBTED, ARTICLE = 0, 1, 2, 3, 4
+LIMITS = {NOISE: 0.8, SUSPECT: 0.8, PLAIN: 0.5, DOUBTED: 0.8, ARTICLE: 0.2}
+#: Share of presentation in the importance of a branch.
 LAYOUT = 0.1
+#: A text is removed by itself if its place on a page says less than this: on over 87 % of the pages.
+LEAST_BITS = 0.2
+#: Distinct pages that a host must have to be judged, and the share of them that a branch must be on.
+SEEN = 3
+SHARED = 0.05
+#: Rows, and entries in all, of the list of low branches up to which it is sent to all tasks.
+SEND_ROWS, SEND_ENTRIES = 200_000, 2_000_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
@@ -49,46 +69,109 @@ ENDS_P = frozenset("address article aside blockquote center details dialog dir d
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Where the search for an open element to end stops.
 SCOPE = frozenset("ul ol dl table tbody thead tfoot div section article main body html td".split())
-DROPPED = frozenset("head script style noscript template iframe object svg canvas math audio video map".split())
-NOISE = frozenset("nav footer aside form button select textarea fieldset dialog menu".split())
+#: Elements that shape texts and belong to the branch around them, where nothing is said against it.
+SHAPES = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 hgroup pre blockquote center ul ol li dl dt dd dir table caption thead tbody tfoot tr td th figure figcaption details summary address".split())
+DROPPED = frozenset("head title script style noscript template iframe object svg canvas math audio video map".split())
+NOISE_TAGS = frozenset("nav footer aside form button select textarea fieldset dialog menu".split())
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription share sharing social "
-    "comment comments disqus reply replies respond sidebar widget widgets related recommended recommendations menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead toolbar pagination pager login signup signin search copyright legal disclaimer skip".split()
+    "comment comments disqus reply replies respond sidebar widget widgets related recommended recommendations menu menus nav navbar navigation breadcrumb breadcrumbs header footer masthead toolbar pagination pager login signup signin search copyright legal disclaimer skip".split()
 )
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _WORD = re.compile(r"[a-z]+")
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+_DIGITS = re.compile(r"[0-9]+")
+_OPEN_TAG = re.compile(r"<[a-zA-Z/!?]")
+_TELLING = frozenset("class id style role hidden aria-hidden".split())
+
+
+def said(tag: str, given: dict[str, str | None], around: int) -> int:
+    """What an element in such surroundings says of itself."""
+    if "hidden" in given or given.get("aria-hidden") == "true" or _HIDDEN.search(given.get("style") or ""):
+        return NOISE
+    role = given.get("role")
+    names = f"{given.get('class') or ''} {given.get('id') or ''}".lower().split()
+    if tag in ("html", "body"):
+        return PLAIN
+    inside = around >= DOUBTED
+    if tag in NOISE_TAGS or role in NOISE_ROLES or tag == "header" and not inside:
+        return NOISE
+    if any(n in NOISE_WORDS and not (n == "header" and inside) for n in names):
+        return NOISE
+    if tag in ("article", "main") or role in ("main", "article"):
+        return ARTICLE
+    if any(w in NOISE_WORDS for n in names for w in _WORD.findall(n)):
+        return SUSPECT
+    return PLAIN
+
+
+def within(says: int, around: int) -> int:
+    """What is said of an element that says so much, in such surroundings."""
+    if says == NOISE:
+        return NOISE
+    if around >= DOUBTED:
+        return DOUBTED if says == SUSPECT or around == DOUBTED and says != ARTICLE else ARTICLE
+    return SUSPECT if around == SUSPECT and says == PLAIN else says
+
+
+def _mix(above: int, label: str) -> int:
+    return xxhash.xxh64_intdigest(label, seed=above)
 
 
 class PageParser(HTMLParser):
-    """Collects (path, kind, text) of each block: kind 0 noise, 1 neutral, 2 in an article."""
+    """Collects (branch, leaf, said, text) of each block: hashes of the paths of its branch and of itself.
+
+    Each start tag costs the same, however deep it lies.
+    """
 
-    def __init__(self):
+    def __init__(self, hints: bool = True):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, str, int]] = [("", "", 1)]  # tag, path, kind; -1 is dropped
-        self.blocks: list[tuple[str, int, str]] = []
+        self.hints = hints
+        #: tag, path, branch, said; said is -1 for what is dropped
+        self.open: list[tuple[str, int, int, int]] = [("", 0, 0, PLAIN if hints else SUSPECT)]
+        self.count: dict[str, int] = {}
+        self.blocks: list[tuple[int, int, int, str]] = []
         self.parts: list[str] = []
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """`<![...` is a comment up to the next `>`."""
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else -1
+
+    def close(self) -> None:
+        if _OPEN_TAG.match(self.rawdata):  # the page ends within a tag or a comment
+            self.rawdata = ""
+        super().close()
+        self.flush()
+
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         self.parts = []
-        _, path, kind = self.open[-1]
-        if text and kind >= 0:
-            self.blocks.append((path, kind, text))
+        _, path, branch, says = self.open[-1]
+        if text and says >= NOISE:
+            self.blocks.append((branch, path, says, text))
 
     def end(self, tags: set[str] | frozenset[str], scope: frozenset[str] = frozenset()) -> None:
+        if not any(self.count.get(t) for t in tags):
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i][0] in tags:
                 self.flush()
+                for t, *_ in self.open[i:]:
+                    self.count[t] -= 1
                 del self.open[i:]
                 return
             if self.open[i][0] in scope:
                 return
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in INLINE:
+        _, path, branch, around = self.open[-1]
+        inline = tag in INLINE
+        if inline:
             if tag == "br":
                 self.parts.append(" ")
-            if tag in VOID or not self._says_noise(tag, dict(attrs), self.open[-1][2]):
+            telling = around > 0 and self.hints and any(k in _TELLING for k, _ in attrs)
+            if tag in VOID or not telling or said(tag, dict(attrs), around) != NOISE:
                 return
         if tag == "body":  # whatever is open in the head ends
             self.end({"head"})
@@ -99,120 +182,155 @@ class PageParser(HTMLParser):
         self.flush()
         if tag in VOID:
             return
+        _, path, branch, around = self.open[-1]
         given = dict(attrs)
-        _, path, kind = self.open[-1]
-        if kind > 0:
-            if tag in DROPPED:
-                kind = -1
-            elif self._says_noise(tag, given, kind):
-                kind = 0
-            elif tag in ("article", "main") or given.get("role") in ("main", "article"):
-                kind = 2
-        elif tag in DROPPED:
-            kind = -1
-        label = tag + "".join(f"#{given['id']}" if given.get("id") else "") + "".join(f".{c}" for c in sorted((given.get("class") or "").split()))
-        self.open.append((tag, f"{path}/{label}", kind))
-
-    @staticmethod
-    def _says_noise(tag: str, given: dict[str, str | None], kind: int) -> bool:
-        if tag in NOISE or given.get("role") in NOISE_ROLES or "hidden" in given or given.get("aria-hidden") == "true":
-            return True
-        if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", given.get("style") or ""):
-            return True
-        if tag in ("html", "body", "article", "main") and not kind == 2:
-            words = _WORD.findall((given.get("class") or "").lower()) if tag == "article" else []
-            return any(w in ("comment", "comments", "reply", "ad", "promo", "related") for w in words)
-        if tag == "header":
-            return kind != 2
-        words = set(_WORD.findall(f"{given.get('class') or ''} {given.get('id') or ''}".lower()))
-        return bool(words & NOISE_WORDS) or kind != 2 and "header" in words
+        label = tag
+        if given.get("id"):
+            label += f"#{given['id']}"
+        if given.get("class"):
+            label += "." + ".".join(sorted(given["class"].split()))
+        own = _mix(path, _DIGITS.sub("0", label))
+        if around < 0 or tag in DROPPED:
+            says = -1
+        elif not self.hints or not around:
+            says = around
+        else:
+            says = within(said(tag, given, around), around)
+        self.open.append((tag, own, branch if tag in SHAPES and says == around else own, says))
+        self.count[tag] = self.count.get(tag, 0) + 1
 
     def handle_endtag(self, tag: str) -> None:
         if tag in INLINE and self.open[-1][0] != tag:
             return
-        if tag == "p" and not any(t == "p" for t, _, _ in self.open):
+        if tag == "p" and not self.count.get("p"):
             self.flush()
             return
         self.end({tag})
 
     def handle_data(self, data: str) -> None:
-        if self.open[-1][2] >= 0:
+        if self.open[-1][3] >= NOISE:
             self.parts.append(data)
 
 
-def blocks_of(html: str | None) -> list[tuple[str, int, str]]:
-    parser = PageParser()
+def blocks_of(html: str | None, hints: bool = True) -> list[tuple[int, int, int, str]]:
+    """(branch, leaf, said, text) of the blocks."""
+    parser = PageParser(hints)
     parser.feed(html or "")
     parser.close()
-    parser.flush()
     return parser.blocks
 
 
-def host_of(url: str | None) -> str:
-    m = re.match(r"\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)", url or "", re.I)
-    return m[1].rpartition("@")[2].lower() if m else ""
+def page_nodes(blocks: list[tuple[int, int, int, str]]) -> tuple[int, list[dict]]:
+    """A hash of the page without its noise, and of each of its branches: branch, said, layout, and the content nodes (hashes of place and text)."""
+    branches: dict[int, list] = {}
+    for branch, leaf, says, text in blocks:
+        known = branches.setdefault(branch, [says, xxhash.xxh64(), {}])
+        known[1].update(leaf.to_bytes(8, "little"))
+        known[2][_mix(leaf, text)] = None
+    page, out = xxhash.xxh64(), []
+    for branch, (says, layout, texts) in branches.items():
+        if says > NOISE:
+            page.update(layout.digest() + b"".join(t.to_bytes(8, "little") for t in texts))
+        out.append({"branch": _signed(branch), "said": says, "layout": _signed(layout.intdigest()), "texts": [_signed(t) for t in texts]})
+    return _signed(page.intdigest()), out
+
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
-def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """id, url, host, blocks (array of path, kind, text) of every page."""
+
+def with_site(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """id, url, html, host, site (a hash of the host) of each page."""
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?i)^\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#]*@)?([^/?#]*)", 1))
+    return rows.withColumn("host", host).withColumn("site", F.xxhash64("host"))
+
+
+_NODES = pa.list_(pa.struct([("branch", pa.int64()), ("said", pa.int32()), ("layout", pa.int64()), ("texts", pa.list_(pa.int64()))]))
+
+
+def nodes(rows: DataFrame, hints: bool = True) -> DataFrame:
+    """site, host, page, branches of the distinct pages of each host that have blocks."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [[{"path": p, "kind": k, "text": t} for p, k, t in blocks_of(h.as_py())] for h in b.column(2)]
-            kind = pa.list_(pa.struct([("path", pa.string()), ("kind", pa.int32()), ("text", pa.string())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([host_of(u) for u in b.column(1).to_pylist()], pa.string()), pa.array(found, kind)], ["id", "url", "host", "blocks"])
-
-    kinds = dict(pages.select(id_col, url_col).dtypes)
-    return pages.select(id_col, url_col, html_col).mapInArrow(each, f"id {kinds[id_col]}, url {kinds[url_col]}, host string, blocks array<struct<path:string,kind:int,text:string>>")
-
-
-def _key(path: Column, text: Column) -> Column:
-    return F.xxhash64(path, text)
-
-
-def leaves(rows: DataFrame) -> DataFrame:
-    """host, path, key, article (whether all of its blocks are in articles), n (distinct pages with the leaf), pages (of the host)."""
-    seen = rows.select("host", F.filter("blocks", lambda b: b["kind"] > 0).alias("blocks")).where(F.size("blocks") > 0)
-    seen = seen.select("host", F.xxhash64("blocks").alias("page"), "blocks")
-    pages = seen.groupBy("host", "page").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= SEEN)
-    each = seen.select("host", "page", F.explode("blocks").alias("b")).select("host", "page", F.col("b.path").alias("path"), _key(F.col("b.path"), F.col("b.text")).alias("key"), (F.col("b.kind") == 2).alias("article"))
-    once = each.groupBy("host", "path", "key", "page").agg(F.min("article").alias("article"))
-    found = once.groupBy("host", "path", "key").agg(F.count("*").alias("n"), F.min("article").alias("article"))
-    return found.join(pages.withColumnRenamed("host", "_host"), F.col("host") == F.col("_host")).drop("_host")
-
-
-def style_tree(found: DataFrame) -> DataFrame:
-    """host, path, n, importance: composite importance of every branch of every host's style tree of leaves."""
-    content = found.groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum(F.col("n") * (1 - F.col("n") / F.col("pages"))).alias("s")).select("host", "path", "n", (F.col("s") / F.col("n")).alias("content"))
-    # every ancestor of a leaf, with the child through which the leaf hangs on it
-    steps = F.expr("transform(sequence(2, size(parts)), i -> struct(array_join(slice(parts, 1, i), '/') AS path, get(parts, i) AS child))")
-    up = content.where("contains(path, '/')").select("host", "n", "content", F.split("path", "/").alias("parts")).select("host", "n", "content", F.explode(steps).alias("u"))
-    sums = up.groupBy("host", "u.path", F.coalesce("u.child", F.lit("")).alias("child")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("content")).alias("s"))
-    # layouts below a branch: the entropy of its children's labels
-    branch = sums.groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("kinds"), F.sum(F.col("n") * F.log("n")).alias("t"))
-    layout = F.when(F.col("kinds") > 1, (F.log("n") - F.col("t") / F.col("n")) / F.log("kinds")).otherwise(F.col("s") / F.col("n"))
-    return branch.select("host", "path", "n", (LAYOUT * layout + (1 - LAYOUT) * F.col("s") / F.col("n")).alias("importance"))
-
-
-def low_leaves(rows: DataFrame) -> DataFrame:
-    """host, low, shared: keys of the leaves that are low themselves, and of those in low branches that many pages share, where the host's content varies."""
-    found = materialize(leaves(rows), "leaves")
-    tree = style_tree(found)
-    hosts = tree.groupBy("host").agg(F.max("importance").alias("most"), F.collect_set(F.when(F.col("importance") < LOW, F.col("path"))).alias("branches")).where(F.col("most") >= VARIED)
-    share = F.col("n") / F.col("pages")
-    many = found.where((share > 1 - LOW) | (share >= LOW) & ~F.col("article")).join(hosts.withColumnRenamed("host", "_host"), F.col("host") == F.col("_host"))
-    inside = F.exists("branches", lambda p: (F.col("path") == p) | F.startswith(F.col("path"), F.concat(p, F.lit("/"))))
-    own = F.when(share > 1 - LOW, F.col("key"))
-    return many.groupBy("host").agg(F.collect_set(own).alias("low"), F.collect_set(F.when(inside, F.col("key"))).alias("shared"))
-
-
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars: one row per page."""
-    rows = materialize(parsed(pages, id_col, url_col, html_col), "blocks")
-    pruned = rows.join(low_leaves(rows).withColumnRenamed("host", "_host"), F.col("host") == F.col("_host"), "left")
-    best = F.array_max(F.transform("blocks", lambda b: b["kind"]))
-    wanted = pruned.withColumn("blocks", F.filter("blocks", lambda b: (b["kind"] > 0) & (b["kind"] == best)))
-    gone = lambda b: F.array_contains("low", _key(b["path"], b["text"])) | (b["kind"] < 2) & F.array_contains("shared", _key(b["path"], b["text"]))
-    kept = F.filter("blocks", lambda b: ~gone(b))
-    text = F.array_join(F.transform(F.when(F.col("low").isNull(), F.col("blocks")).otherwise(kept), lambda b: b["text"]), "\n")
-    return wanted.select(F.col("id").alias("page_id"), "url", F.coalesce(text, F.lit("")).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+            found = [page_nodes(blocks_of(h.as_py(), hints)) for h in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([p for p, _ in found], pa.int64()), pa.array([x for _, x in found], _NODES)], ["site", "host", "page", "branches"])
+
+    found = rows.select("site", "host", "html").mapInArrow(each, "site long, host string, page long, branches array<struct<branch:long,said:int,layout:long,texts:array<long>>>")
+    return found.where(F.size("branches") > 0).dropDuplicates(["site", "host", "page"])
+
+
+def _importance(counts: DataFrame, n: str) -> DataFrame:
+    """site, host, branch, value: the mean of exp(-H), H = ln(n) the entropy of a kind over the n pages it is on, over all appearances of kinds in a branch."""
+    n = F.col(n)
+    return counts.groupBy("site", "host", "branch").agg((F.sum(n * F.exp(-F.log(n))) / F.sum(n)).alias("value"))
+
+
+def style_tree(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The branches of all hosts (site, host, branch, said, pages, importance), and their content nodes (site, host, branch, key, said, n)."""
+    each = seen.select("site", "host", F.explode("branches").alias("b")).select("site", "host", "b.*")
+    layouts = each.groupBy("site", "host", "branch", "layout").agg(F.max("said").alias("said"), F.count("*").alias("n"))
+    texts = each.select("site", "host", "branch", "said", F.explode("texts").alias("key")).groupBy("site", "host", "branch", "key").agg(F.max("said").alias("said"), F.count("*").alias("n"))
+    texts = materialize(texts, "content-nodes")
+    shape = _importance(layouts, "n").select("site", "host", "branch", F.col("value").alias("presentation"))
+    content = _importance(texts, "n").select("site", "host", "branch", F.col("value").alias("content"))
+    pages = layouts.groupBy("site", "host", "branch").agg(F.max("said").alias("said"), F.sum("n").alias("pages"))
+    keys = ["site", "host", "branch"]
+    tree = pages.join(shape, keys).join(content, keys)
+    return tree.select(*keys, "said", "pages", (LAYOUT * F.col("presentation") + (1 - LAYOUT) * F.col("content")).alias("importance")), texts
+
+
+def low_nodes(seen: DataFrame) -> DataFrame:
+    """site, host, low: the hashes of the low branches and of the low content nodes of each host that has any; a written table."""
+    tree, texts = style_tree(seen)
+    tree = materialize(tree, "style-tree")
+    hosts = seen.groupBy("site", "host").agg(F.count("*").alias("of")).where(F.col("of") >= SEEN)
+    best = tree.where((F.col("pages") >= SEEN) & (F.col("said") > NOISE)).groupBy("site", "host").agg(F.max("importance").alias("best"))
+    hosts = hosts.join(best, ["site", "host"])
+    limit = F.create_map(*[F.lit(x) for pair in LIMITS.items() for x in pair])[F.col("said")]
+    judged = split_join(tree.where(F.col("pages") >= SEEN), hosts, ["site", "host"])
+    low = (F.col("importance") < limit * F.col("best")) & (F.col("pages") >= SHARED * F.col("of"))
+    branches = judged.where(low).select("site", "host", F.col("branch").alias("node"))
+    outside = split_join(texts.where((F.col("n") >= SEEN) & (F.col("said") < ARTICLE)), hosts, ["site", "host"])
+    leaves = outside.where(-F.log2(F.col("n") / F.col("of")) < LEAST_BITS).select("site", "host", F.col("key").alias("node"))
+    found = materialize(branches.union(leaves).groupBy("site", "host").agg(F.collect_set("node").alias("low")), "low-nodes")
+    for written in (texts, tree):
+        drop_table(written)
+    return found
+
+
+def with_low(rows: DataFrame, low: DataFrame) -> DataFrame:
+    """The pages with the list of low nodes of their host, null if it has none."""
+    size = low.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("low")), F.lit(0)).alias("entries")).first()
+    if size.rows <= SEND_ROWS and size.entries <= SEND_ENTRIES:
+        return rows.join(F.broadcast(low), ["site", "host"], "left")
+    return split_join(rows, low, ["site", "host"], "left")
+
+
+def kept_blocks(html: str | None, low: set[int], hints: bool = True) -> tuple[list[str], int, int]:
+    """The texts that stay of a page, how many the tree has removed, and how many of the rest what elements say."""
+    blocks = blocks_of(html, hints)
+    high = [b for b in blocks if _signed(b[0]) not in low and not (b[2] < ARTICLE and _signed(_mix(b[1], b[3])) in low)]
+    least = DOUBTED if any(b[2] >= DOUBTED for b in blocks) else NOISE + 1
+    kept = [b[3] for b in high if b[2] >= least]
+    return kept, len(blocks) - len(high), len(high) - len(kept)
+
+
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", hints: bool = True) -> DataFrame:
+    """page_id, url, text, n_chars, n_low (blocks that the tree removed), n_said (blocks that it left, and what elements say removed): one row per page."""
+    rows = with_site(pages, id_col, url_col, html_col)
+    seen = materialize(nodes(rows, hints), "page-nodes")
+    low = low_nodes(seen)
+    drop_table(seen)
+    found = with_low(rows, low).select("id", "url", "html", "low")
+    kinds = dict(found.dtypes)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = [kept_blocks(h.as_py(), set(low.as_py() or ()), hints) for h, low in zip(b.column(2), b.column(3))]
+            text = ["\n".join(x) for x, _, _ in kept]
+            counts = [[len(t) for t in text], [n for _, n, _ in kept], [n for _, _, n in kept]]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), *(pa.array(c, pa.int64()) for c in counts)], ["page_id", "url", "text", "n_chars", "n_low", "n_said"])
+
+    return found.mapInArrow(each, f"page_id {kinds['id']}, url {kinds['url']}, text string, n_chars long, n_low long, n_said long")

@@ -1,13 +1,14 @@
 import hashlib
+import math
 import random
+import re
+from collections import Counter, defaultdict
 
 from kgloom.llm import html_text, warc
 
 
 def text_of(html):
-    blocks = html_text.blocks_of(html)
-    best = max((k for _, k, _ in blocks), default=0)
-    return [t for _, k, t in blocks if k > 0 and k == best]
+    return html_text.kept_blocks(html, set())[0]
 
 
 def test_blocks_of_broken_markup():
@@ -16,21 +17,106 @@ def test_blocks_of_broken_markup():
     assert text_of(None) == text_of("") == []
     assert text_of("<div class='sidebar'>x</div><p>only") == ["only"]
     assert text_of("<form>f</form><div hidden>h</div><header>h</header><div role=main><header><h1>ok</h1></header></div><script>var a = '<p>';</script>") == ["ok"]
-
-
-def test_style_tree_removes_what_repeats_on_a_host(spark):
-    rng = random.Random(1)
-    say = lambda: " ".join(rng.choice("abcdefgh") * rng.randint(1, 6) for _ in range(12))
-    rows = [(i, f"http://one.example/{i}", f"<body><div class=top>Welcome to our pages</div><div class=text><h2>{(t := say())}</h2><p>{(u := say())}</div><div class=end>All about us</div>", f"{t}\n{u}") for i in range(30)]
-    rows += [(100 + i, f"http://copies.example/{i}", "<body><div class=text><p>always the same</div>", "always the same") for i in range(20)]
-    rows += [(200, None, None, ""), (201, "http://one.example/9", "", ""), (202, "not a url", "<p>x", "x"), (202, "not a url", "<p>x", "x")]
-    pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, want string, text string")
-    got = html_text.main_text(pages).collect()
-    want = {r[0]: r[3] for r in rows}
-    assert len(got) == len(rows)
-    for r in got:
-        assert r.text == want[r.page_id] and r.n_chars == len(r.text)
-    assert html_text.main_text(pages.limit(0)).count() == 0
+    assert text_of("<html><title>Site name</title><p>x") == ["x"]
+    assert text_of("<![if IE]><![weird[<p>x<![") == ["x"] and text_of("<p>x<!-- y <p>z") == ["x"] and text_of("<p>x<a href='y") == ["x"]
+
+
+def test_names_are_judged_as_wholes():
+    assert text_of("<article class=related-work><p>a<div class=post-footer-note>b</div><p>c</article>") == ["a", "b", "c"]
+    assert text_of("<div class='box ad'>no</div><div id=comments>no</div><div class=ad-hoc>yes</div>") == ["yes"]
+    assert text_of("<div class=menu-layout><article>a<article class=comment>no</article></article></div><p>outside") == ["a"]
+
+
+def test_deep_pages_cost_no_more_than_their_length():
+    blocks = html_text.blocks_of("<div>" * 50_000 + "x" + "</b></q></p></div>" * 50_000 + "<p>y")
+    assert [b[3] for b in blocks] == ["x", "y"]
+
+
+def brute_tree(pages, hints):
+    """Importance of each (host, branch), the number of its pages and what is said of it, and the low nodes of each host."""
+    hosts = defaultdict(dict)
+    for url, html in pages:
+        blocks = html_text.blocks_of(html, hints)
+        host = re.sub(r"^\s*[a-z]*:?//([^/?#]*).*$", r"\1", url or "//").lower()
+        if blocks:
+            hosts[host].setdefault(tuple(dict.fromkeys((b, leaf, t) for b, leaf, said, t in blocks if said > html_text.NOISE)), blocks)
+    tree, low = {}, defaultdict(set)
+    worth = lambda c: len(c) / sum(c.values())
+    for host, distinct in hosts.items():
+        texts, layouts, said, one = defaultdict(Counter), defaultdict(Counter), {}, {}
+        for blocks in distinct.values():
+            for b, leaf, s, t in set(blocks):
+                texts[b][leaf, t] += 1
+                said[b] = s
+            for b in {x[0] for x in blocks}:
+                layouts[b][tuple(x[1] for x in blocks if x[0] == b)] += 1
+        for b in texts:
+            n = sum(layouts[b].values())
+            one[b] = (0.1 * worth(layouts[b]) + 0.9 * worth(texts[b]), n, said[b])
+            tree[host, b] = one[b]
+        best = max((i for i, n, s in one.values() if n >= 3 and s > html_text.NOISE), default=None)
+        if len(distinct) >= 3 and best is not None:
+            low[host] = {("branch", b) for b, (i, n, s) in one.items() if n >= 3 and i < html_text.LIMITS[s] * best and n >= 0.05 * len(distinct)}
+            low[host] |= {("text", *k) for b, c in texts.items() if said[b] < html_text.ARTICLE for k, n in c.items() if n >= 3 and -math.log2(n / len(distinct)) < 0.2}
+    return tree, low
+
+
+def brute_text(host, html, low, hints):
+    blocks = html_text.blocks_of(html, hints)
+    least = html_text.DOUBTED if any(b[2] >= html_text.DOUBTED for b in blocks) else 1
+    gone = low.get(host, set())
+    return "\n".join(t for b, leaf, s, t in blocks if s >= least and ("branch", b) not in gone and not (s < html_text.ARTICLE and ("text", leaf, t) in gone))
+
+
+def made_pages(rng):
+    """Hosts of many, few and one page, with template text that names itself and that doesn't, copies, and pages without articles."""
+    say = lambda n: " ".join(rng.choice("abcdefgh") * rng.randint(1, 6) for _ in range(n))
+    pool = [say(3) for _ in range(6)]
+    out = []
+    for host, n in (("big.example", 60), ("small.example", 5), ("one.example", 1)):
+        for i in range(n):
+            body = f"<article><h1>{say(4)}</h1><h3>{('Methods', 'Summary')[i % 2]}</h3><p>{say(12)}<p>{say(9)}</article>" if i % 3 else f"<div class=text><h2>{say(4)}</h2><p>{say(12)}</div>"
+            out.append((f"http://{host}/{i}", f"<body><div class=top>Welcome</div><div class=box{i}><a href=x>{rng.choice(pool)}</a> <i>{rng.choice(pool)}</i></div><div class=site-menu><ul><li>{rng.choice(pool)}<li>{rng.choice(pool)}</ul></div>{body}<div class=comments><p>{say(7)}</div><footer>{rng.choice(pool)}</footer>"))
+    return out + out[:9] + [(None, "<p>lost"), ("http://big.example/x", None), ("http://big.example/x", "")]
+
+
+def test_style_tree_equals_brute_force(spark):
+    pages = made_pages(random.Random(1))
+    frame = spark.createDataFrame([(i, u, h, "clash", 1) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string, text string, low int").repartition(3)
+    removed = {}
+    for hints in (True, False):
+        tree, low = brute_tree(pages, hints)
+        rows = html_text.with_site(frame, "page_id", "url", "html")
+        got = {(r.host, r.branch % 2**64): (r.importance, r.pages, r.said) for r in html_text.style_tree(html_text.nodes(rows, hints))[0].collect()}
+        assert got.keys() == tree.keys() and all(got[k][1:] == tree[k][1:] and abs(got[k][0] - tree[k][0]) < 1e-9 for k in tree)
+        out = {r.page_id: r for r in html_text.main_text(frame, hints=hints).collect()}
+        assert len(out) == len(pages)
+        for i, (u, h) in enumerate(pages):
+            host = re.sub(r"^http://([^/]*).*$", r"\1", u or "")
+            assert out[i].text == brute_text(host, h, low, hints) and out[i].n_chars == len(out[i].text)
+        removed[hints] = sum(r.n_low > 0 for r in out.values())
+        if not hints:
+            continue
+        big = [out[i].text for i, (u, h) in enumerate(pages) if h and "big" in (u or "")]
+        assert not any("Welcome" in t for t in big) and all(re.search(r"<h[12]>(.*?)<", h)[1] in out[i].text for i, (u, h) in enumerate(pages) if h and "big" in (u or ""))
+    assert removed[True] > 60 and removed[False] > 60
+    assert html_text.main_text(frame.limit(0)).count() == 0
+
+
+def test_tree_alone_finds_the_articles(spark):
+    """Without what elements say: of the given pages, templates go from most, and no article loses text."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").where("url LIKE '%tionsh%' OR url LIKE '%tionble%'")
+    want = {r.page_id: r for r in html_text.main_text(pages).collect()}
+    got = html_text.main_text(pages, hints=False).collect()
+    assert all(set(want[r.page_id].text.split("\n")) <= set(r.text.split("\n")) for r in got)
+    assert sum(r.text == want[r.page_id].text for r in got) > 0.9 * len(got) and sum(r.n_low > 0 for r in want.values()) > 0.9 * len(got)
+
+
+def test_low_nodes_of_many_hosts_are_joined(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, *p) for i, p in enumerate(made_pages(random.Random(2)))], "page_id long, url string, html string")
+    sent = sorted(map(str, html_text.main_text(pages).collect()))
+    monkeypatch.setattr(html_text, "SEND_ROWS", 0)
+    assert sorted(map(str, html_text.main_text(pages).collect())) == sent
 
 
 def test_large_and_small_hosts_are_judged_alike(spark):
@@ -40,10 +126,10 @@ def test_large_and_small_hosts_are_judged_alike(spark):
         return f"<body><div class=top>Welcome to {h}</div><article><h3>{head}</h3><p>text {i} of its own</article>", f"{head}\ntext {i} of its own"
 
     def plain(h, i):
-        return f"<body><div class=top>Welcome to {h}</div><div class=text><h1>Title {i}</h1><p>text {i}</div>", f"Title {i}\ntext {i}"
+        return f"<body><div class=top>Welcome to {h}</div><div class=text><h1>Title {i}</h1><h3>{('Yes', 'No')[i % 2]}</h3><p>text {i}</div>", f"Title {i}\n{('Yes', 'No')[i % 2]}\ntext {i}"
 
     rows = [(i, "http://large/x", *page("large", i)) for i in range(300)] + [(1000 + i, "http://small/x", *plain("small", i)) for i in range(4)]
-    rows += [(2000 + i, "http://copies/x", *plain("copies", max(0, i - 100))) for i in range(130)]
+    rows += [(2000 + i, "http://copies/x", *plain("copies", max(0, i - 100))) for i in range(130)] + [(3000 + i, "http://plain/x", *plain("plain", i)) for i in range(300)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, want string")
     got = {r.page_id: r.text for r in html_text.main_text(pages).collect()}
     assert got == {r[0]: r[3] for r in rows}
