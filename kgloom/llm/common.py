@@ -27,17 +27,29 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df to the shared folder as Parquet and read it again.
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has been written to."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str, by: list[str] = ()) -> DataFrame:
+    """Cut the lineage: write df to the shared folder as Parquet, a folder for each value of the columns `by`, and read it again.
 
     A written table survives the loss of any executor, and is read by column.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = new_path(spark, name)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete what was written to a new_path(), once nothing reads it any more."""
+    if path.startswith(shared_dir(spark) + "/"):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete the files of a table that materialize() wrote, once nothing reads them any more."""
     spark = df.sparkSession

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgloom.llm import bpe, decontamination, exact_dedup, html_text, language_id, line_dedup, masked_lm, simhash, token_files, warc
-from kgloom.llm.common import shared_dir, table
+from kgloom.llm.common import drop_path, new_path, shared_dir, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -27,19 +27,25 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def damaged(record_id: str, data: bytes) -> bytes:
-    """What the second replica of op2's query gives: a flipped bit in records whose id's crc32 modulo 97 is 5."""
-    if zlib.crc32(record_id.encode()) % 97 != 5:
+def as_stored(record_id: str, data: bytes) -> bytes | None:
+    """What the storage of op2's second replica makes of a record, by its id's crc32 modulo 291: a flipped bit in the middle, nothing, or a broken beginning."""
+    kind = zlib.crc32(record_id.encode()) % 291
+    if kind == 6:
+        return None
+    if kind not in (5, 7):
         return data
-    middle = len(data) // 2
-    return data[:middle] + bytes([data[middle] ^ 1]) + data[middle + 1 :]
+    at = len(data) // 2 if kind == 5 else 0
+    return data[:at] + bytes([data[at] ^ 1]) + data[at + 1 :]
 
 
 def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages as WARC files, audited against a replica with damaged records: where each record lies and its status."""
-    out = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    warc.write(table(spark, sf_dir, "pages"), out)
-    found = warc.fixity(spark, out, damaged)
+    """All pages as WARC files in two replicas, the second with damage: where each record lies and its status."""
+    pages, paths = table(spark, sf_dir, "pages"), [new_path(spark, f"warc-{k}") for k in "ab"]
+    warc.write(pages, paths[0])
+    warc.write(pages, paths[1], stored=as_stored)
+    found = warc.fixity(spark, *paths)
+    for path in paths:  # their trees are written
+        drop_path(spark, path)
     return found.select(F.regexp_extract("record_id", r"page:(-?\d+)", 1).cast("long").alias("page_id"), "shard", "offset", "length", F.lower(F.hex("hash")).alias("sha256"), "status")
 
 

@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import math
 import random
@@ -135,32 +136,71 @@ def test_large_and_small_hosts_are_judged_alike(spark):
     assert got == {r[0]: r[3] for r in rows}
 
 
+def files_of(path):
+    return {int(f.parent.name.split("=")[1]): f.read_bytes() for f in path.rglob("part-*")}
+
+
 def test_warc_round_trip_and_audit(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "FILE_BYTES", 3000)
-    rows = [(i, f"http://h/{i}\r\n", f"<p>{'é' * (i % 50)}\r\n\r\n{i}") for i in range(150)] + [(None, None, None), (3, "http://h/3", "<p>again")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    path = str(tmp_path / "w")
-    warc.write(pages, path)
-    back = sorted((r.record_id, r.html) for r in warc.read(spark, path).collect())
+    rows = [(i, f"http://h/{i}\r\n", f"<p>{'é' * (i % 50)}\r\n\r\nWARC/1.0 {i}") for i in range(150)] + [(None, None, None), (3, "http://h/3", "<p>again")]
+    pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, value string").repartition(2)
+    path, other = tmp_path / "w", tmp_path / "v"
+    warc.write(pages, str(path))
+    back = sorted((r.record_id, r.html) for r in warc.read(spark, str(path)).collect())
     assert back == sorted((f"<urn:page:{'' if i is None else i}>", h or "") for i, _, h in rows)
-
-    def seen(record, data):
-        return data[:-1] + b"?" if record in ("<urn:page:17>", "<urn:page:80>") else data
-
-    got = warc.fixity(spark, path, seen).collect()
+    files = files_of(path)
+    assert len(files) > 2
+    for data in files.values():  # a whole file is a gzip file of WARC records
+        assert gzip.decompress(data).startswith(b"WARC/1.0\r\n")
+
+    def stored(record, data):
+        if record == "<urn:page:17>":
+            return data[:-9] + b"?" + data[-8:]
+        return b"\0" + data[1:] if record == "<urn:page:80>" else None if record in ("<urn:page:60>", "<urn:page:>") else data
+
+    warc.write(pages, str(other), stored=stored)
+    got = warc.fixity(spark, str(path), str(other)).collect()
     assert len(got) == len(rows)
-    assert {r.record_id for r in got if r.status != "intact"} == {"<urn:page:17>", "<urn:page:80>"}
-    assert {r.status for r in got} == {"intact", "corrupt"}
-    files = {int(f.name.split("-")[1]): f.read_bytes() for f in (tmp_path / "w").iterdir() if f.name.startswith("part-")}
-    assert len(files) > 1
+    status = defaultdict(set)
     for r in got:
+        status[r.status].add(r.record_id)
         assert hashlib.sha256(files[r.shard][r.offset : r.offset + r.length]).digest() == r.hash
-
-    ours = warc.leaves(spark, path)
-    assert warc.audit(ours, ours).count() == 0
-    last = ours.where("shard = 0").agg({"n": "max"}).first()[0]
-    cut = ours.where(f"NOT (shard = 0 AND n = {last})")
-    assert [(r.shard, r.n, r.status) for r in warc.audit(ours, cut).collect()] == [(0, last, "missing")]
-    assert [r.status for r in warc.audit(cut, ours).collect()] == ["extra"]
+    assert status["corrupt"] == {"<urn:page:17>", "<urn:page:80>"} and status["missing"] == {"<urn:page:60>", "<urn:page:>"}
+    assert set(status) <= {"corrupt", "missing", "moved", "intact"} and len(status["intact"]) > 60
+    back = warc.fixity(spark, str(other), str(path)).collect()
+    assert sorted(r.record_id for r in back if r.status == "extra") == ["<urn:page:60>", "<urn:page:>"] and len(back) == len(rows)
+    assert {r.status for r in warc.fixity(spark, str(path), str(path)).collect()} == {"intact"}
     warc.write(pages.limit(0), str(tmp_path / "e"))
-    assert warc.fixity(spark, str(tmp_path / "e"), seen).count() == 0
+    assert warc.fixity(spark, str(tmp_path / "e"), str(tmp_path / "e")).count() == 0
+
+
+def test_audit_of_one_missing_record_among_many(spark):
+    """What follows a missing record has moved, and isn't corrupt; nothing is said of what comes before it."""
+    record = lambda i: gzip.compress(b"WARC/1.0\r\nWARC-Record-ID: <r%d>\r\nContent-Length: 1\r\n\r\nx\r\n\r\n" % i, mtime=0)
+    whole = [record(i) for i in range(600)]
+
+    def table(parts):
+        return spark.createDataFrame([(0, *x) for x in warc.file_nodes(b"".join(parts))], warc.NODES)
+
+    cut = table(whole[:300] + whole[301:])
+    got = {r.record_id: r.status for r in warc.audit(table(whole), cut).collect()}
+    assert {i for i, s in got.items() if s != "moved"} == {"<r300>"} and got["<r300>"] == "missing"
+    assert set(got) == {f"<r{i}>" for i in range(300, 600)}
+    assert {r.record_id: r.status for r in warc.audit(cut, table(whole)).collect() if r.status != "moved"} == {"<r300>": "extra"}
+    few = table(whole[:2])
+    assert sorted(r.status for r in warc.audit(table(whole[:20]), few).collect()) == ["missing"] * 18
+
+
+def test_damaged_files_are_read_on():
+    """Any flipped byte harms one record, or two where it joins them, and the rest are found."""
+    parts = [gzip.compress(b"WARC/1.0\r\nWARC-Record-ID: <r%d>\r\nContent-Length: 9\r\n\r\nsome text\r\n\r\n" % i, mtime=0) + warc.EMPTY_MEMBER for i in range(6)]
+    data = b"".join(parts)
+    sound = {warc.record_id(c) for _, _, c, ok in warc.members(data) if ok}
+    assert len(sound) == 6
+    for at in range(len(data)):
+        harmed = data[:at] + bytes([data[at] ^ 0x55]) + data[at + 1 :]
+        found = list(warc.members(harmed))
+        assert len(sound & {warc.record_id(c) for _, _, c, ok in found if ok}) >= 4
+        assert all(a[0] + a[1] <= b[0] for a, b in zip(found, found[1:]))
+    assert warc.fields(b"WARC/1.0\r\nContent-Length: x\r\n\r\nbody\r\n\r\n")[1] == b"body" and warc.record_id(b"WARC/1.0\r\nWARC-Record-ID: <cu") is None
+    assert list(warc.members(b"no records at all"))[0][3] is False and list(warc.members(b"")) == []
