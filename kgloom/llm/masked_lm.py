@@ -1,20 +1,25 @@
 """Masked pseudo-likelihood scores from a small bidirectional window network, trained in numpy.
 
-Words (lower-cased, cut at ASCII white space) are known by hash bucket. The most frequent buckets
-are classes of their own, the others share classes. A network sees the classes of the two words
-before and the two after a position, never the word there, and predicts its class; within its
-class, a word has the share of its bucket's count in the corpus. A document's score is the sum over
-all its positions of the log-probability of the word given both sides.
+Words are lower-cased and cut at ASCII white space. Spark counts them all; the most frequent ones, as many as the codes of
+three digits allow, have a code of their own, by rank. The network sees the words at the two places before and the
+two after a position, never the word there, and predicts it as its three digits in turn: the first among all, the
+second among words with that first digit, the third among words with those two. Each digit, and so each word, has a vector of its own
+there, so what it says of a word depends on both sides all the way down; without training it says the word's share in the corpus.
+A document's score is the sum over all its positions of the log-probability of the word given both sides.
 
-What is gathered from the corpus: the counts of all buckets over all words, and in each round the
-weights that every partition has trained on every position of all its documents in shuffled batches,
-averaged with their numbers of positions as a grouped sum, so the driver only ever gets one
-set of weights. Both grow with the input; the model itself is bounded.
+All words beyond the codes are one code, `rare`, of which each such word has an equal share: the probabilities of all words
+of the corpus sum to one.
+
+What is gathered from the corpus grows with it: the count of every word, the codes of all texts (a table written once, so that
+texts are cut only twice), and in each round the vectors that every partition has trained on every position of
+all its documents, in shuffled batches. Vectors are averaged, each by the positions it was trained on, in two grouped
+sums. The model itself is bounded: VOCABULARY vectors of HIDDEN numbers for each side, which is what the driver gets.
 
 Defined results: null text, and text without words, has no positions: log_prob 0 and no mean;
-positions beyond either end of a text are a class of their own; unseen buckets count as seen
-once; an empty corpus gives a uniform model; repeated rows get equal scores. Training follows
-the partitioning of the input: the same files with the same split give the same weights.
+positions beyond either end of a text are a code of their own; words of more than LONGEST bytes are rare; words that an
+earlier fit() didn't count are rare, too; equally frequent words are ranked by themselves; an empty corpus gives a model
+of rare words only; repeated rows get equal scores; other columns of the input don't matter. Training follows the partitioning of
+the input: the same files with the same split give the same weights.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -29,26 +35,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 1 << 18
-CLASSES = 128
-#: Classes of a single bucket.
-OWN = 96
-HIDDEN = 32
-SIDE = 2
+from kgloom.llm.common import drop_table, materialize
+
+#: Digits go up to this; so many codes there are.
+BASE = 40
+VOCABULARY = BASE**3
+RARE = 0
+LONGEST = 64
+HIDDEN = 16
+#: Where the words around a position are.
+PLACES = (-2, -1, 1, 2)
 ROUNDS = 2
-RATE = 0.01
-BATCH = 4096
+RATE = 0.4
+BATCH = 1 << 15
 SLICE_BYTES = 8_000_000
-_SHAPES = {"embed": (2 * SIDE, CLASSES + 1, HIDDEN), "bias": (HIDDEN,), "out": (HIDDEN, CLASSES), "out_bias": (CLASSES,)}
-SIZE = sum(int(np.prod(s)) for s in _SHAPES.values())
-
+#: Vectors in a row of what partitions give, and groups in which rows of a block are summed first.
+BLOCK, SALT = 1024, 32
 
-def bucket_of(word: str) -> int:
-    return xxhash.xxh64_intdigest(word) % BUCKETS
 
-
-def buckets_of(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(words of each text, their buckets one after the other), for a slice of the texts at a time."""
+def words_of(texts: pa.Array) -> Iterator[tuple[np.ndarray, pa.DictionaryArray]]:
+    """(words of each text, the words one after the other), for a slice of the texts at a time."""
     texts = pc.fill_null(texts.cast(pa.string()), "")
     place = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64) // SLICE_BYTES
     cuts = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(texts)]
@@ -59,172 +65,258 @@ def buckets_of(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         words = lists.flatten()
         full = pc.greater(pc.binary_length(words), 0)
         ends = np.concatenate(([0], np.cumsum(full.to_numpy(zero_copy_only=False))))[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
-        coded = words.filter(full).dictionary_encode()
-        own = np.fromiter(map(bucket_of, coded.dictionary.to_pylist()), np.int32, len(coded.dictionary))
-        yield np.diff(ends), own[coded.indices.to_numpy(zero_copy_only=False)]
+        yield np.diff(ends), words.filter(full).dictionary_encode()
 
 
-def bucket_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """How often each bucket occurs in the corpus: counted in each partition, summed by a grouped sum."""
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """word, n: how often each word occurs in the corpus. Words of more than LONGEST bytes are known by a hash."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, np.int64)
         for b in batches:
-            for _, x in buckets_of(b.column(0)):
-                counts += np.bincount(x, minlength=BUCKETS)
-        seen = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(counts[seen])], ["bucket", "n"])
-
-    out = np.zeros(BUCKETS, np.int64)
-    rows = docs.select(text_col).mapInArrow(each, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
-    return out
+            for _, coded in words_of(b.column(0)):
+                names = coded.dictionary
+                long = pc.greater(pc.binary_length(names), LONGEST)
+                if pc.any(long).as_py():
+                    names = pa.array([f" {xxhash.xxh64_hexdigest(w)}" if is_long else w for w, is_long in zip(names.to_pylist(), long.to_pylist())], pa.string())
+                n = np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(names))
+                yield pa.RecordBatch.from_arrays([names, pa.array(n)], ["word", "n"])
+
+    return docs.select(text_col).mapInArrow(each, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+class Vocabulary:
+    """The words with a code of their own, most frequent first (code 1 on), their counts, and how many others occur how often."""
+
+    def __init__(self, words: list[str], counts: np.ndarray, rare_kinds: int = 0, rare_count: int = 0):
+        self.words, self.counts, self.rare_kinds, self.rare_count = words, counts, rare_kinds, rare_count
+
+    def codes(self, words: pa.DictionaryArray) -> np.ndarray:
+        found = pc.index_in(words.dictionary, value_set=pa.array(self.words, pa.string()))
+        own = (pc.fill_null(found, -1).to_numpy(zero_copy_only=False) + 1).astype(np.uint16)
+        return own[words.indices.to_numpy(zero_copy_only=False)]
+
+
+def vocabulary(docs: DataFrame, text_col: str = "text", size: int = VOCABULARY) -> Vocabulary:
+    """Counts all words. The driver gets at most `size` of them, none longer than LONGEST bytes, and two sums."""
+    counts = materialize(word_counts(docs, text_col), "word-counts")
+    own = ~F.col("word").startswith(" ")
+    best = counts.where(own).orderBy(F.desc("n"), "word").limit(size - 1).toArrow()
+    total = counts.agg(F.count("*").alias("kinds"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    drop_table(counts)
+    n = best["n"].to_numpy().astype(np.int64)
+    return Vocabulary(best["word"].to_pylist(), n, total.kinds - len(n), total.n - int(n.sum()))
+
+
+def coded(docs: DataFrame, known: Vocabulary, text_col: str = "text", keep: list[str] = ()) -> DataFrame:
+    """codes: the codes of the words of each text as little-endian unsigned 16-bit integers; after the columns to keep."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+    kept = docs.select(*keep).schema
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = 0
+            for lengths, words in words_of(b.column(len(keep))):
+                data = shared.value.codes(words)
+                ends = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32) * 2
+                codes = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data.astype("<u2").tobytes())])
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(lengths)) for c in b.columns[: len(keep)]), codes], [*keep, "codes"])
+                at += len(lengths)
+
+    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "codes binary"])
+    return docs.select(*keep, text_col).mapInArrow(each, kinds)
+
+
+def lengths_and_codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // 2, np.frombuffer(b"".join(column.to_pylist()), "<u2")
 
 
 class Model:
-    """Classes of the buckets and the network's weights."""
-
-    def __init__(self, counts: np.ndarray, weights: np.ndarray | None = None):
-        counts = counts + 1
-        order = np.argsort(-counts, kind="stable")
-        self.class_of = (OWN + np.arange(BUCKETS) % (CLASSES - OWN)).astype(np.int32)
-        self.class_of[order[:OWN]] = np.arange(OWN)
-        total = np.bincount(self.class_of, weights=counts, minlength=CLASSES)
-        self.inside = (np.log(counts) - np.log(total)[self.class_of]).astype(np.float32)
+    """The network. All vectors are rows of one matrix: of the words around (the last one: beyond the text), of first digits, of second ones, of words, and one of the hidden layer."""
+
+    def __init__(self, known: Vocabulary, weights: np.ndarray | None = None, base: int = BASE, hidden: int = HIDDEN):
+        self.base, self.size, self.hidden = base, base**3, hidden
+        counts = np.zeros(self.size)
+        counts[RARE], counts[1 : len(known.counts) + 1] = known.rare_count + 1, known.counts
+        self.rare_share = -np.log(max(1, known.rare_kinds))
+        groups = counts.reshape(-1, base).sum(axis=1)
+        self.shares = []
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for c in (groups.reshape(-1, base).sum(axis=1)[None], groups.reshape(-1, base), counts.reshape(-1, base)):
+                self.shares.append(np.log(c / c.sum(axis=1, keepdims=True)).astype(np.float32))
+        cuts = np.cumsum([0, self.size + 1, base, base**2, self.size, 1])
+        self.at = dict(zip(("around", "first", "second", "third", "bias"), cuts.tolist()))
+        self.rows = int(cuts[-1])
+        rng = np.random.default_rng(1)
+        #: What tells the places around a position apart.
+        self.signs = np.where(rng.random((len(PLACES), hidden)) < 0.5, -1, 1).astype(np.float32)
         if weights is None:
-            weights = np.random.default_rng(1).normal(0, 0.05, SIZE).astype(np.float32)
-            weights[-CLASSES:] = np.log(total / total.sum())
-        self.weights = weights.astype(np.float32)
-        self.parts = self.split(self.weights)
-
-    @staticmethod
-    def split(flat: np.ndarray) -> dict[str, np.ndarray]:
-        """Views of the weights by name."""
-        out, at = {}, 0
-        for name, shape in _SHAPES.items():
-            n = int(np.prod(shape))
-            out[name] = flat[at : at + n].reshape(shape)
-            at += n
-        return out
-
-    def contexts(self, lengths: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """The classes around each position, 2 * SIDE of them; CLASSES beyond the ends of a text."""
-        n = len(classes)
-        doc = np.repeat(np.arange(len(lengths)), lengths)
-        out = np.full((2 * SIDE, n), CLASSES, np.int32)
-        for k, step in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
-            a, b = max(0, -step), min(n, n - step)
-            if a < b:
-                same = doc[a:b] == doc[a + step : b + step]
-                out[k, a:b] = np.where(same, classes[a + step : b + step], CLASSES)
-        return out
-
-    def forward(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The hidden layer and the log-probabilities of all classes."""
-        p = self.parts
-        hidden = p["bias"] + sum(p["embed"][k].take(around[k], axis=0) for k in range(2 * SIDE))
-        np.tanh(hidden, out=hidden)
-        logits = hidden @ p["out"] + p["out_bias"]
-        logits -= logits.max(axis=1, keepdims=True)
-        logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-        return hidden, logits
-
-    def score(self, lengths: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+            weights = np.zeros((self.rows, hidden), np.float32)
+            weights[: self.size + 1] = rng.normal(0, 0.1, (self.size + 1, hidden))
+        self.weights = weights
+
+    def window(self, lengths: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The codes with two places beyond the text before, between and after texts, and where the words are among them."""
+        place = np.arange(len(codes)) + 2 * (np.repeat(np.arange(len(lengths)), lengths) + 1)
+        out = np.full(len(codes) + 2 * (len(lengths) + 1), self.size, np.uint16)
+        out[place] = codes
+        return out, place
+
+    def digits(self, words: np.ndarray) -> list[tuple[str, np.ndarray, np.ndarray]]:
+        """(which vectors, the group, the digit) of each digit of the words."""
+        words = words.astype(np.int64)
+        pair, third = np.divmod(words, self.base)
+        first, second = np.divmod(pair, self.base)
+        return [("first", np.zeros_like(first), first), ("second", first, second), ("third", pair, third)]
+
+    def hidden_layer(self, around: list[np.ndarray]) -> np.ndarray:
+        out = np.repeat(self.weights[self.at["bias"]][None], len(around[0]), axis=0)
+        for k, codes in enumerate(around):
+            out += self.weights.take(codes, axis=0) * self.signs[k]
+        return np.tanh(out, out=out)
+
+    def batch(self, words: np.ndarray, around: list[np.ndarray], gradient: bool) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """The log-probability of each word; and, if asked, the gradient of the mean of its negative as (rows, of how many words, sums)."""
+        order = np.argsort(words, kind="stable")  # short integers are sorted by radix; words of a group lie together
+        words, around = words[order], [x[order] for x in around]
+        hidden, n, base, out = self.hidden_layer(around), len(words), self.base, []
+        logs, back = np.zeros(n, np.float64), np.zeros_like(hidden)
+        z, each = np.empty((n, base), self.weights.dtype), np.arange(n)
+        for level, (name, group, digit) in enumerate(self.digits(words)):
+            first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+            ends, found = np.append(first[1:], n).tolist(), group[first]
+            starts, low = first.tolist(), (self.at[name] + found * base).tolist()
+            for a, b, g in zip(starts, ends, low):
+                np.dot(hidden[a:b], self.weights[g : g + base].T, out=z[a:b])
+            z += self.shares[level].take(group, axis=0)
+            np.exp(z, out=z)
+            total = z.sum(axis=1)
+            logs += np.log(z[each, digit] / total)
+            if not gradient:
+                continue
+            z *= (1 / total)[:, None]
+            z[each, digit] -= 1
+            sums = np.empty((len(found), base, self.hidden), self.weights.dtype)
+            for i, (a, b, g) in enumerate(zip(starts, ends, low)):
+                back[a:b] += z[a:b] @ self.weights[g : g + base]
+                np.dot(z[a:b].T, hidden[a:b], out=sums[i])
+            out.append(((np.array(low)[:, None] + np.arange(base)).ravel(), np.repeat(np.diff(np.append(first, n)), base), sums.reshape(-1, self.hidden) / n))
+        logs += np.where(words == RARE, self.rare_share, 0)
+        result = np.empty_like(logs)
+        result[order] = logs
+        if gradient:
+            back *= (1 - hidden * hidden) / n
+            out.append((np.array([self.at["bias"]]), np.array([n]), back.sum(axis=0, keepdims=True)))
+            flat = np.concatenate(around)
+            order = np.argsort(flat, kind="stable")
+            flat = flat[order]
+            first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+            values = back.take(order % n, axis=0) * self.signs.take(order // n, axis=0)
+            out.append((flat[first].astype(np.int64), np.diff(np.append(first, len(flat))), np.add.reduceat(values, first, axis=0)))
+        return result, out
+
+    def score(self, lengths: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """The summed log-probability of each text."""
-        classes = self.class_of[buckets]
-        around, found = self.contexts(lengths, classes), np.empty(len(classes), np.float64)
-        for a in range(0, len(classes), BATCH):
-            logs = self.forward(around[:, a : a + BATCH])[1]
-            own = classes[a : a + BATCH]
-            found[a : a + BATCH] = logs[np.arange(len(own)), own]
-        total = np.concatenate(([0], np.cumsum(found + self.inside[buckets])))
+        padded, place = self.window(lengths, codes)
+        found = [self.batch(padded[p], [padded[p + s] for s in PLACES], False)[0] for p in np.split(place, range(BATCH, len(place), BATCH))] if len(place) else [np.zeros(0)]
+        total = np.concatenate(([0], np.cumsum(np.concatenate(found))))
         ends = np.cumsum(lengths)
         return total[ends] - total[ends - lengths]
 
-    def gradient(self, around: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """Of the mean negative log-probability of the classes, with respect to all weights."""
-        n, p = len(classes), self.parts
-        hidden, logs = self.forward(around)
-        d = np.exp(logs)
-        d[np.arange(n), classes] -= 1
-        d /= n
-        flat = np.zeros(SIZE, np.float32)
-        g = self.split(flat)
-        g["out"][:] = hidden.T @ d
-        g["out_bias"][:] = d.sum(axis=0)
-        back = (d @ p["out"].T) * (1 - hidden * hidden)
-        g["bias"][:] = back.sum(axis=0)
-        for k in range(2 * SIDE):
-            order = np.argsort(around[k].astype(np.int16), kind="stable")  # short integers are sorted by radix
-            own = around[k][order]
-            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-            g["embed"][k][own[first]] = np.add.reduceat(back[order], first, axis=0)
-        return flat
-
-
-class Adam:
-    def __init__(self, size: int, rate: float):
-        self.rate, self.t, self.m, self.v = rate, 0, np.zeros(size, np.float32), np.zeros(size, np.float32)
-
-    def step(self, weights: np.ndarray, g: np.ndarray) -> None:
-        self.t += 1
-        self.m += 0.1 * (g - self.m)
-        self.v += 0.01 * (g * g - self.v)
-        weights -= self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-8)
-
-
-def train_slice(model: Model, adam: Adam, rng: np.random.Generator, lengths: np.ndarray, buckets: np.ndarray) -> int:
-    """Steps over all positions of some texts in shuffled batches; how many they are. The network never sees the word at a position, so each is a target."""
-    classes = model.class_of[buckets]
-    around, order = model.contexts(lengths, classes), rng.permutation(len(classes))
-    for a in range(0, len(order), BATCH):
-        some = order[a : a + BATCH]
-        adam.step(model.weights, model.gradient(around[:, some], classes[some]))
-    return len(order)
-
-
-def train_round(docs: DataFrame, counts: np.ndarray, weights: np.ndarray | None, turn: int, text_col: str = "text") -> np.ndarray:
-    """Weights after each partition has trained on every position of all its texts, averaged by positions."""
+
+class Trainer:
+    """Steps by the gradient, each vector at a rate that falls with the squares of its gradients so far."""
+
+    def __init__(self, model: Model, rate: float):
+        self.model, self.rate = model, rate
+        self.squares, self.seen = np.full(model.rows, 1e-6, np.float32), np.zeros(model.rows, np.float64)
+
+    def step(self, words: np.ndarray, around: list[np.ndarray]) -> None:
+        for rows, n, g in self.model.batch(words, around, True)[1]:
+            self.squares[rows] += (g * g).mean(axis=1)
+            self.model.weights[rows] -= self.rate * g / np.sqrt(self.squares[rows])[:, None]
+            self.seen[rows] += n
+
+    def train(self, lengths: np.ndarray, codes: np.ndarray, rng: np.random.Generator) -> None:
+        """Steps over all positions of some texts in shuffled batches."""
+        padded, place = self.model.window(lengths, codes)
+        place = rng.permutation(place)
+        for a in range(0, len(place), BATCH):
+            some = place[a : a + BATCH]
+            self.step(padded[some], [padded[some + s] for s in PLACES])
+
+
+def train_round(codes: DataFrame, known: Vocabulary, weights: np.ndarray | None, turn: int) -> np.ndarray:
+    """The vectors after each partition has trained them on every position of all its texts, averaged by the positions each was trained on."""
+    start = Model(known, weights).weights
+    shared = codes.sparkSession.sparkContext.broadcast((known, start))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, part = Model(counts, weights), TaskContext.get().partitionId()
-        adam, rng, seen = Adam(SIZE, RATE / (turn + 1)), np.random.default_rng([turn, part]), 0
+        known, start = shared.value
+        model, part = Model(known, start.copy()), TaskContext.get().partitionId()
+        trainer, rng = Trainer(model, RATE / (turn + 1)), np.random.default_rng([turn, part])
         for b in batches:
-            for lengths, x in buckets_of(b.column(0)):
-                seen += train_slice(model, adam, rng, lengths, x)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(SIZE, dtype=np.int32)), pa.array(model.weights.astype(np.float64) * seen), pa.array(np.full(SIZE, seen, np.int64))], ["i", "w", "n"])
-
-    rows = docs.select(text_col).mapInArrow(each, "i int, w double, n long").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).toArrow()
-    if not rows.num_rows:
-        return Model(counts, weights).weights
-    out = np.zeros(SIZE, np.float32)
-    out[rows["i"].to_numpy()] = rows["w"].to_numpy()
+            lengths, x = lengths_and_codes(b.column(0))
+            trainer.train(lengths, x, rng)
+        for block in range(0, model.rows, BLOCK):
+            rows = np.flatnonzero(trainer.seen[block : block + BLOCK]) + block
+            if len(rows):
+                n = trainer.seen[rows]
+                moved = (model.weights[rows] - start[rows]) * n[:, None]
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([part % SALT]), *(pa.array([x.tobytes()], pa.binary()) for x in (rows.astype(np.int32), n, moved.astype(np.float32)))], ["block", "salt", "rows", "n", "moved"])
+
+    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The sums of the same rows of a block."""
+        block, n, moved = int(pdf.block.iloc[0]), np.zeros(BLOCK), np.zeros((BLOCK, HIDDEN))
+        for rows, some, by in zip(pdf.rows, pdf.n, pdf.moved):
+            at = np.frombuffer(rows, np.int32) - block
+            n[at] += np.frombuffer(some, np.float64)
+            moved[at] += np.frombuffer(by, np.float32).reshape(-1, HIDDEN)
+        at = np.flatnonzero(n)
+        return pd.DataFrame({"block": [block], "salt": [0], "rows": [(at + block).astype(np.int32).tobytes()], "n": [n[at].tobytes()], "moved": [moved[at].astype(np.float32).tobytes()]})
+
+    kinds = "block long, salt long, rows binary, n binary, moved binary"
+    found = codes.select("codes").mapInArrow(each, kinds).groupBy("block", "salt").applyInPandas(summed, kinds).groupBy("block").applyInPandas(summed, kinds).toArrow()
+    out = start.copy()
+    for r in found.to_pylist():
+        rows, n = np.frombuffer(r["rows"], np.int32), np.frombuffer(r["n"], np.float64)
+        out[rows] += np.frombuffer(r["moved"], np.float32).reshape(-1, HIDDEN) / n[:, None].astype(np.float32)
+    shared.unpersist()
     return out
 
 
-def fit(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket counts and weights."""
-    counts, weights = bucket_counts(docs, text_col), None
+def fit(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> tuple[Vocabulary, np.ndarray]:
+    """Vocabulary and vectors."""
+    known = vocabulary(docs, text_col)
+    codes = materialize(coded(docs, known, text_col), "codes")
+    weights = trained(codes, known, rounds)
+    drop_table(codes)
+    return known, weights
+
+
+def trained(codes: DataFrame, known: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
+    weights = Model(known).weights
     for turn in range(rounds):
-        weights = train_round(docs, counts, weights, turn, text_col)
-    return counts, weights
+        weights = train_round(codes, known, weights, turn)
+    return weights
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, n_words, log_prob (natural, summed), mean_log_prob: one row per document."""
-    counts, weights = fit(docs, text_col, rounds)
-    shared = docs.sparkSession.sparkContext.broadcast((counts, weights))  # 2 MB and 0.1 MB, whatever the corpus
+def scored(codes: DataFrame, known: Vocabulary, weights: np.ndarray, id_col: str = "doc_id") -> DataFrame:
+    """doc_id, n_words, log_prob (natural, summed), mean_log_prob of the rows of coded()."""
+    shared = codes.sparkSession.sparkContext.broadcast((known, weights))  # bounded by VOCABULARY, whatever the corpus
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*shared.value)
         for b in batches:
-            at = 0
-            for lengths, x in buckets_of(b.column(1)):
-                total = model.score(lengths, x)
-                mean = pa.array(total / np.maximum(lengths, 1), mask=lengths == 0)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(lengths)), pa.array(lengths.astype(np.int64)), pa.array(total), mean], ["doc_id", "n_words", "log_prob", "mean_log_prob"])
-                at += len(lengths)
+            lengths, x = lengths_and_codes(b.column(1))
+            total = model.score(lengths, x)
+            mean = pa.array(total / np.maximum(lengths, 1), mask=lengths == 0)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lengths), pa.array(total), mean], ["doc_id", "n_words", "log_prob", "mean_log_prob"])
+
+    return codes.select(id_col, "codes").mapInArrow(each, f"doc_id {dict(codes.dtypes)[id_col]}, n_words long, log_prob double, mean_log_prob double")
 
-    kind = docs.select(id_col).dtypes[0][1]
-    return docs.select(id_col, text_col).mapInArrow(each, f"doc_id {kind}, n_words long, log_prob double, mean_log_prob double")
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+    """doc_id, n_words, log_prob, mean_log_prob by a model of the documents themselves: one row per document."""
+    known = vocabulary(docs, text_col)
+    codes = materialize(coded(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), known, "text", ["doc_id"]), "codes")
+    return scored(codes, known, trained(codes, known, rounds))

@@ -150,41 +150,101 @@ def test_language_id(spark, odd_docs, no_docs):
 def test_masked_lm(spark, odd_docs, no_docs):
     got = masked_lm.score(odd_docs, rounds=1).collect()
     assert len(got) == odd_docs.count()
-    by_text = {}
+    words = {r.doc_id: len((r.text or "").lower().split()) for r in odd_docs.where("doc_id < 4 OR doc_id > 4").collect()}
     for r in got:
         assert (r.mean_log_prob is None) == (r.n_words == 0) and r.log_prob <= 0
+        assert r.doc_id not in words or r.n_words == words[r.doc_id]
+    same = [r.log_prob for r in got if r.doc_id in (7, 9)]
+    assert len(same) == 4 and max(same) - min(same) < 1e-9
     assert masked_lm.score(no_docs, rounds=1).count() == 0
 
 
-def test_masked_lm_learns_and_scores_exactly(spark):
-    text = " ".join(["red fox runs far away"] * 400)
-    docs = spark.createDataFrame([(i, text) for i in range(40)], "doc_id long, text string").repartition(2)
-    counts, weights = masked_lm.fit(docs, rounds=2)
-    trained, plain = masked_lm.Model(counts, weights), masked_lm.Model(counts)
-    (n, x), = masked_lm.buckets_of(pa.array([text]))
-    assert trained.score(n, x)[0] > plain.score(n, x)[0] + 100
-    # brute force: word by word
-    short = [masked_lm.bucket_of(w) for w in "red fox runs".split()]
-    total = 0.0
-    for i, b in enumerate(short):
-        around = [trained.class_of[short[j]] if 0 <= (j := i + s) < 3 else masked_lm.CLASSES for s in (-2, -1, 1, 2)]
-        p = trained.parts
-        h = np.tanh(p["bias"] + sum(p["embed"][k][c] for k, c in enumerate(around)))
-        z = h @ p["out"] + p["out_bias"]
-        z = z.astype(np.float64)
-        total += z[trained.class_of[b]] - np.log(np.exp(z).sum()) + trained.inside[b]
-    assert abs(trained.score(np.array([3]), np.array(short))[0] - total) < 1e-3
+def small_model(base=3, hidden=4, seed=0):
+    rng = np.random.default_rng(seed)
+    known = masked_lm.Vocabulary([f"w{i}" for i in range(base**3 - 3)], rng.integers(1, 9, base**3 - 3), 5, 11)
+    model = masked_lm.Model(known, base=base, hidden=hidden)
+    model.weights = rng.normal(0, 0.5, model.weights.shape).astype(np.float64)
+    return model, rng
+
+
+def brute_log_prob(model, around, word):
+    """Of one word between four others, from the definition."""
+    base, at, w = model.base, model.at, model.weights
+    h = np.tanh(w[at["bias"]] + sum(model.signs[k] * w[c] for k, c in enumerate(around)))
+    total = model.rare_share if word == masked_lm.RARE else 0.0
+    first, second = word // base**2, word // base
+    for name, level, low, digit in (("first", 0, 0, first), ("second", 1, first * base, second - first * base), ("third", 2, second * base, word - second * base)):
+        z = w[at[name] + low : at[name] + low + base] @ h + model.shares[level][low // base]
+        total += z[digit] - np.log(np.exp(z).sum())
+    return total
+
+
+def test_language_model_equals_brute_force_and_sums_to_one():
+    model, rng = small_model()
+    lengths, codes = np.array([0, 5, 1, 0, 3]), rng.integers(0, 25, 9).astype(np.uint16)
+    want, pad = [], model.size
+    for text in np.split(codes, np.cumsum(lengths)[:-1]):
+        whole = [pad, pad, *text.tolist(), pad, pad]
+        want.append(sum(brute_log_prob(model, [whole[i], whole[i + 1], whole[i + 3], whole[i + 4]], int(c)) for i, c in enumerate(text)))
+    assert np.allclose(model.score(lengths, codes), want, atol=1e-4)
+    around = [3, 7, 27, 1]
+    rare = np.exp(brute_log_prob(model, around, 0)) * 5  # five rare words have a share each
+    assert abs(sum(np.exp(brute_log_prob(model, around, w)) for w in range(1, 25)) + rare - 1) < 1e-6
+
+
+def test_language_model_gradient():
+    """Numerical differences over every weight that a batch touches."""
+    model, rng = small_model()
+    codes = rng.integers(0, 25, 12).astype(np.uint16)
+    padded, place = model.window(np.array([7, 5]), codes)
+    words, around = padded[place], [padded[place + s] for s in masked_lm.PLACES]
+    loss = lambda: -model.batch(words, around, False)[0].mean()
+    found = np.zeros_like(model.weights)
+    for rows, _, g in model.batch(words, around, True)[1]:
+        np.add.at(found, rows, g)
+    for i in np.ndindex(model.weights.shape):
+        old = model.weights[i]
+        model.weights[i] = old + 1e-4
+        up = loss()
+        model.weights[i] = old - 1e-4
+        down = loss()
+        model.weights[i] = old
+        assert abs((up - down) / 2e-4 - found[i]) < 1e-5
+
+
+def test_language_model_beats_the_shares_of_words_on_other_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").dropDuplicates(["text"]).repartition(2, "doc_id")
+    train, held = docs.where("doc_id % 10 < 9"), docs.where("doc_id % 10 = 9")
+    known, weights = masked_lm.fit(train)
+    lengths, codes = masked_lm.lengths_and_codes(masked_lm.coded(held, known).toArrow().column("codes").combine_chunks())
+    plain, trained = (masked_lm.Model(known, w).score(lengths, codes).sum() / len(codes) for w in (None, weights))
+    counts = np.concatenate(([known.rare_count + 1], known.counts))
+    share = np.log(counts / counts.sum())
+    assert abs(plain - (share[codes] - np.log(max(1, known.rare_kinds)) * (codes == 0)).mean()) < 1e-3  # untrained, it says the shares
+    assert trained > plain + 0.1
+
+
+def test_language_model_counts_and_codes_every_word(spark):
+    long = "x" * 70
+    docs = spark.createDataFrame([(1, f"A a b {long} c"), (2, f"a B {long} {long}y\tq"), (3, None)], "doc_id long, text string")
+    known = masked_lm.vocabulary(docs, size=3)
+    assert known.words == ["a", "b"] and known.counts.tolist() == [3, 2] and (known.rare_kinds, known.rare_count) == (4, 5)
+    rows = {r.doc_id: np.frombuffer(r.codes, "<u2").tolist() for r in masked_lm.coded(docs, known, "text", ["doc_id"]).collect()}
+    assert rows == {1: [1, 1, 2, 0, 0], 2: [1, 2, 0, 0, 0], 3: []}
 
 
 def test_language_model_trains_on_every_position(monkeypatch):
-    """Each position is a target once a round; the weights follow the last text of a slice as well as the first."""
+    """Each position is a target once a round, the last text of a slice as well as the first."""
     rng = np.random.default_rng(2)
-    lengths, buckets = np.array([9000, 0, 1, 700]), rng.integers(0, 50, 9701)
-    model = masked_lm.Model(np.bincount(buckets, minlength=masked_lm.BUCKETS))
-    met, plain = [], model.gradient
-    monkeypatch.setattr(model, "gradient", lambda around, classes: (met.append(classes), plain(around, classes))[1])
-    assert masked_lm.train_slice(model, masked_lm.Adam(masked_lm.SIZE, 0.01), rng, lengths, buckets) == 9701
-    assert np.array_equal(np.sort(np.concatenate(met)), np.sort(model.class_of[buckets]))
+    lengths, codes = np.array([40_000, 0, 1, 700]), rng.integers(0, 50, 40_701).astype(np.uint16)
+    model = masked_lm.Model(masked_lm.Vocabulary([], np.zeros(0, np.int64)))
+    trainer, met = masked_lm.Trainer(model, 0.1), []
+    monkeypatch.setattr(trainer, "step", lambda words, around: met.append(np.stack([words, *around])))
+    trainer.train(lengths, codes, rng)
+    padded, place = model.window(lengths, codes)
+    want = np.stack([padded[place], *(padded[place + s] for s in masked_lm.PLACES)])
+    assert np.array_equal(np.unique(np.concatenate(met, axis=1), axis=1, return_counts=True)[1], np.unique(want, axis=1, return_counts=True)[1])
+    assert sum(x.shape[1] for x in met) == 40_701
 
 
 def test_short_items_match_as_whole_words():
