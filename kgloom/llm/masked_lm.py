@@ -48,6 +48,8 @@ PLACES = (-2, -1, 1, 2)
 ROUNDS = 2
 RATE = 0.4
 BATCH = 1 << 15
+#: Words that are worked on together within a batch.
+CHUNK = 1 << 13
 SLICE_BYTES = 8_000_000
 #: Vectors in a row of what partitions give, and groups in which rows of a block are summed first.
 BLOCK, SALT = 1024, 32
@@ -169,55 +171,76 @@ class Model:
         return [("first", np.zeros_like(first), first), ("second", first, second), ("third", pair, third)]
 
     def hidden_layer(self, around: list[np.ndarray]) -> np.ndarray:
-        out = np.repeat(self.weights[self.at["bias"]][None], len(around[0]), axis=0)
+        n = len(around[0])
+        out, own = np.empty((n, self.hidden), self.weights.dtype), np.empty((n, self.hidden), self.weights.dtype)
+        out[:] = self.weights[self.at["bias"]]
         for k, codes in enumerate(around):
-            out += self.weights.take(codes, axis=0) * self.signs[k]
+            np.take(self.weights, codes, axis=0, out=own, mode="clip")
+            own *= self.signs[k]
+            out += own
         return np.tanh(out, out=out)
 
-    def batch(self, words: np.ndarray, around: list[np.ndarray], gradient: bool) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-        """The log-probability of each word; and, if asked, the gradient of the mean of its negative as (rows, of how many words, sums)."""
+    def groups(self, name: str) -> np.ndarray:
+        """The vectors of one kind of digit, by group."""
+        low = self.at[name]
+        return self.weights[low : low + {"first": self.base, "second": self.base**2, "third": self.size}[name]].reshape(-1, self.base, self.hidden)
+
+    def batch(self, words: np.ndarray, around: list[np.ndarray], gradient: bool) -> np.ndarray | list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """The log-probability of each word; or, if asked, the gradient of the mean of its negative.
+
+        A gradient is (where its vectors begin, which of them in groups of as many as the third has, of how many words, sums).
+        """
         order = np.argsort(words, kind="stable")  # short integers are sorted by radix; words of a group lie together
         words, around = words[order], [x[order] for x in around]
         hidden, n, base, out = self.hidden_layer(around), len(words), self.base, []
         logs, back = np.zeros(n, np.float64), np.zeros_like(hidden)
         z, each = np.empty((n, base), self.weights.dtype), np.arange(n)
+        ones = np.ones(base, z.dtype)
         for level, (name, group, digit) in enumerate(self.digits(words)):
             first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-            ends, found = np.append(first[1:], n).tolist(), group[first]
-            starts, low = first.tolist(), (self.at[name] + found * base).tolist()
-            for a, b, g in zip(starts, ends, low):
-                np.dot(hidden[a:b], self.weights[g : g + base].T, out=z[a:b])
-            z += self.shares[level].take(group, axis=0)
-            np.exp(z, out=z)
-            total = z.sum(axis=1)
-            logs += np.log(z[each, digit] / total)
-            if not gradient:
-                continue
-            z *= (1 / total)[:, None]
-            z[each, digit] -= 1
+            found, vectors = group[first], self.groups(name)
+            ends = np.append(first[1:], n)
             sums = np.empty((len(found), base, self.hidden), self.weights.dtype)
-            for i, (a, b, g) in enumerate(zip(starts, ends, low)):
-                back[a:b] += z[a:b] @ self.weights[g : g + base]
-                np.dot(z[a:b].T, hidden[a:b], out=sums[i])
-            out.append(((np.array(low)[:, None] + np.arange(base)).ravel(), np.repeat(np.diff(np.append(first, n)), base), sums.reshape(-1, self.hidden) / n))
-        logs += np.where(words == RARE, self.rare_share, 0)
-        result = np.empty_like(logs)
-        result[order] = logs
-        if gradient:
-            back *= (1 - hidden * hidden) / n
-            out.append((np.array([self.at["bias"]]), np.array([n]), back.sum(axis=0, keepdims=True)))
-            flat = np.concatenate(around)
-            order = np.argsort(flat, kind="stable")
-            flat = flat[order]
-            first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
-            values = back.take(order % n, axis=0) * self.signs.take(order // n, axis=0)
-            out.append((flat[first].astype(np.int64), np.diff(np.append(first, len(flat))), np.add.reduceat(values, first, axis=0)))
-        return result, out
+            runs = list(zip(first.tolist(), ends.tolist(), found.tolist(), sums))
+            # neighbouring groups of about CHUNK words at a time, which stay in the processor's cache
+            cuts = np.flatnonzero(np.concatenate(([True], first[1:] // CHUNK != first[:-1] // CHUNK))).tolist()
+            for i, j in zip(cuts, [*cuts[1:], len(runs)]):
+                low, high = runs[i][0], runs[j - 1][1]
+                for a, b, g, _ in runs[i:j]:
+                    np.dot(hidden[a:b], vectors[g].T, out=z[a:b])
+                some = z[low:high]
+                some += self.shares[level].take(group[low:high], axis=0)
+                np.exp(some, out=some)
+                total, at = some @ ones, (each[: high - low], digit[low:high])
+                if not gradient:
+                    logs[low:high] += np.log(some[at] / total)
+                    continue
+                some *= (1 / total)[:, None]
+                some[at] -= 1
+                for a, b, g, x in runs[i:j]:
+                    back[a:b] += z[a:b] @ vectors[g]
+                    np.dot(z[a:b].T, hidden[a:b], out=x)
+            if gradient:
+                out.append((self.at[name], found, ends - first, sums / n))
+        if not gradient:
+            logs += np.where(words == RARE, self.rare_share, 0)
+            result = np.empty_like(logs)
+            result[order] = logs
+            return result
+        back *= (1 - hidden * hidden) / n
+        out.append((self.at["bias"], np.zeros(1, np.int64), np.array([n]), back.sum(axis=0)[None, None]))
+        flat = np.concatenate(around)
+        order = np.argsort(flat, kind="stable")
+        flat = flat[order]
+        first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+        values = (back * self.signs[:, None]).reshape(-1, self.hidden).take(order, axis=0)
+        out.append((self.at["around"], flat[first].astype(np.int64), np.diff(np.append(first, len(flat))), np.add.reduceat(values, first, axis=0)[:, None]))
+        return out
 
     def score(self, lengths: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """The summed log-probability of each text."""
         padded, place = self.window(lengths, codes)
-        found = [self.batch(padded[p], [padded[p + s] for s in PLACES], False)[0] for p in np.split(place, range(BATCH, len(place), BATCH))] if len(place) else [np.zeros(0)]
+        found = [self.batch(padded[p], [padded[p + s] for s in PLACES], False) for p in np.split(place, range(BATCH, len(place), BATCH))] if len(place) else [np.zeros(0)]
         total = np.concatenate(([0], np.cumsum(np.concatenate(found))))
         ends = np.cumsum(lengths)
         return total[ends] - total[ends - lengths]
@@ -231,10 +254,14 @@ class Trainer:
         self.squares, self.seen = np.full(model.rows, 1e-6, np.float32), np.zeros(model.rows, np.float64)
 
     def step(self, words: np.ndarray, around: list[np.ndarray]) -> None:
-        for rows, n, g in self.model.batch(words, around, True)[1]:
-            self.squares[rows] += (g * g).mean(axis=1)
-            self.model.weights[rows] -= self.rate * g / np.sqrt(self.squares[rows])[:, None]
-            self.seen[rows] += n
+        for low, groups, n, g in self.model.batch(words, around, True):
+            many, width, hidden = g.shape
+            last = low + (len(self.seen) - low) // width * width
+            weights, squares, seen = self.model.weights[low:last].reshape(-1, width, hidden), self.squares[low:last].reshape(-1, width), self.seen[low:last].reshape(-1, width)
+            squares[groups] += np.einsum("gwh,gwh->gw", g, g) / hidden
+            g *= (self.rate / np.sqrt(squares[groups]))[:, :, None]
+            weights[groups] -= g
+            seen[groups] += n[:, None]
 
     def train(self, lengths: np.ndarray, codes: np.ndarray, rng: np.random.Generator) -> None:
         """Steps over all positions of some texts in shuffled batches."""

@@ -198,10 +198,10 @@ def test_language_model_gradient():
     codes = rng.integers(0, 25, 12).astype(np.uint16)
     padded, place = model.window(np.array([7, 5]), codes)
     words, around = padded[place], [padded[place + s] for s in masked_lm.PLACES]
-    loss = lambda: -model.batch(words, around, False)[0].mean()
+    loss = lambda: -model.batch(words, around, False).mean()
     found = np.zeros_like(model.weights)
-    for rows, _, g in model.batch(words, around, True)[1]:
-        np.add.at(found, rows, g)
+    for low, groups, _, g in model.batch(words, around, True):
+        np.add.at(found, low + groups[:, None] * g.shape[1] + np.arange(g.shape[1]), g)
     for i in np.ndindex(model.weights.shape):
         old = model.weights[i]
         model.weights[i] = old + 1e-4
