@@ -3,14 +3,16 @@
 Documents are range-partitioned and sorted by id, encoded, and an end id is appended to each.
 A shard holds the ids of neighbouring documents. Its grammar is found in rounds: all pairs of
 neighbouring symbols are counted, the frequent ones that no more frequent pair overlaps are each
-replaced by a new nonterminal, and the pair becomes its rule; rounds go on until one shortens the
-shard by less than `LEAST_GAIN`. Pairs never cross the end of a document.
+replaced by a new nonterminal, and the pair becomes its rule; rounds go on until no pair is worth a rule. Pairs never cross the
+end of a document.
 
 File format (Parquet, one row per shard, so Spark writes and prunes it like any table):
 
     part, shard        int     range partition, number of the shard in it; both ascend with doc ids
     tokens             long    ids in the shard
     before             long    ids in the earlier shards of its part
+    first, last        (the id column's own type) least and greatest id, by which readers leave shards out
+    nulls              int      documents without an id
     doc_ids            array<long>  (the id column's own type)
     symbol_start       binary  uint32[documents + 1]: where each document's symbols start
     symbols            binary  uint32: ids, nonterminals from `base` on, `base - 1` for the end id
@@ -18,7 +20,8 @@ File format (Parquet, one row per shard, so Spark writes and prunes it like any
     rule_length        binary  uint32[rules]: ids that nonterminal base + i expands to
     base               int
 
-A document is read by expanding its own symbols alone; expansion lengths give its size without expanding.
+read_documents() reads some documents, or a range of the ids of each: it leaves out shards by `first` and `last`, finds the symbols that
+reach into the range by the expansion lengths, and expands those alone. The other readers expand whole shards.
 
 Defined results: null text is empty and has just the end id; null ids come first; rows that
 repeat an id are ordered by text; an empty table gives no shards.
@@ -39,46 +42,90 @@ from kgloom.llm.bpe import gather, library_words
 
 END_ID = 1
 SHARD_IDS = 1 << 20
-LEAST_GAIN = 0.02
 #: A pair must occur this often in a shard; a rule costs three numbers.
 LEAST_COUNT = 4
 _SLOTS = 20
 
 
-def re_pair(symbols: np.ndarray, base: int, least_count: int = LEAST_COUNT, least_gain: float = LEAST_GAIN) -> tuple[np.ndarray, np.ndarray]:
-    """The grammar (rules, compressed symbols) of uint32 symbols; base - 1 marks ends and is never replaced."""
+def re_pair(symbols: np.ndarray, base: int, least_count: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray]:
+    """The grammar (rules, compressed symbols) of uint32 symbols; base - 1 marks ends and is never replaced.
+
+    Only the places of pairs that may still be frequent are looked at in each round: a pair of old symbols never gets
+    more frequent again, and pairs with a new symbol stand beside its places.
+    """
     rules: list[np.ndarray] = []
-    made = 0
-    while len(symbols) > 2:
-        a, b = symbols[:-1], symbols[1:]
-        slot = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(32 - _SLOTS)
-        open_ = (a != base - 1) & (b != base - 1)
-        count = np.bincount(slot[open_], minlength=1 << _SLOTS).astype(np.int32)[slot]
-        count[~open_] = 0
-        # the more frequent of overlapping pairs goes first, of equals the left one
-        best = count >= least_count
-        best[1:] &= count[1:] > count[:-1]
-        best[:-1] &= count[:-1] >= count[1:]
-        at = np.flatnonzero(best)
-        key = a[at].astype(np.uint64) << np.uint64(32) | b[at]
+    made, end = 0, base - 1
+    places = np.flatnonzero((symbols[:-1] != end) & (symbols[1:] != end)) if len(symbols) > 1 else np.zeros(0, np.int64)
+    while len(places):
+        a, b = symbols[places], symbols[places + 1]
+        bits = min(_SLOTS, len(places).bit_length() + 2)
+        slot = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(32 - bits)
+        count = np.bincount(slot, minlength=1 << bits)[slot]
+        often = count >= least_count
+        # the more frequent of overlapping pairs goes first, of equals the one with the greater hash, so that a long repeated passage shrinks everywhere
+        places, count = places[often], count[often] << 32 | slot[often]
+        overlaps = places[1:] == places[:-1] + 1
+        best = np.ones(len(places), bool)
+        best[1:] &= ~overlaps | (count[1:] > count[:-1])
+        best[:-1] &= ~overlaps | (count[:-1] >= count[1:])
+        at = places[best]
+        key = symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1]
         pairs, which, times = np.unique(key, return_inverse=True, return_counts=True)
         good = times >= least_count
-        number = np.cumsum(good) - 1
         taken = good[which]
-        at, which = at[taken], number[which[taken]]
-        if len(at) < max(1, least_gain * len(symbols)):
+        at, which = at[taken], (np.cumsum(good) - 1)[which[taken]]
+        if not len(at):
             break
         pairs = pairs[good]
         rules.append(np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
-        symbols = symbols.copy()
-        symbols[at] = (base + made + which).astype(np.uint32)
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
+        touched = np.zeros(len(symbols) + 1, bool)
+        touched[at], touched[at + 1], touched[at - 1] = True, True, True  # at - 1 of the first place is the spare last one
+        places = places[~touched[places]]
+        symbols = symbols.copy()
+        symbols[at] = (base + made + which).astype(np.uint32)
         symbols = symbols[keep]
         made += len(pairs)
+        places -= np.searchsorted(at, places)
+        at = at - np.arange(len(at))
+        beside = np.concatenate([at, at - 1])
+        beside = beside[(beside >= 0) & (beside + 1 < len(symbols))]
+        beside = beside[(symbols[beside] != end) & (symbols[beside + 1] != end)]
+        open_ = np.zeros(len(symbols), bool)
+        open_[places] = open_[beside] = True
+        places = np.flatnonzero(open_)
     return np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), symbols
 
 
+def expand_some(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
+    """The ids of some symbols, by the rules they lead to alone."""
+    out = symbols
+    while (big := out >= base).any():
+        start = np.cumsum(1 + big) - 1 - big
+        new = np.empty(len(out) + int(big.sum()), np.uint32)
+        new[start[~big]] = out[~big]
+        pair = rules[out[big] - base]
+        new[start[big]], new[start[big] + 1] = pair[:, 0], pair[:, 1]
+        out = new
+    return np.where(out == base - 1, np.uint32(END_ID), out).astype(np.uint32)
+
+
+def part_of(symbols: np.ndarray, rules: np.ndarray, rule_length: np.ndarray, base: int, begin: int, end: int | None) -> tuple[int, np.ndarray]:
+    """The number of ids that the symbols stand for, and those from begin to end; only symbols that reach into that range are expanded."""
+    width = np.ones(len(symbols), np.int64)
+    big = symbols >= base
+    width[big] = rule_length[symbols[big] - base]
+    last = np.cumsum(width)
+    total = int(last[-1]) if len(last) else 0
+    begin, end, _ = slice(begin, end).indices(total)
+    if begin >= end:
+        return total, np.zeros(0, np.uint32)
+    i, j = int(np.searchsorted(last, begin, "right")), int(np.searchsorted(last, end, "left")) + 1
+    skipped = int(last[i] - width[i])
+    return total, expand_some(symbols[i:j], rules, base)[begin - skipped : end - skipped]
+
+
 class Grammar:
     """Expands symbols: the expansions of all rules lie flat, one after the other."""
 
@@ -121,12 +168,14 @@ def _pack(part: int, shard: int, before: int, ids: list, lengths: list[np.ndarra
     body[ends - 1] = False
     symbols[body] = flat
     rules, packed = re_pair(symbols, base)
+    known = [i for i in ids if i is not None]
+    ends_of_ids = [pa.array([f(known) if known else None], id_type) for f in (min, max)]
     starts = np.concatenate(([0], np.flatnonzero(packed == base - 1) + 1)).astype(np.uint32)
     lengths_of_rules = Grammar(rules, base).width[base:].astype(np.uint32)
     column = lambda x: pa.array([x.tobytes()], pa.binary())
     return pa.RecordBatch.from_arrays(
-        [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([len(symbols)], pa.int64()), pa.array([before], pa.int64()), pa.array([ids], pa.list_(id_type)), column(starts), column(packed), column(rules), column(lengths_of_rules), pa.array([base], pa.int32())],
-        ["part", "shard", "tokens", "before", "doc_ids", "symbol_start", "symbols", "rules", "rule_length", "base"],
+        [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([len(symbols)], pa.int64()), pa.array([before], pa.int64()), *ends_of_ids, pa.array([len(ids) - len(known)], pa.int32()), pa.array([ids], pa.list_(id_type)), column(starts), column(packed), column(rules), column(lengths_of_rules), pa.array([base], pa.int32())],
+        ["part", "shard", "tokens", "before", "first", "last", "nulls", "doc_ids", "symbol_start", "symbols", "rules", "rule_length", "base"],
     )
 
 
@@ -157,7 +206,7 @@ def shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             yield _pack(part, shard, before, ids, lengths, tokens, base, kind)
 
     kind = rows.dtypes[0][1]
-    return rows.mapInArrow(pack, f"part int, shard int, tokens long, before long, doc_ids array<{kind}>, symbol_start binary, symbols binary, rules binary, rule_length binary, base int")
+    return rows.mapInArrow(pack, f"part int, shard int, tokens long, before long, first {kind}, last {kind}, nulls int, doc_ids array<{kind}>, symbol_start binary, symbols binary, rules binary, rule_length binary, base int")
 
 
 def write(docs: DataFrame, out: str, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -184,6 +233,38 @@ def read_checksums(spark: SparkSession, out: str) -> DataFrame:
     return _documents(spark.read.parquet(out), "ids_crc32", lambda x: zlib.crc32(x.astype("<u4").tobytes()), "long", pa.int64())
 
 
+def read_documents(spark: SparkSession, out: str, ids: list, begin: int = 0, end: int | None = None) -> DataFrame:
+    """doc_id, start, n_tokens, ids (binary, as in read()) of the documents with such ids, None among them; of each the ids from begin to end.
+
+    start and n_tokens are those of the whole document. The list is meant for a handful of documents, as it is part of the plan.
+    """
+    files, wanted = spark.read.parquet(out), set(ids)
+    known = sorted(i for i in wanted if i is not None)
+    hit = F.col("nulls") > 0 if None in wanted else F.lit(False)
+    if known:
+        inside = F.exists(F.array(*map(F.lit, known)), lambda i: (F.col("first") <= i) & (i <= F.col("last")))
+        hit = hit | (F.col("first") <= known[-1]) & (F.col("last") >= known[0]) & inside
+    id_kind = dict(files.dtypes)["doc_ids"].removeprefix("array<").removesuffix(">")
+    rows = _with_start(files).where(hit).select("start", "doc_ids", "symbol_start", "symbols", "rules", "rule_length", "base")
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                start, own, base = b.column(0)[i].as_py(), b.column(1)[i].as_py(), b.column(6)[i].as_py()
+                cuts, symbols, rules, widths = (np.frombuffer(b.column(k)[i].as_py(), np.uint32) for k in (2, 3, 4, 5))
+                rules = rules.reshape(-1, 2)
+                big = symbols >= base
+                width = np.ones(len(symbols), np.int64)
+                width[big] = widths[symbols[big] - base]
+                before = np.concatenate(([0], np.cumsum(width)))
+                at = [n for n, x in enumerate(own) if x in wanted]
+                found = [part_of(symbols[cuts[n] : cuts[n + 1]], rules, widths, base, begin, end) for n in at]
+                columns = [b.column(1)[i].values.take(pa.array(at, pa.int64())), pa.array([start + int(before[cuts[n]]) for n in at], pa.int64()), pa.array([n for n, _ in found], pa.int64()), pa.array([x.astype("<u4").tobytes() for _, x in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids"])
+
+    return rows.mapInArrow(unpack, f"doc_id {id_kind}, start long, n_tokens long, ids binary")
+
+
 def _documents(files: DataFrame, name: str, make, kind: str, arrow: pa.DataType) -> DataFrame:
     id_kind = dict(files.dtypes)["doc_ids"].removeprefix("array<").removesuffix(">")
     rows = _with_start(files).select("start", "doc_ids", "symbol_start", "symbols", "rules", "base")
