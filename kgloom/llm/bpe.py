@@ -12,7 +12,8 @@ A worker remembers the words it has met of late, up to a bound; the words of eac
 found, told apart and put together in Arrow, so Python handles distinct words only.
 
 Defined results: null text is empty and has no ids; special tokens written in a text are matched
-as the tokenizer file says; unknown ids don't occur, every byte has a symbol.
+as the tokenizer file says; unknown ids don't occur, every byte has a symbol; repeated rows are rows of their own; an empty
+table gives an empty result; a tokenizer file with other rules for cutting, merging or joining than those here is an error.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from kgloom.llm.common import fresh
+
 #: A worker keeps so many words it has met of late, and as many of the time before; and so many known seams.
 KNOWN_WORDS = 300_000
 #: Words, in sorted order, whose trie is held at a time.
@@ -55,12 +58,33 @@ def _byte_symbols() -> dict[int, str]:
 BYTE_SYMBOLS = _byte_symbols()
 
 
+#: How the words of a text are found, as the tokenizer file must say it: these are the rules that CUT_ASCII and CUT follow (fixed values).
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def checked(path: str) -> dict:
+    """The tokenizer file, if this module reads texts as it says; else an error, as ids would be wrong."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model = spec["model"]
+    plain = not any(model.get(k) for k in ("unk_token", "continuing_subword_prefix", "byte_fallback", "fuse_unk", "ignore_merges", "dropout"))
+    if model["type"] != "BPE" or not plain or spec["normalizer"] != NORMALIZER or spec["pre_tokenizer"] != PRE_TOKENIZER or spec["decoder"] is not None:
+        raise ValueError(f"{path} cuts, merges or joins texts by other rules than these operators do")
+    return spec
+
+
 class TrieEncoder:
     """Encodes words with the BPE model of a tokenizer file."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = checked(path)
         model = spec["model"]
         self.end = model.get("end_of_word_suffix") or ""
         self.vocab: dict[str, int] = model["vocab"]
@@ -199,6 +223,7 @@ class LibraryEncoder:
     """The same over the tokenizers library's own encoder."""
 
     def __init__(self, path: str):
+        checked(path)
         self.tool = Tokenizer.from_file(path)
         self.final = np.array([self.tool.id_to_token(i).endswith("</w>") for i in range(self.tool.get_vocab_size())])
 
@@ -302,7 +327,11 @@ def token_names(path: str) -> pa.Array:
 
 
 def with_codes(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """The rows with their `ids` and the text `decoded` from those."""
+    """The rows with their `ids` and the text `decoded` from those. Columns of the input with these names stay, with a _ before them."""
+    for c in docs.columns:
+        if c.lower() in ("ids", "decoded"):
+            kept = fresh(f"_{c}", docs)
+            docs, text_col = docs.withColumnRenamed(c, kept), kept if text_col == c else text_col
     coded = docs.withColumn("ids", encode(F.col(text_col), path))
     return coded.withColumn("decoded", decode(F.col("ids"), path))
 

@@ -14,7 +14,8 @@ languages * sample_docs * snippet bytes. Classification covers every row.
 Defined results: text that is null, empty or has no letter is `und` with score 0 and is
 rejected; equal totals go to the language with most training rows, then the alphabetically first, with score 0; with no training
 rows every text is `und`; with one language it always wins with score 1; null languages are
-never learned; repeated rows get equal results.
+never learned; rows without an id are learnt from and predicted like any other; rows that repeat an id count as they are;
+repeated rows get equal results; other columns of the input, whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -41,16 +42,25 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """lang, text: per language the training documents with the smallest id hash, ties by id.
+def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """id, lang, text of the rows that may be learnt from."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), held_out(id_col).alias("held_out"))
+    return rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.col("held_out")).drop("held_out")
+
+
+def training_sample(rows: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """lang, rank, text of training_rows(): per language those with the smallest id hash, ties by id and text; at most sample_docs of each.
 
     The top rows are found on ids alone; the window's group limit keeps at most sample_docs rows
-    of a language in each partition before they are shuffled.
+    of a language in each partition before they are shuffled. Rows that share a chosen id are ranked once more with their texts.
     """
-    ids = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    picked = ids.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_docs).select(F.col("id").alias("_picked"), "rank")
-    return docs.join(F.broadcast(picked), docs[id_col] == picked["_picked"]).select(F.col(lang_col).alias("lang"), "rank", F.substring(F.col(text_col), 1, 4 * SNIPPET).alias("text"))
+    picked = rows.select("id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_docs)
+    picked = picked.groupBy(F.col("lang").alias("_lang"), F.col("id").alias("_id")).agg(F.min("rank").alias("rank"))
+    cut = rows.select("id", "lang", F.substring("text", 1, 4 * SNIPPET).alias("text"))
+    found = cut.join(F.broadcast(picked), F.col("lang").eqNullSafe(F.col("_lang")) & F.col("id").eqNullSafe(F.col("_id"))).select("lang", "rank", "text")
+    again = Window.partitionBy("lang").orderBy("rank", "text")
+    return found.withColumn("again", F.row_number().over(again)).where(F.col("again") <= sample_docs).select("lang", F.col("again").alias("rank"), "text")
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, snippet: int = SNIPPET) -> dict[str, bytes]:
@@ -58,12 +68,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     Only the bounded sample and a row count per language reach the driver.
     """
-    rows = training_sample(docs, id_col, text_col, lang_col, sample_docs).collect()
+    train = training_rows(docs, id_col, text_col, lang_col)
     out: dict[str, list[bytes]] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["rank"], r["text"])):
+    for r in sorted(training_sample(train, sample_docs).collect(), key=lambda r: (r["lang"], r["rank"])):
         out.setdefault(r["lang"], []).append(prepared(r["text"]).encode()[:snippet])
-    train = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
-    count = {r["lang"]: r["n"] for r in train.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
+    count = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     return {lang: b"\n".join(reversed(out[lang])) for lang in sorted(out, key=lambda x: (-count[x], x))}
 
 

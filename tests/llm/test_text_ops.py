@@ -64,6 +64,71 @@ def test_re_pair_round_trip():
         assert g.lengths(packed, ends).tolist() == np.diff(np.concatenate(([0], np.flatnonzero(symbols == 9) + 1))).tolist()
 
 
+def test_re_pair_leaves_no_pair_worth_a_rule_standing_alone():
+    """Long repeated passages end as few symbols; rules are used; partial expansion equals the whole one."""
+    rng = np.random.default_rng(3)
+    passage = rng.integers(0, 500, 300).astype(np.uint32)
+    symbols = np.concatenate([x for _ in range(20) for x in (passage, rng.integers(0, 500, 5).astype(np.uint32), np.array([999], np.uint32))])
+    rules, packed = token_files.re_pair(symbols, 1000)
+    assert len(packed) < 20 * 8
+    whole = token_files.Grammar(rules, 1000)
+    width = whole.width[1000:].astype(np.uint32)
+    full = whole.expand(packed)
+    assert (token_files.expand_some(packed, rules, 1000) == full).all()
+    for begin, end in ((0, None), (0, 1), (299, 307), (5, 5), (-3, None), (6000, 9999), (10**6, None)):
+        total, part = token_files.part_of(packed, rules, width, 1000, begin, end)
+        assert total == len(symbols) and (part == full[begin:end]).all()
+
+
+def test_token_files_random_access(spark, odd_docs, tmp_path, monkeypatch):
+    """Some documents, and ranges of them, are read without a look at the symbols of any other, and without the other shards."""
+    monkeypatch.setattr(token_files, "SHARD_IDS", 2000)
+    rows = token_files.shards(odd_docs, TOKENIZER, shard_ids=2000)
+    out = str(tmp_path / "some")
+    rows.write.parquet(out)
+    every = {(r.doc_id, r.start): (r.n_tokens, r.ids) for r in token_files.read(spark, out).collect()}
+    wanted = [None, 4, 7, 14, 10**9]
+    got = token_files.read_documents(spark, out, wanted).collect()
+    assert {(r.doc_id, r.start): (r.n_tokens, r.ids) for r in got} == {k: v for k, v in every.items() if k[0] in wanted} and got
+    part = token_files.read_documents(spark, out, [5, 14], 3, 11).collect()
+    assert {(r.doc_id, r.start): (r.n_tokens, r.ids) for r in part} == {k: (n, x[12:44]) for k, (n, x) in every.items() if k[0] in (5, 14)}
+
+    def spoil(batches):  # the symbols of all documents but 14 lead to no rule at all
+        for b in batches:
+            for r in b.to_pylist():
+                cuts, symbols = np.frombuffer(r["symbol_start"], np.uint32), np.frombuffer(r["symbols"], np.uint32).copy()
+                for n, i in enumerate(r["doc_ids"]):
+                    if i != 14:
+                        symbols[cuts[n] : cuts[n + 1]] = np.where(symbols[cuts[n] : cuts[n + 1]] >= r["base"], r["base"], 7)
+                yield pa.RecordBatch.from_pylist([r | {"symbols": symbols.tobytes(), "rule_length": np.frombuffer(r["rule_length"], np.uint32).tobytes()}], schema=b.schema)
+
+    files = spark.read.parquet(out)
+    files.mapInArrow(spoil, files.schema).write.parquet(str(tmp_path / "spoilt"))
+    bad = token_files.read_documents(spark, str(tmp_path / "spoilt"), [14]).collect()
+    assert [(r.n_tokens, r.ids) for r in bad] == [v for k, v in every.items() if k[0] == 14]
+    plan = token_files.read_documents(spark, out, [14])._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(last,14)" in plan and "LessThanOrEqual(first,14)" in plan
+
+
+def test_other_tokenizer_files_are_refused(tmp_path):
+    import json
+
+    spec = json.loads(open(TOKENIZER, encoding="utf-8").read())
+    for change in ({"normalizer": None}, {"pre_tokenizer": {"type": "Whitespace"}}, {"decoder": {"type": "ByteLevel"}}):
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(spec | change))
+        for make in (bpe.TrieEncoder, bpe.LibraryEncoder):
+            with pytest.raises(ValueError):
+                make(str(path))
+
+
+def test_codec_keeps_columns_of_the_same_names(spark, tool):
+    docs = spark.createDataFrame([("stone river", 5, "x"), (None, None, None)], "decoded string, IDS int, _ids string")
+    rows = bpe.with_codes(docs, TOKENIZER, "decoded").collect()
+    assert rows[0].asDict() == {"_decoded": "stone river", "__IDS": 5, "_ids": "x", "ids": (ids := tool.encode("stone river").ids), "decoded": tool.decode(ids)}
+    assert (rows[1].decoded, list(rows[1].ids)) == ("", [])
+
+
 def test_token_files_round_trip(spark, odd_docs, no_docs, tool, tmp_path):
     token_files.write(odd_docs, str(tmp_path / "a"), TOKENIZER)
     got = sorted(token_files.read(spark, str(tmp_path / "a")).collect(), key=lambda r: r.start)
@@ -147,6 +212,53 @@ def test_language_id(spark, odd_docs, no_docs):
     assert language_id.identify(no_docs).count() == 0
 
 
+def test_language_id_of_repeated_and_missing_ids(spark):
+    """Rows that repeat an id, or have none, are learnt from where they may be; clashing columns don't matter."""
+    docs = spark.createDataFrame(
+        [(1, "the house and river", "en", 1, "a")] * 3 + [(1, None, "en", 2, "b"), (1, "no language here", None, 3, "c"), (None, "la maison et la rivière", "fr", 4, None), (None, None, None, None, None), (4, "das haus und der fluss", "de", 5, "d")],
+        "doc_id long, text string, lang string, rank int, _id string",
+    )
+    got = language_id.identify(docs).collect()
+    assert len(got) == 8 and {r.lang_pred for r in got} <= {"en", "fr", "de", "und"}
+    dictionaries = language_id.fit(docs)
+    assert b"rivi" in dictionaries["fr"] and dictionaries["en"].count(b"the house") == 3
+    many = docs.where("lang = 'en'").crossJoin(spark.range(50).select())
+    assert language_id.training_sample(language_id.training_rows(many, "doc_id", "text", "lang"), 7).count() == 7
+    assert language_id.keep_identified(docs).columns == docs.columns
+
+
+def test_language_id_equals_brute_force(spark):
+    """The sample, the dictionaries and each decision, worked out without Spark."""
+    import xxhash
+    import zstandard
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.collect()
+    place = lambda i: xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), seed=42)
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    train = [r for r in rows if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    langs = sorted({r.lang for r in train}, key=lambda x: (-sum(r.lang == x for r in train), x))
+    squeeze = {}
+    for lang in langs:
+        best = sorted((r for r in train if r.lang == lang), key=lambda r: (signed(place(r.doc_id)), r.doc_id))[:240]
+        content = b"\n".join(reversed([r.text[:1920].lower().encode()[:480] for r in best]))
+        squeeze[lang] = zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+    got = {r.doc_id: r for r in language_id.identify(docs).collect()}
+    right = 0
+    for r in rows:
+        data = (r.text or "").lower().encode()
+        totals = {lang: sum(len(z.compress(data[i : i + 2000])) for i in range(0, len(data), 2000)) for lang, z in squeeze.items()}
+        best, second = sorted(totals.values())[:2]
+        g = got[r.doc_id]
+        if not any(c.isalpha() for c in r.text or ""):
+            assert g.lang_pred == "und"
+            continue
+        assert g.lang_pred == min(langs, key=lambda x: (totals[x], langs.index(x))) and abs(g.score - (1 - best / second)) < 1e-12
+        assert g.rejected == (g.score < 0.001)
+        right += g.lang_pred == r.lang
+    assert right > 0.9 * sum(r.lang is not None for r in rows)
+
+
 def test_masked_lm(spark, odd_docs, no_docs):
     got = masked_lm.score(odd_docs, rounds=1).collect()
     assert len(got) == odd_docs.count()
