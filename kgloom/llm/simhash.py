@@ -4,8 +4,8 @@ Two fingerprints within radius 3 meet half-way. Half the radius is one and a hal
 fingerprint emits all variants with at most one bit flipped, and the remaining half step is a
 wildcard: one of three bit blocks is blanked out of the key. Whatever the three differing bits
 are, blanking the block with most of them leaves at most two, and one flip on either side
-makes the keys equal. The variants are shuffled by key; in each partition, equal keys are found by
-sorting, and colliding fingerprints are verified by their distance.
+makes the keys equal. The variants are shuffled by key and sorted there by Spark, which spills if it must; Python sees them in
+order, a batch at a time, and verifies fingerprints with equal keys by their distance.
 
 Only distinct fingerprints take part, so copies never meet. A key that many fingerprints share
 gives a spanning forest of its verified links, not all pairs; no link between different
@@ -96,37 +96,50 @@ def _forest(fps: np.ndarray) -> Iterator[tuple[int, int]]:
             left = left[~near]
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Verified links among the fingerprints that share a key. All rows of a key are in this partition."""
-    parts = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
-    if not parts:
-        return
-    key, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
-    del parts
-    order = np.argsort(key, kind="stable")
-    key, fp = key[order], fp[order].view(np.uint64)
-    del order
+def _pairs(key: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    """Verified links among fingerprints with equal keys, both sorted by key and then fingerprint; smaller ones first."""
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     size = np.diff(np.append(first, len(key)))
     a = first[size == 2]
-    u, v = fp[a], fp[a + 1]
-    near = np.bitwise_count(u ^ v) <= RADIUS
-    us, vs = [u[near]], [v[near]]
+    near = np.bitwise_count(fp[a] ^ fp[a + 1]) <= RADIUS
+    found = [np.stack([fp[a][near], fp[a + 1][near]], axis=1)]
     for i, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-        if found := list(_forest(np.unique(fp[i : i + n]))):
-            x = np.array(found, np.uint64)
-            us.append(x[:, 0])
-            vs.append(x[:, 1])
-    u, v = np.concatenate(us), np.concatenate(vs)
-    pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1).view(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+        if edges := list(_forest(fp[i : i + n])):
+            found.append(np.array(edges, np.uint64))
+    both = np.concatenate(found)
+    return np.stack([both.min(axis=1), both.max(axis=1)], axis=1) if len(both) else both
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Verified links among the fingerprints that share a key. All rows of a key are in this partition, one after the other.
+
+    Besides a batch, only the rows of its last key are held, as the next batch may have more of them.
+    """
+    key, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    for b in _with_end(batches):
+        if b is not None:
+            key = np.concatenate([key, b.column(0).to_numpy(zero_copy_only=False)])
+            fp = np.concatenate([fp, b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
+            ready = int(np.searchsorted(key, key[-1])) if len(key) else 0
+        else:
+            ready = len(key)
+        if ready:
+            found = np.unique(_pairs(key[:ready], fp[:ready]), axis=0).view(np.int64)
+            key, fp = key[ready:], fp[ready:]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in (0, 1)], ["a", "b"])
+
+
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    """The batches, and None after the last one."""
+    yield from batches
+    yield None
 
 
 def links(fps: DataFrame) -> DataFrame:
     """a, b: links that connect the distinct fingerprints fps(fp) as all pairs within RADIUS would."""
     table = F.array(*[F.struct(F.lit(f).alias("flip"), F.lit(k).alias("keep")) for f, k in variants()])
     keys = fps.select("fp", F.explode(table).alias("x")).select(F.col("fp").bitwiseXOR(F.col("x.flip")).bitwiseAND(F.col("x.keep")).alias("key"), "fp")
-    return keys.repartition("key").mapInArrow(_meet, "a long, b long").distinct()
+    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(_meet, "a long, b long").distinct()
 
 
 def groups(fps: DataFrame) -> DataFrame:
