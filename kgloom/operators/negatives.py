@@ -32,6 +32,23 @@ def candidates(heads: DataFrame, tails: DataFrame, known: DataFrame) -> DataFram
     return product(heads, tails).join(known.select("head", "tail").distinct(), ["head", "tail"], "left_anti")
 
 
+def top_by_degrees(heads: DataFrame, tails: DataFrame, known: DataFrame, k: int) -> DataFrame:
+    """head, tail, score: the k best novel pairs under score = hd * td, ties by ids; heads(head, hd), tails(tail, td).
+
+    Classes of pairs with equal degrees are counted first, known pairs taken off, and only the best classes that hold k novel pairs are
+    spelt out, with all that tie with the last one; the grid of all pairs is never made.
+    """
+    a, b = heads.groupBy("hd").agg(F.count("*").alias("_nh")), tails.groupBy("td").agg(F.count("*").alias("_nt"))
+    taken = known.select("head", "tail").distinct().join(heads, "head").join(tails, "tail").groupBy("hd", "td").agg(F.count("*").alias("_taken"))
+    classes = product(a, b).join(taken, ["hd", "td"], "left").withColumn("score", F.col("hd") * F.col("td"))
+    novel = classes.groupBy("score").agg(F.sum(F.col("_nh") * F.col("_nt") - F.coalesce("_taken", F.lit(0))).alias("_n")).where("_n > 0")
+    best = novel.orderBy(F.desc("score")).limit(k).withColumn("_before", F.sum("_n").over(Window.orderBy(F.desc("score"))) - F.col("_n"))
+    least = best.where(F.col("_before") < k).agg(F.min("score").alias("_least"))
+    high = classes.crossJoin(F.broadcast(least)).where(F.col("score") >= F.col("_least")).select("hd", "td", "score")
+    pairs = heads.join(F.broadcast(high.select("hd").distinct()), "hd", "left_semi").join(high, "hd").join(tails, "td")
+    return top_novel(pairs.join(known.select("head", "tail").distinct(), ["head", "tail"], "left_anti"), k).select("head", "tail", "score")
+
+
 def top_novel(scored: DataFrame, k: int) -> DataFrame:
     """The k best candidates, ties by ids; a top-k sort, not a full one."""
     return scored.orderBy(F.desc("score"), "head", "tail").limit(k)

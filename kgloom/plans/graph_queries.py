@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgloom.operators import aggregate, diffusion, graph, negatives, relations
-from kgloom.schema import first_known, product, with_constants
+from kgloom.schema import first_known, with_constants
 from kgloom.storage import materialize, table
 
 FLAGS, STATUS, MOST = ("A", "R"), ("F",), 25.0
@@ -174,13 +174,19 @@ def ablate_relation(spark, d):
     return graph.ablate(graph.message_graph(triples), 1).groupBy("relation", "head_type", "tail_type").agg(F.count("*").alias("n"))
 
 
+def flag_counts(split):
+    """head, train, valid, test: the known pairs of each head by partition."""
+    n = lambda s: F.sum((F.col("split") == s).cast("long")).alias(s)
+    return split.groupBy("head").agg(n("train"), n("valid"), n("test"))
+
+
 def pair_flags(spark, d):
-    """The full supplier x part grid with its partition flags, counted by supplier."""
-    split = graph.split_of_fold(folded(spark, d), 0)
-    grid = product(table(spark, d, "supplier").select(F.col("s_suppkey").alias("head")), table(spark, d, "part").select(F.col("p_partkey").alias("tail")))
-    flags = grid.join(split.select("head", "tail", "split"), ["head", "tail"], "left")
-    n = lambda s: F.sum((F.coalesce("split", F.lit("none")) == s).cast("long")).alias(f"n_{s}")
-    return flags.groupBy("head").agg(n("train"), n("valid"), n("test"), n("none"))
+    """The full supplier x part grid with its partition flags, counted by supplier: known pairs are counted, the others are what is left of the tails."""
+    counts = flag_counts(graph.split_of_fold(folded(spark, d), 0))
+    heads = table(spark, d, "supplier").select(F.col("s_suppkey").alias("head"))
+    rows = with_constants(heads.join(counts, "head", "left"), table(spark, d, "part").agg(F.count("*").alias("tails")))
+    known = {c: F.coalesce(c, F.lit(0)) for c in ("train", "valid", "test")}
+    return rows.select("head", *[x.alias(f"n_{c}") for c, x in known.items()], (F.col("tails") - sum(known.values())).alias("n_none"))
 
 
 def metadata_enrich(spark, d):
@@ -204,8 +210,7 @@ def novel_pairs_topk(spark, d):
     known = target(spark, d)
     hd = known.groupBy("head").agg(F.count("*").alias("hd"))
     td = known.groupBy("tail").agg(F.count("*").alias("td"))
-    cand = negatives.candidates(hd, td, known).withColumn("score", F.col("hd") * F.col("td"))
-    return negatives.top_novel(cand, 50).select("head", "tail", "score")
+    return negatives.top_by_degrees(hd, td, known, 50)
 
 
 def negatives_hash(spark, d):
@@ -223,8 +228,8 @@ def _khop(spark, d, suppliers):
 
 
 def khop_diffusion(spark, d):
-    """Path counts from the first five suppliers."""
-    return _khop(spark, d, table(spark, d, "supplier").where("s_suppkey < 5"))
+    """Path counts from the query set: every supplier whose key is divisible by 50, over the whole graph."""
+    return _khop(spark, d, table(spark, d, "supplier").where("s_suppkey % 50 = 0"))
 
 
 def khop_diffusion_all(spark, d):
@@ -308,7 +313,7 @@ ORACLE_SQL = {
     "negatives_hash": _NEG,
     "khop_diffusion": f"""
         WITH e AS (SELECT src_type || ':' || src AS src, dst_type || ':' || dst AS dst FROM ({EDGES}) WHERE relation IN ('targets', 'brand_fwd')), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
-        h1 AS (SELECT src AS source, dst AS node, count(*) AS v FROM b WHERE src IN (SELECT 'supplier:' || s_suppkey FROM supplier WHERE s_suppkey < 5) GROUP BY ALL),
+        h1 AS (SELECT src AS source, dst AS node, count(*) AS v FROM b WHERE src IN (SELECT 'supplier:' || s_suppkey FROM supplier WHERE s_suppkey % 50 = 0) GROUP BY ALL),
         h2 AS (SELECT source, dst AS node, sum(v) AS v FROM h1 JOIN b ON node = src GROUP BY ALL)
         SELECT source, dst AS node, CAST(sum(v) AS BIGINT) AS value FROM h2 JOIN b ON node = src GROUP BY source, dst""",
     "source_counts": "SELECT source, count(*) AS n_rows, count(DISTINCT doc_id) AS n_doc_id, count(DISTINCT lang) AS n_lang FROM documents WHERE source IS NOT NULL GROUP BY source",

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgloom.operators import aggregate, errorrate, graph, metrics
-from kgloom.plans.graph_queries import SPLIT, folded
-from kgloom.schema import product
+from kgloom.plans.graph_queries import SPLIT, flag_counts, folded
+from kgloom.schema import product, with_constants
 from kgloom.storage import table
 
 
@@ -48,19 +46,20 @@ def grid_auroc(spark, d):
 
 
 def grid_predict(spark, d):
-    """The whole grid with score, scaled probability and flags, summed up by head."""
+    """The whole grid with score, scaled probability and flags, summed up by head.
+
+    A sum of products of degrees over all tails is a product of sums, so no pair is made: heads meet one row of totals.
+    """
     split = graph.split_of_fold(folded(spark, d), 0)
     train = split.where("split = 'train'")
     hd = table(spark, d, "supplier").select(F.col("s_suppkey").alias("head")).join(train.groupBy("head").agg(F.count("*").alias("hd")), "head", "left").na.fill(0, ["hd"])
     td = table(spark, d, "part").select(F.col("p_partkey").alias("tail")).join(train.groupBy("tail").agg(F.count("*").alias("td")), "tail", "left").na.fill(0, ["td"])
-    grid = product(hd, td).select("head", "tail", (F.col("hd") * F.col("td")).cast("double").alias("score"))
-    # the scaling bounds of a product of degrees come from the sides
-    ends = hd.agg(F.min("hd").alias("h0"), F.max("hd").alias("h1")).crossJoin(td.agg(F.min("td").alias("t0"), F.max("td").alias("t1")))
-    flagged = grid.join(split.select("head", "tail", "split"), ["head", "tail"], "left").crossJoin(F.broadcast(ends))
+    ends = hd.agg(F.min("hd").alias("h0"), F.max("hd").alias("h1")).crossJoin(td.agg(F.min("td").alias("t0"), F.max("td").alias("t1"), F.sum("td").alias("sum"), F.count("*").alias("tails")))
+    rows = with_constants(hd.join(flag_counts(split), "head", "left"), ends)
     lo, hi = F.col("h0") * F.col("t0"), F.col("h1") * F.col("t1")
-    prob = (F.col("score") - lo) / (hi - lo)
-    flag = lambda s: F.sum((F.coalesce("split", F.lit("")) == s).cast("long"))
-    return flagged.withColumn("prob", prob).groupBy("head").agg(F.round(F.avg("prob"), 8).alias("prob"), F.sum("score").alias("score"), flag("train").alias("train"), flag("valid").alias("valid"), flag("test").alias("test"), flag("").alias("negatives"))
+    total = (F.col("hd") * F.col("sum")).cast("double")
+    known = {c: F.coalesce(c, F.lit(0)) for c in ("train", "valid", "test")}
+    return rows.select("head", F.round((total / F.col("tails") - lo) / (hi - lo), 8).alias("prob"), total.alias("score"), *[x.alias(c) for c, x in known.items()], (F.col("tails") - sum(known.values())).alias("negatives"))
 
 
 def label_preds(spark, d):
@@ -125,41 +124,19 @@ def curve_preds(spark, d):
     )
 
 
-CURVE_N = 50
+CURVE_N = 250
 
 
 def confusion_curve(spark, d):
-    out = errorrate.curve(curve_preds(spark, d).where("fold = 0"), CURVE_N)
-    return out.select(F.col("i").cast("long").alias("i"), "tp", "fn", "fp", "tn", *[F.round(r, 8).alias(r) for r in errorrate.RATES])
-
-
-def error_rate_interp(spark, d):
-    preds = curve_preds(spark, d).where("fold = 0")
-    out = errorrate.estimate(preds, errorrate.curve(preds, CURVE_N), CURVE_N)
-    out = out.where((F.col("fnr_est") >= 0.5) & (F.col("fpr_est") <= 1.0))
-    means = [F.round(F.avg(f"{r}_est"), 6).alias(f"{r}_est") for r in errorrate.RATES]
-    return out.groupBy("drug").agg(F.count("*").alias("n"), *means)
-
-
-FOLDS = 4
-
-
-def _each_fold(spark, d, make):
-    """What make gives for the predictions of each fold, with the fold."""
-    preds = curve_preds(spark, d)
-    return reduce(DataFrame.unionByName, [make(preds.where(F.col("fold") == k)).withColumn("fold", F.lit(k)) for k in range(FOLDS)])
-
-
-def confusion_curve_all(spark, d):
-    """The curve of every fold at the operator's own number of thresholds."""
-    out = _each_fold(spark, d, errorrate.curve)
+    """The curve of every fold."""
+    out = errorrate.curve(curve_preds(spark, d), CURVE_N, by=["fold"])
     return out.select("fold", F.col("i").cast("long").alias("i"), "tp", "fn", "fp", "tn", *[F.round(r, 8).alias(r) for r in errorrate.RATES])
 
 
-def error_rate_interp_all(spark, d):
-    """Rates of the predictions of every fold from its own curve, at the operator's own number of thresholds and bounds."""
+def error_rate_interp(spark, d):
+    """Rates of the predictions of every fold from its own curve, by drug."""
     means = [F.round(F.avg(f"{r}_est"), 6).alias(f"{r}_est") for r in errorrate.RATES]
-    return _each_fold(spark, d, errorrate.error_rates).groupBy("fold", "drug").agg(F.count("*").alias("n"), *means)
+    return errorrate.error_rates(curve_preds(spark, d), CURVE_N, by=["fold"]).groupBy("fold", "drug").agg(F.count("*").alias("n"), *means)
 
 
 def fold_aggregate_lists(spark, d):
@@ -208,9 +185,9 @@ _LSTEPS = f"""
 _AUC = "round(sum(n * (tp - p / 2.0::DOUBLE)) / (sum(p) * sum(n)), 8) AS auroc FROM s GROUP BY head HAVING sum(p) > 0 AND sum(n) > 0"
 _PREDS = "SELECT l_suppkey AS drug, l_partkey AS protein, CAST(l_orderkey % 4 AS INTEGER) AS fold, l_extendedprice / l_quantity AS score, l_returnflag = 'R' AS test, l_returnflag = 'N' AS negatives FROM lineitem"
 _CURVE = f"""
-    WITH f AS (SELECT * FROM ({_PREDS}) WHERE fold = 0), e AS (SELECT min(score) AS lo, max(score) AS hi FROM f),
-    t AS (SELECT i, CASE WHEN i = {CURVE_N - 1} THEN hi ELSE lo + i * ((hi - lo) / {CURVE_N - 1}) END AS t, lo, hi FROM e, (SELECT unnest(range({CURVE_N})) AS i)),
-    k AS (SELECT i, t, lo, hi, count(*) FILTER (WHERE test AND score >= t) AS tp, count(*) FILTER (WHERE test AND score < t) AS fn, count(*) FILTER (WHERE negatives AND score >= t) AS fp, count(*) FILTER (WHERE negatives AND score < t) AS tn FROM t CROSS JOIN f GROUP BY ALL),
+    WITH f AS ({_PREDS}), e AS (SELECT fold, min(score) AS lo, max(score) AS hi FROM f GROUP BY fold),
+    t AS (SELECT fold, i, CASE WHEN i = {CURVE_N - 1} THEN hi ELSE lo + i * ((hi - lo) / {CURVE_N - 1}) END AS t, lo, hi FROM e, (SELECT unnest(range({CURVE_N})) AS i)),
+    k AS (SELECT t.fold, i, t, lo, hi, count(*) FILTER (WHERE test AND score >= t) AS tp, count(*) FILTER (WHERE test AND score < t) AS fn, count(*) FILTER (WHERE negatives AND score >= t) AS fp, count(*) FILTER (WHERE negatives AND score < t) AS tn FROM t JOIN f ON f.fold = t.fold GROUP BY ALL),
     r AS (SELECT *, CASE WHEN fn + tp > 0 THEN fn / (fn + tp) ELSE 0 END AS fnr, CASE WHEN fp + tn > 0 THEN fp / (fp + tn) ELSE 0 END AS fpr, CASE WHEN fp + tn > 0 THEN 1 - fp / (fp + tn) ELSE 0 END AS tnr, CASE WHEN fn + tp > 0 THEN 1 - fn / (fn + tp) ELSE 0 END AS tpr FROM k)
 """
 _BETWEEN = ", ".join(f"greatest(0, least(1, a.{r} + CASE WHEN b.t > a.t THEN (score - a.t) / (b.t - a.t) ELSE 0 END * (coalesce(b.{r}, a.{r}) - a.{r}))) AS {r}_est" for r in errorrate.RATES)
@@ -225,9 +202,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         linkpred_eval, grid_auroc, grid_predict, minmax_scale, auroc_by_head, ap_by_head, brier_by_head, mrr_topk, sampled_mrr, best_rank_mrr, ece, evaluate_all, regression_metrics,
-        confusion_curve, error_rate_interp, fold_aggregate_lists, fold_summary, quantile_flags, uncertainty_quantiles, score_order, confusion_curve_all, error_rate_interp_all,
+        confusion_curve, error_rate_interp, fold_aggregate_lists, fold_summary, quantile_flags, uncertainty_quantiles, score_order,
     )
 }
+#: Names under which the same queries were registered before.
+QUERIES |= {f"{k}_all": QUERIES[k] for k in ("confusion_curve", "error_rate_interp")}
 
 ORACLE_SQL = {
     "linkpred_eval": f"{_STEPS}, r AS (SELECT p, fp + 1 AS rank FROM s WHERE p > 0) SELECT {_TOPS}, CAST(sum(p) AS BIGINT) AS positives FROM r",
@@ -249,10 +228,10 @@ ORACLE_SQL = {
     "regression_metrics": """
         WITH r AS (SELECT l_extendedprice / 1000 AS y, l_quantity * 1.5::DOUBLE AS yhat FROM lineitem)
         SELECT round(corr(y, yhat), 6) AS pearson, round(1 - avg((y - yhat) ** 2) / (var_pop(y) + 1e-8), 6) AS r2, round(avg((y - yhat) ** 2), 6) AS mse, round(avg(abs(y - yhat)), 6) AS mae, round(sqrt(avg((y - yhat) ** 2)), 6) AS rmse FROM r""",
-    "confusion_curve": f"{_CURVE} SELECT i, tp, fn, fp, tn, round(fnr, 8) AS fnr, round(fpr, 8) AS fpr, round(tnr, 8) AS tnr, round(tpr, 8) AS tpr FROM r",
-    "error_rate_interp": f"""{_CURVE}, x AS (SELECT *, least({CURVE_N - 1}, CAST(floor((score - lo) / (hi - lo) * {CURVE_N - 1}) AS BIGINT)) AS i FROM f, e),
-        v AS (SELECT drug, {_BETWEEN} FROM x JOIN r a ON a.i = x.i LEFT JOIN r b ON b.i = x.i + 1)
-        SELECT drug, count(*) AS n, {', '.join(f'round(avg({r}_est), 6) AS {r}_est' for r in errorrate.RATES)} FROM v WHERE fnr_est >= 0.5 AND fpr_est <= 1 GROUP BY drug""",
+    "confusion_curve": f"{_CURVE} SELECT fold, i, tp, fn, fp, tn, round(fnr, 8) AS fnr, round(fpr, 8) AS fpr, round(tnr, 8) AS tnr, round(tpr, 8) AS tpr FROM r",
+    "error_rate_interp": f"""{_CURVE}, x AS (SELECT f.*, least({CURVE_N - 1}, CAST(floor((score - lo) / (hi - lo) * {CURVE_N - 1}) AS BIGINT)) AS i FROM f JOIN e USING (fold)),
+        v AS (SELECT x.fold, drug, {_BETWEEN} FROM x JOIN r a ON a.fold = x.fold AND a.i = x.i LEFT JOIN r b ON b.fold = x.fold AND b.i = x.i + 1)
+        SELECT fold, drug, count(*) AS n, {', '.join(f'round(avg({r}_est), 6) AS {r}_est' for r in errorrate.RATES)} FROM v WHERE fnr_est >= 0.5 AND fpr_est <= 1 GROUP BY fold, drug""",
     "fold_aggregate_lists": f"""
         WITH m AS (SELECT drug, protein, fold, max(score) AS score FROM ({_PREDS}) GROUP BY ALL)
         SELECT drug, protein, string_agg(CAST(CAST(floor(score * 1000) AS BIGINT) AS VARCHAR), ',' ORDER BY fold) AS scores, CAST(floor(avg(score) * 1000 + 1e-4) AS BIGINT) AS score_mean, count(*) AS in_n_folds FROM m GROUP BY drug, protein HAVING count(*) >= 2""",
@@ -261,3 +240,4 @@ ORACLE_SQL = {
     "uncertainty_quantiles": "SELECT user_id, event_type, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.05), 6) AS lcb, round(quantile_cont(value, 0.95), 6) AS ucb FROM events GROUP BY user_id, event_type",
     "score_order": f"SELECT drug, protein, fold, round(score, 6) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY drug ORDER BY score DESC, protein, fold) AS place FROM (SELECT drug, protein, fold, max(score) AS score FROM ({_PREDS}) GROUP BY ALL)) WHERE place <= 3",
 }
+ORACLE_SQL |= {f"{k}_all": ORACLE_SQL[k] for k in ("confusion_curve", "error_rate_interp")}

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from kgloom.functions.vectors import doubles, mean_pool, residues, sigmoid
 from kgloom.operators import affinity, embed, kge, similarity
 from kgloom.plans.graph_queries import target
+from kgloom.schema import product
 from kgloom.sources.readers import combine_pages, fasta_columns
 from kgloom.storage import table
 
-KGE_DIM, KGE_HEADS, KGE_TAILS = 8, 40, 60
+KGE_DIM = 8
 
 
 def _vectors(spark, d):
@@ -25,10 +26,8 @@ def cosine_knn(spark, d):
 
 
 def cosine_pairs_quantile(spark, d):
-    """Pairs of the first hundred vectors above the exact 0.99 quantile of all their cosines."""
-    some = _vectors(spark, d).where("id < 100")
-    pairs = similarity.cosine_above(some, -2.0)
-    return similarity.above_quantile(pairs, "cos", 0.99).select("i", "j", F.round("cos", 8).alias("cos"))
+    """Pairs of all vectors above the exact 0.99 quantile of all their cosines."""
+    return similarity.cosine_above_quantile(_vectors(spark, d), 0.99).select("i", "j", F.round("cos", 8).alias("cos"))
 
 
 def pair_mse(spark, d):
@@ -42,62 +41,48 @@ def gram_matrix(spark, d):
     return similarity.gram(_vectors(spark, d)).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.round("s", 5).alias("s"))
 
 
-def _kge_sides(spark, d):
-    """Heads, tails and one relation cut from the vectors: halves of the first sixteen numbers are re and im."""
+def _sides(spark, d):
+    """Every vector as a head and as a tail, and one as the relation: halves of the first sixteen numbers are re and im."""
     v = _vectors(spark, d).select("id", doubles("embedding").alias("e"))
-    parts = [F.slice("e", 1, KGE_DIM).alias("re"), F.slice("e", KGE_DIM + 1, KGE_DIM).alias("im")]
-    heads = v.where(f"id < {KGE_HEADS}").select("id", *parts)
-    tails = v.where(f"id >= {KGE_HEADS} AND id < {KGE_HEADS + KGE_TAILS}").select("id", *parts)
-    return heads, tails, v.where("id = 100").select(*parts)
+    nodes = v.select("id", F.slice("e", 1, KGE_DIM).alias("re"), F.slice("e", KGE_DIM + 1, KGE_DIM).alias("im"))
+    return nodes, nodes, nodes.where("id = 100").drop("id")
 
 
-def _kge_scores(spark, d):
-    heads, tails, rel = _kge_sides(spark, d)
-    pairs = heads.select(F.col("id").alias("head")).crossJoin(F.broadcast(tails.select(F.col("id").alias("tail"))))
+def _query_scores(spark, d):
+    """Scores of the query set, heads whose id is divisible by 50, against all tails."""
+    heads, tails, rel = _sides(spark, d)
+    pairs = product(heads.where("id % 50 = 0").select(F.col("id").alias("head")), tails.select(F.col("id").alias("tail")))
     return kge.score_pairs(pairs, heads, tails, rel)
 
 
 def trilinear_score(spark, d):
-    return _kge_scores(spark, d).select("head", "tail", F.round("score", 8).alias("score"))
+    return _query_scores(spark, d).select("head", "tail", F.round("score", 8).alias("score"))
 
 
 def partition_function(spark, d):
-    return kge.partition_function(*_kge_sides(spark, d)).select(F.round("z", 6).alias("z"))
+    """The sum over all pairs of all vectors."""
+    return kge.partition_function(*_sides(spark, d)).select(F.round("z", 4).alias("z"))
 
 
 def log_prob(spark, d):
-    out = kge.log_prob(_kge_scores(spark, d), kge.partition_function(*_kge_sides(spark, d)), KGE_HEADS, KGE_TAILS)
+    """Log-probabilities among all pairs, of the query set's pairs."""
+    sides = _sides(spark, d)
+    n = sides[0].count()
+    out = kge.log_prob(_query_scores(spark, d), kge.partition_function(*sides), n, n)
     return out.select("head", "tail", F.round("log_prob", 6).alias("log_prob"))
 
 
-def cosine_pairs_quantile_all(spark, d):
-    """Pairs of all vectors above the exact 0.99 quantile of all their cosines."""
-    return similarity.cosine_above_quantile(_vectors(spark, d), 0.99).select("i", "j", F.round("cos", 8).alias("cos"))
-
-
 TOP_TAILS = 10
 
 
-def _all_sides(spark, d):
-    """As _kge_sides, with every vector as a head and as a tail."""
-    v = _vectors(spark, d).select("id", doubles("embedding").alias("e"))
-    nodes = v.select("id", F.slice("e", 1, KGE_DIM).alias("re"), F.slice("e", KGE_DIM + 1, KGE_DIM).alias("im"))
-    return nodes, nodes, nodes.where("id = 100").drop("id")
-
-
 def trilinear_score_all(spark, d):
     """Of all tails the best ones of every head."""
-    return kge.top_tails(*_all_sides(spark, d), TOP_TAILS).select("head", "tail", F.round("score", 8).alias("score"), "rank")
-
-
-def partition_function_all(spark, d):
-    """The sum over all pairs of all vectors."""
-    return kge.partition_function(*_all_sides(spark, d)).select(F.round("z", 6).alias("z"))
+    return kge.top_tails(*_sides(spark, d), TOP_TAILS).select("head", "tail", F.round("score", 8).alias("score"), "rank")
 
 
 def log_prob_all(spark, d):
     """Log-probabilities among all pairs, of the best tails of every head."""
-    sides = _all_sides(spark, d)
+    sides = _sides(spark, d)
     n = sides[0].count()
     out = kge.log_prob(kge.top_tails(*sides, TOP_TAILS), kge.partition_function(*sides), n, n)
     return out.select("head", "tail", F.round("log_prob", 6).alias("log_prob"), "rank")
@@ -174,28 +159,32 @@ _DOT = "list_sum(list_transform(range(1, 65), lambda k: a.e[k] * b.e[k]))"
 _E = "SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings"
 _COS = f"{_DOT} / (sqrt(list_sum(list_transform(a.e, lambda x: x * x))) * sqrt(list_sum(list_transform(b.e, lambda x: x * x))))"
 _PHI = f"""
-    WITH v AS ({_E}), r AS (SELECT e FROM v WHERE id = 100),
-    s AS (SELECT a.id AS head, b.id AS tail, list_sum(list_transform(range(1, {KGE_DIM + 1}), lambda k:
+    WITH v AS MATERIALIZED ({_E}), r AS (SELECT e FROM v WHERE id = 100),
+    s AS MATERIALIZED (SELECT a.id AS head, b.id AS tail, list_sum(list_transform(range(1, {KGE_DIM + 1}), lambda k:
         a.e[k] * r.e[k] * b.e[k] + a.e[k + {KGE_DIM}] * r.e[k] * b.e[k + {KGE_DIM}] + a.e[k] * r.e[k + {KGE_DIM}] * b.e[k + {KGE_DIM}] - a.e[k + {KGE_DIM}] * r.e[k + {KGE_DIM}] * b.e[k])) ** 2 AS score
-        FROM v a, v b, r WHERE a.id < {KGE_HEADS} AND b.id >= {KGE_HEADS} AND b.id < {KGE_HEADS + KGE_TAILS})
+        FROM v a, v b, r), z AS MATERIALIZED (SELECT sum(score) AS z, count(*) AS n FROM s)
 """
 
 QUERIES = {
     f.__name__: f
     for f in (
         cosine_knn, cosine_pairs_quantile, pair_mse, gram_matrix, trilinear_score, partition_function, log_prob, kge_train, hashed_embedding, affinity_regress, mean_pooling, sigmoid_scores,
-        fasta_like_parse, matrix_to_coo, log_regex_collect, residue_normalise, paged_lookup, cosine_pairs_quantile_all, trilinear_score_all, partition_function_all, log_prob_all,
+        fasta_like_parse, matrix_to_coo, log_regex_collect, residue_normalise, paged_lookup, trilinear_score_all, log_prob_all,
     )
 }
+#: Names under which the same queries were registered before.
+QUERIES |= {f"{k}_all": QUERIES[k] for k in ("cosine_pairs_quantile", "partition_function")}
 
 ORACLE_SQL = {
     "cosine_knn": f"WITH v AS ({_E}), c AS (SELECT a.id AS i, b.id AS j, {_COS} AS cos FROM v a JOIN v b ON a.id <> b.id) SELECT i, j, round(cos, 6) AS cos, row_number() OVER (PARTITION BY i ORDER BY round(cos, 12) DESC, j) AS rank FROM c QUALIFY rank <= 3",
-    "cosine_pairs_quantile": f"WITH v AS ({_E}), c AS (SELECT a.id AS i, b.id AS j, {_COS} AS cos FROM v a JOIN v b ON a.id < b.id AND b.id < 100) SELECT i, j, round(cos, 8) AS cos FROM c WHERE cos > (SELECT quantile_cont(cos, 0.99) FROM c)",
+    "cosine_pairs_quantile": f"WITH v AS ({_E}), c AS (SELECT a.id AS i, b.id AS j, {_COS} AS cos FROM v a JOIN v b ON a.id < b.id) SELECT i, j, round(cos, 8) AS cos FROM c WHERE cos > (SELECT quantile_cont(cos, 0.99) FROM c)",
     "pair_mse": f"WITH v AS ({_E}) SELECT a.id AS i, b.id AS j, round({_COS}, 8) AS cos_sim, round(list_sum(list_transform(range(1, 65), lambda k: (a.e[k] - b.e[k]) ** 2)) / 64, 8) AS mse FROM v a JOIN v b ON b.id = a.id + 1",
     "gram_matrix": f"WITH v AS ({_E}), x AS (SELECT id, unnest(e) AS x, unnest(range(64)) AS k FROM v) SELECT a.k AS i, b.k AS j, round(sum(a.x * b.x), 5) AS s FROM x a JOIN x b USING (id) GROUP BY a.k, b.k",
-    "trilinear_score": f"{_PHI} SELECT head, tail, round(score, 8) AS score FROM s",
-    "partition_function": f"{_PHI} SELECT round(sum(score), 6) AS z FROM s",
-    "log_prob": f"{_PHI} SELECT head, tail, round(ln(score + 1.0::DOUBLE / {KGE_HEADS * KGE_TAILS}) - ln(1 + (SELECT sum(score) FROM s)), 6) AS log_prob FROM s",
+    "trilinear_score": f"{_PHI} SELECT head, tail, round(score, 8) AS score FROM s WHERE head % 50 = 0",
+    "partition_function": f"{_PHI} SELECT round(z, 4) AS z FROM z",
+    "log_prob": f"{_PHI} SELECT head, tail, round(ln(score + 1.0::DOUBLE / n) - ln(1 + z), 6) AS log_prob FROM s, z WHERE head % 50 = 0",
+    "trilinear_score_all": f"{_PHI} SELECT head, tail, round(score, 8) AS score, row_number() OVER (PARTITION BY head ORDER BY round(score, 12) DESC, tail) AS rank FROM s QUALIFY rank <= {TOP_TAILS}",
+    "log_prob_all": f"{_PHI} SELECT head, tail, round(ln(score + 1.0::DOUBLE / n) - ln(1 + z), 6) AS log_prob, row_number() OVER (PARTITION BY head ORDER BY round(score, 12) DESC, tail) AS rank FROM s, z QUALIFY rank <= {TOP_TAILS}",
     "mean_pooling": f"""
         WITH v AS ({_E}), t AS (SELECT id, e, [m FOR m IN [0, 1, 2, 3] IF m = 0 OR id % (m + 1) = 0] AS ms FROM v)
         SELECT id, k, round(list_sum(list_transform(ms, lambda m: e[m * 16 + k + 1])) / len(ms), 8) AS x FROM t, (SELECT unnest(range(16)) AS k)""",
@@ -206,3 +195,4 @@ ORACLE_SQL = {
     "residue_normalise": "SELECT p_partkey, array_to_string(string_split(CASE WHEN trim(p_name) = '' THEN 'X' ELSE regexp_replace(upper(trim(p_name)), '[UZOB]', 'X', 'g') END, ''), ' ') AS residues FROM part",
     "paged_lookup": "SELECT CAST(n_nationkey AS VARCHAR) AS \"from\", n_name AS \"to\" FROM nation",
 }
+ORACLE_SQL |= {f"{k}_all": ORACLE_SQL[k] for k in ("cosine_pairs_quantile", "partition_function")}

@@ -108,13 +108,9 @@ def aggregate_folds(preds: DataFrame, names: Sequence[DataFrame] = (), n_thresho
 
     preds: drug, protein, fold, score, test, negatives. names: metadata tables that share a column with the pairs.
     """
-    parts = None
-    for r in preds.select("fold").distinct().orderBy("fold").collect():
-        own = errorrate.error_rates(preds.where(F.col("fold") == r.fold), n_thresholds, min_fnr, max_fpr)
-        parts = own if parts is None else parts.unionByName(own)
-    if parts is None:
+    if preds.isEmpty():
         raise ValueError("no predictions")
-    out = aggregate.over_folds(parts, min_folds=min_n_folds)
+    out = aggregate.over_folds(errorrate.error_rates(preds, n_thresholds, min_fnr, max_fpr, by=["fold"]), min_folds=min_n_folds)
     for meta in names:
         out = aggregate.enrich(out, meta, next(c for c in ("drug", "protein") if c in meta.columns))
     return out.orderBy(F.desc("score_mean"))
