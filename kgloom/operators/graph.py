@@ -96,6 +96,11 @@ def ablate(triples_: DataFrame, relation: int) -> DataFrame:
     return triples_.where(F.col("relation") != relation)
 
 
+def of_relations(triples_: DataFrame, wanted: list[int]) -> DataFrame:
+    """The triples of the listed relations."""
+    return triples_.where(F.col("relation").isin(wanted))
+
+
 def leave_one_out(edges: DataFrame, pairs: DataFrame, head: str, tail: str) -> DataFrame:
     """Edges without the examples at hand."""
     return edges.join(pairs.select(head, tail).distinct(), [head, tail], "left_anti")

@@ -109,16 +109,15 @@ def log_prob(scored: DataFrame, z: DataFrame, n_heads: int, n_tails: int) -> Dat
 
 
 class EarlyStop:
-    """Keeps the best state, ties to the later one; says stop after more than `patience` turns without a better one."""
+    """Keeps the best state, ties to the later one; says stop after more than `patience` turns without a strictly better one, so a plateau ends."""
 
     def __init__(self, patience: int):
         self.patience, self.best, self.state, self.waited = patience, float("inf"), None, 0
 
     def update(self, loss: float, state) -> bool:
+        self.waited = 0 if loss < self.best else self.waited + 1
         if loss <= self.best:
-            self.best, self.state, self.waited = loss, state, 0
-        else:
-            self.waited += 1
+            self.best, self.state = loss, state
         return self.waited > self.patience
 
 

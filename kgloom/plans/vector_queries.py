@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,14 +98,25 @@ def kge_train(spark, d):
 
 def hashed_embedding(spark, d):
     out = embed.hashed_embedding(table(spark, d, "benchmark"), "item_id", "text")
-    return out.select(F.col("id").alias("item_id"), F.round(F.aggregate(doubles("embedding"), F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm"))
+    cells = out.select(F.col("id").alias("item_id"), F.posexplode(doubles("embedding")).alias("k", "x"))
+    return cells.where("x <> 0").select("item_id", F.col("k").cast("long").alias("k"), F.round("x", 5).alias("x"))
 
 
-def affinity_regress(spark, d):
-    """Regression of a label on pairs of vectors: measures on held-out pairs."""
+def _affinity_rows(spark, d):
     v = _vectors(spark, d)
     pairs = v.select(F.col("id").alias("drug"), ((F.col("id") * 7 + 3) % 500).alias("protein"), F.col("label").cast("double").alias("affinity"))
-    rows = affinity.features(pairs, v, v)
+    return affinity.features(pairs, v, v)
+
+
+def affinity_features(spark, d):
+    """The numbers that the regression sees of each pair."""
+    cells = _affinity_rows(spark, d).select("drug", "protein", F.posexplode(vector_to_array("features")).alias("k", "x"))
+    return cells.select("drug", "protein", F.col("k").cast("long").alias("k"), F.round("x", 8).alias("x"))
+
+
+def affinity_regress(spark, d):
+    """Regression of a label on pairs of vectors: measures on held-out pairs."""
+    rows = _affinity_rows(spark, d)
     model = affinity.fit(rows.where("drug % 10 < 9"))
     return affinity.evaluate(model, rows.where("drug % 10 = 9"))
 
@@ -168,7 +180,7 @@ _PHI = f"""
 QUERIES = {
     f.__name__: f
     for f in (
-        cosine_knn, cosine_pairs_quantile, pair_mse, gram_matrix, trilinear_score, partition_function, log_prob, kge_train, hashed_embedding, affinity_regress, mean_pooling, sigmoid_scores,
+        cosine_knn, cosine_pairs_quantile, pair_mse, gram_matrix, trilinear_score, partition_function, log_prob, kge_train, hashed_embedding, affinity_regress, affinity_features, mean_pooling, sigmoid_scores,
         fasta_like_parse, matrix_to_coo, log_regex_collect, residue_normalise, paged_lookup, trilinear_score_all, log_prob_all,
     )
 }
@@ -185,6 +197,15 @@ ORACLE_SQL = {
     "log_prob": f"{_PHI} SELECT head, tail, round(ln(score + 1.0::DOUBLE / n) - ln(1 + z), 6) AS log_prob FROM s, z WHERE head % 50 = 0",
     "trilinear_score_all": f"{_PHI} SELECT head, tail, round(score, 8) AS score, row_number() OVER (PARTITION BY head ORDER BY round(score, 12) DESC, tail) AS rank FROM s QUALIFY rank <= {TOP_TAILS}",
     "log_prob_all": f"{_PHI} SELECT head, tail, round(ln(score + 1.0::DOUBLE / n) - ln(1 + z), 6) AS log_prob, row_number() OVER (PARTITION BY head ORDER BY round(score, 12) DESC, tail) AS rank FROM s, z QUALIFY rank <= {TOP_TAILS}",
+    "hashed_embedding": """
+        WITH t AS (SELECT item_id, CASE WHEN trim(coalesce(text, '')) = '' THEN 'X' ELSE trim(text) END AS t FROM benchmark),
+        g AS (SELECT item_id, unnest([substr(t, i, 3) FOR i IN range(1, greatest(1, length(t) - 2) + 1)]) AS g FROM t),
+        h AS (SELECT item_id, CAST('0x' || substr(md5(g), 1, 8) AS BIGINT) % 64 AS k, 1 - 2 * (CAST('0x' || substr(md5(g), 9, 1) AS BIGINT) % 2) AS x FROM g),
+        s AS (SELECT item_id, k, sum(x)::DOUBLE AS x FROM h GROUP BY ALL), n AS (SELECT item_id, sqrt(sum(x * x)) AS size FROM s GROUP BY item_id)
+        SELECT item_id, k, round(x / size, 5) AS x FROM s JOIN n USING (item_id) WHERE x <> 0""",
+    "affinity_features": f"""
+        WITH v AS ({_E}), p AS (SELECT id AS drug, (id * 7 + 3) % 500 AS protein FROM v), f AS (SELECT drug, protein, list_concat(a.e, b.e) AS f FROM p JOIN v a ON a.id = drug JOIN v b ON b.id = protein)
+        SELECT drug, protein, k, round(f[k + 1], 8) AS x FROM f, (SELECT unnest(range(128)) AS k)""",
     "mean_pooling": f"""
         WITH v AS ({_E}), t AS (SELECT id, e, [m FOR m IN [0, 1, 2, 3] IF m = 0 OR id % (m + 1) = 0] AS ms FROM v)
         SELECT id, k, round(list_sum(list_transform(ms, lambda m: e[m * 16 + k + 1])) / len(ms), 8) AS x FROM t, (SELECT unnest(range(16)) AS k)""",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +41,7 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 def fasta_columns(record) -> list:
     """id, organism, gene_name, sequence of a record without its leading '>'."""
     header = F.substring_index(record, "\n", 1)
-    body = F.when(F.instr(record, "\n") > 0, F.expr("substring(value, instr(value, '\n') + 1)")).otherwise("")
+    body = F.when(F.instr(record, "\n") > 0, F.substr(record, F.instr(record, "\n") + 1)).otherwise("")
     known = lambda p: F.nullif(F.regexp_extract(header, p, 1), F.lit(""))
     return [
         F.regexp_extract(header, r"^(\S+)", 1).alias("id"),
@@ -50,8 +52,8 @@ def fasta_columns(record) -> list:
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """id, organism, gene_name, sequence; sequences may span lines, blank lines don't count."""
-    rows = spark.read.option("lineSep", ">").text(path).where(F.trim(F.regexp_replace("value", r"\s", "")) != "")
+    """id, organism, gene_name, sequence; records begin with > at the start of a line, sequences may span lines, blank lines don't count."""
+    rows = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", r"^\s*>", "").alias("value")).where(F.regexp_replace("value", r"\s", "") != "")
     return rows.select(*fasta_columns(F.col("value")))
 
 
@@ -81,16 +83,16 @@ def log_relations(spark: SparkSession, path: str, index_pattern: str, relation_p
 def fold_predictions(spark: SparkSession, root: str, schema: str, folds: list[int]) -> DataFrame:
     """Predictions below root/FOLD_i/<uid>/predictions.csv with their fold and uid.
 
-    A fold with none is left out; one with several runs is an error, as they can't be told apart.
+    A fold with none is left out; so is one with several runs, with a warning, as they can't be told apart.
     """
     rows = spark.read.schema(schema).csv(f"{root}/FOLD_*/*/predictions.csv", header=True)
     file = F.col("_metadata.file_path")
     rows = rows.select("*", F.regexp_extract(file, r"FOLD_(\d+)/", 1).cast("int").alias("fold"), F.regexp_extract(file, r"FOLD_\d+/([^/]+)/", 1).alias("uid"))
     rows = rows.where(F.col("fold").isin(folds))
-    many = rows.groupBy("fold").agg(F.count_distinct("uid").alias("runs")).where("runs > 1").orderBy("fold").first()
-    if many:
-        raise ValueError(f"fold {many.fold} has {many.runs} runs")
-    return rows
+    many = rows.groupBy("fold").agg(F.count_distinct("uid").alias("runs")).where("runs > 1").orderBy("fold").collect()
+    for r in many:
+        warnings.warn(f"fold {r.fold} has {r.runs} runs and is left out", stacklevel=2)
+    return rows.where(~F.col("fold").isin([r.fold for r in many])) if many else rows
 
 
 def metric_files(spark: SparkSession, pattern: str, schema: str) -> DataFrame:

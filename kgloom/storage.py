@@ -10,14 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or an own folder where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "kgloom-checkpoints")
+    """spark.checkpoint.dir. Only a local master, as in tests, may do without the setting."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that the driver and all executors share")
+        path = os.path.join(tempfile.gettempdir(), "kgloom-checkpoints")
     return path.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has been written to."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it again; survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -215,7 +215,9 @@ def test_training_lowers_the_loss_and_stops(spark):
     state, losses = kge.train(edges, 8, 8, dim=4, epochs=15)
     assert losses[-1] < losses[0] and state["u"].shape == (8, 8)
     stop = kge.EarlyStop(1)
-    assert [stop.update(x, i) for i, x in enumerate([3.0, 2.0, 2.0, 5.0, 6.0])] == [False, False, False, False, True] and stop.state == 2
+    assert [stop.update(x, i) for i, x in enumerate([3.0, 2.0, 2.0, 5.0, 1.0, 4.0, 4.0])] == [False, False, False, True, False, False, True] and stop.state == 4
+    stop = kge.EarlyStop(1)
+    assert [stop.update(x, i) for i, x in enumerate([2.0, 2.0, 2.0])] == [False, False, True] and stop.state == 2
 
 
 def test_diffusion_and_attention(spark):
@@ -235,4 +237,6 @@ def test_text_helpers(spark):
     assert [r.r for r in df.collect()] == ["M K X", "X", "X"]
     p = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0], [9.0, 9.0]], [1, 1, 0])], "t array<array<double>>, m array<int>")
     assert list(p.select(mean_pool(F.col("t"), F.col("m"), 2).alias("p")).first().p) == [2.0, 3.0]
-    assert np.allclose(embed.embed_text("abc"), embed.embed_text(" abc ")) and np.isfinite(embed.embed_text("")).all()
+    texts = spark.createDataFrame([(1, "abc"), (2, " abc "), (3, ""), (4, None), (5, "X"), (6, "some longer text, some longer text")], "id long, t string")
+    e = {r.id: list(r.embedding) for r in embed.hashed_embedding(texts, "id", "t", 16).collect()}
+    assert e[1] == e[2] and e[3] == e[4] == e[5] and all(sum(x * x for x in v) == pytest.approx(1, abs=1e-5) for v in e.values()) and len(e[6]) == 16
