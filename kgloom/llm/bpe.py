@@ -33,12 +33,12 @@ from tokenizers import Tokenizer
 
 from kgloom.llm.common import fresh
 
-#: A worker keeps so many words it has met of late, and as many of the time before; and so many known seams.
-KNOWN_WORDS = 300_000
+#: A worker keeps so many words it has met of late, and as many of the time before; and so many known seams. Results don't depend on it.
+KNOWN_WORDS = 120_000
 #: Words, in sorted order, whose trie is held at a time.
 TRIE_WORDS = 20_000
 #: Bytes of text that are cut into words at a time.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 #: Texts with these aren't plain: characters beyond Latin-1, white space beyond ASCII, special tokens.
 NOT_PLAIN = r"[^\x{00}-\x{ff}]|[\x{85}\x{a0}]|<\|"
 #: What the tokenizer file's pattern cuts off besides runs of letters, in ASCII and in general; texts for the general one.
@@ -248,8 +248,8 @@ class Words:
     a special token, goes by the encoder's own rules.
     """
 
-    def __init__(self, encoder: TrieEncoder | LibraryEncoder):
-        self.encoder, self.known, self.older = encoder, {}, {}
+    def __init__(self, encoder: TrieEncoder | LibraryEncoder, keep: int = KNOWN_WORDS):
+        self.encoder, self.keep, self.known, self.older = encoder, keep, {}, {}
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The number of ids of each text and all ids, for one slice of the texts after the other."""
@@ -262,7 +262,7 @@ class Words:
 
     def _ids(self, distinct: list[str]) -> list[bytes]:
         """The ids of distinct words. Words of the older half that are met again move to the newer one."""
-        if len(self.known) >= KNOWN_WORDS:
+        if len(self.known) >= self.keep:
             self.older, self.known = self.known, {}
         known, older, new = self.known, self.older, []
         for w in distinct:
@@ -317,7 +317,7 @@ def trie_words(path: str) -> Words:
 
 @cache
 def library_words(path: str) -> Words:
-    return Words(LibraryEncoder(path))
+    return Words(LibraryEncoder(path), 300_000)
 
 
 @cache
