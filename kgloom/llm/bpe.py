@@ -34,7 +34,7 @@ from tokenizers import Tokenizer
 from kgloom.llm.common import fresh
 
 #: A worker keeps so many words it has met of late, and as many of the time before; and so many known seams. Results don't depend on it.
-KNOWN_WORDS = 120_000
+KNOWN_WORDS = 200_000
 #: Words, in sorted order, whose trie is held at a time.
 TRIE_WORDS = 20_000
 #: Bytes of text that are cut into words at a time.
