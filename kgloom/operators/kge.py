@@ -140,12 +140,19 @@ def loss_and_gradient(u: np.ndarray, v: np.ndarray, r: np.ndarray, head: np.ndar
     return float(-np.log(f).sum()), gu, gv, np.concatenate([(g * a).sum(axis=0), (g * b).sum(axis=0)])
 
 
+#: What train() holds at once: 160 MB of doubles.
+MOST_PARAMETERS = 20_000_000
+
+
 def train(edges: DataFrame, n_heads: int, n_tails: int, dim: int = 16, epochs: int = 60, rate: float = 0.05, patience: int = 5, seed: int = 0) -> tuple[dict[str, np.ndarray], list[float]]:
     """Embeddings of one relation's edges(head, tail) by full-batch gradient steps, and the loss of each epoch.
 
     Each partition gives the gradient of its edges; they are summed by a grouped sum over parameter indices, and
-    the driver applies one step. The partition function's gradient is closed-form in the Gram matrices.
+    the driver applies one step. The partition function's gradient is closed-form in the Gram matrices. The driver and all tasks hold
+    the parameters, so there may be at most MOST_PARAMETERS of them; more is an error.
     """
+    if (n_heads + n_tails) * 2 * dim > MOST_PARAMETERS:
+        raise ValueError(f"{n_heads + n_tails} nodes of {2 * dim} numbers are more than {MOST_PARAMETERS} parameters")
     rng = np.random.default_rng(seed)
     p = {"u": initial(rng, (n_heads, 2 * dim)), "v": initial(rng, (n_tails, 2 * dim)), "r": initial(rng, (2 * dim,))}
     m, w = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}

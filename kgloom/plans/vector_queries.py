@@ -90,9 +90,9 @@ def log_prob_all(spark, d):
 
 
 def kge_train(spark, d):
-    """Loss of each epoch of a small model of the target relation."""
-    rows = target(spark, d).where("head < 20 AND tail < 100")
-    _, losses = kge.train(rows, 20, 100, dim=8, epochs=8)
+    """Loss of each epoch of a model of the whole target relation."""
+    heads, tails = (table(spark, d, t).agg(F.max(k) + 1).first()[0] for t, k in (("supplier", "s_suppkey"), ("part", "p_partkey")))
+    _, losses = kge.train(target(spark, d), heads, tails, dim=8, epochs=8)
     return spark.createDataFrame([(i, float(x)) for i, x in enumerate(losses)], "epoch long, loss double")
 
 
