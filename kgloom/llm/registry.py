@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm import bpe, decontamination, exact_dedup, html_text, language_id, line_dedup, masked_lm, simhash, token_files, warc
+from kgloom.llm import bpe, collocations, decontamination, exact_dedup, html_text, language_id, line_dedup, masked_lm, mixing, simhash, token_files, warc, whitening
 from kgloom.llm.common import drop_path, new_path, shared_dir, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -84,6 +84,19 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_checksums(spark, out)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "copies")
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_codec": op1_bpe_codec,
     "op2_warc_fixity": op2_warc_fixity,
@@ -95,6 +108,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_token_files": op10_token_files,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_source_mixing": op12_source_mixing,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
 _SQUEEZED = "regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')"
@@ -115,6 +131,23 @@ ORACLE_SQL: dict[str, str] = {
         g AS (SELECT text_sha256, count(*) AS group_size, arg_min(doc_id, row(-n, doc_id)) AS keep_id FROM t GROUP BY text_sha256)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t JOIN g USING (text_sha256)
     """,
+    "op13_phrase_collocations": r"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+        p AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+        w AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS ws FROM p),
+        g AS (SELECT lang, k, unnest([array_to_string(ws[i : i + k - 1], ' ') FOR i IN range(1, len(ws) - k + 2)]) AS phrase FROM w, (VALUES (1), (2), (3)) AS s(k)),
+        f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY lang, k, phrase),
+        n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+        o AS MATERIALIZED (SELECT lang, phrase, f FROM f WHERE f >= 10),
+        c AS MATERIALIZED (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 10),
+        h AS MATERIALIZED (SELECT lang, k, phrase, a, j, array_to_string(ws[1 : j], ' ') AS x, array_to_string(ws[j + 1 : k], ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+        cuts AS (SELECT h.lang, h.k, h.phrase, h.a, h.j, x.f AS l, y.f AS r, (1000000 * h.a::HUGEINT * h.a::HUGEINT) // (x.f::HUGEINT * y.f::HUGEINT) AS score
+            FROM h JOIN o x ON x.lang = h.lang AND x.phrase = h.x JOIN o y ON y.lang = h.lang AND y.phrase = h.y),
+        m AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+        e AS (SELECT lang, phrase, max(a) AS f FROM (SELECT lang, unnest([array_to_string(ws[1 : 2], ' '), array_to_string(ws[2 : 3], ' ')]) AS phrase, a FROM c WHERE k = 3) GROUP BY lang, phrase)
+        SELECT m.lang, row_number() OVER (PARTITION BY m.lang ORDER BY score DESC, m.a DESC, encode(m.phrase)) AS rank, m.phrase, m.a, m.l, m.r, n.n, CAST(score AS BIGINT) AS score
+        FROM m JOIN n ON n.lang = m.lang LEFT JOIN e ON e.lang = m.lang AND e.phrase = m.phrase WHERE e.f IS NULL OR m.k > 2 OR 100 * e.f < 50 * m.a QUALIFY rank <= 2000
+    """,
 }
 
 
