@@ -1,4 +1,4 @@
-"""Tri-linear knowledge-graph embedding: scores, exact partition function, log-probabilities, training.
+"""Tri-linear knowledge-graph embedding: scores, exact partition function, log-probabilities. Training is in `kge_train`.
 
 Node embeddings are array columns re, im; a relation has its own re, im. Scores are squares, so
 they are never negative and their sum over all head x tail pairs has a closed form in Gram
@@ -121,82 +121,6 @@ class EarlyStop:
         return self.waited > self.patience
 
 
-def initial(rng: np.random.Generator, shape: tuple[int, ...], spread: float = 0.01) -> np.ndarray:
-    """exp of narrow normals around minus a third of the log of the dimension: tri-linear sums start near one."""
-    return np.exp(rng.normal(size=shape) * spread - (np.log(shape[-1]) / 3 + 0.5 * spread**2))
-
-
-def loss_and_gradient(u: np.ndarray, v: np.ndarray, r: np.ndarray, head: np.ndarray, tail: np.ndarray, n: int) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-    """Sum over edges of -log(phi + eps), and its gradients; u, v, r have re and im halves side by side."""
-    d = len(r) // 2
-    ur, ui, vr, vi, rr, ri = u[head, :d], u[head, d:], v[tail, :d], v[tail, d:], r[:d], r[d:]
-    a, b = ur * vr + ui * vi, ur * vi - ui * vr
-    s = a @ rr + b @ ri
-    f = s * s + 1.0 / n
-    g = (-2 * s / f)[:, None]
-    gu, gv = np.zeros_like(u), np.zeros_like(v)
-    np.add.at(gu, head, g * np.hstack([rr * vr + ri * vi, rr * vi - ri * vr]))
-    np.add.at(gv, tail, g * np.hstack([rr * ur - ri * ui, rr * ui + ri * ur]))
-    return float(-np.log(f).sum()), gu, gv, np.concatenate([(g * a).sum(axis=0), (g * b).sum(axis=0)])
-
-
-#: What train() holds at once: 160 MB of doubles.
-MOST_PARAMETERS = 20_000_000
-
-
-def train(edges: DataFrame, n_heads: int, n_tails: int, dim: int = 16, epochs: int = 60, rate: float = 0.05, patience: int = 5, seed: int = 0) -> tuple[dict[str, np.ndarray], list[float]]:
-    """Embeddings of one relation's edges(head, tail) by full-batch gradient steps, and the loss of each epoch.
-
-    Each partition gives the gradient of its edges; they are summed by a grouped sum over parameter indices, and
-    the driver applies one step. The partition function's gradient is closed-form in the Gram matrices. The driver and all tasks hold
-    the parameters, so there may be at most MOST_PARAMETERS of them; more is an error.
-    """
-    if (n_heads + n_tails) * 2 * dim > MOST_PARAMETERS:
-        raise ValueError(f"{n_heads + n_tails} nodes of {2 * dim} numbers are more than {MOST_PARAMETERS} parameters")
-    rng = np.random.default_rng(seed)
-    p = {"u": initial(rng, (n_heads, 2 * dim)), "v": initial(rng, (n_tails, 2 * dim)), "r": initial(rng, (2 * dim,))}
-    m, w = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
-    total = edges.count()
-    stop, losses = EarlyStop(patience), []
-    pairs = edges.select("head", "tail").cache()
-    for t in range(1, epochs + 1):
-        shared = edges.sparkSession.sparkContext.broadcast(p)
-
-        def each(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            q, flat = shared.value, None
-            for pdf in batches:
-                loss, *g = loss_and_gradient(q["u"], q["v"], q["r"], pdf["head"].to_numpy(), pdf["tail"].to_numpy(), n_heads * n_tails)
-                own = np.concatenate([[loss], *(x.ravel() for x in g)])
-                flat = own if flat is None else flat + own
-            if flat is not None:
-                seen = np.flatnonzero(flat)
-                yield pd.DataFrame({"i": seen, "g": flat[seen]})
-
-        rows = pairs.mapInPandas(each, "i long, g double").groupBy("i").agg(F.sum("g").alias("g")).toPandas()
-        flat = np.zeros(1 + sum(x.size for x in p.values()))
-        flat[rows.i] = rows.g
-        u, v, r = p["u"], p["v"], p["r"]
-        d, gx, gy = dim, u.T @ u, v.T @ v
-        mat = np.block([[np.diag(r[:d]), np.diag(r[d:])], [-np.diag(r[d:]), np.diag(r[:d])]])
-        z = float(np.sum((gx @ mat) * (mat @ gy)))
-        gm = 2 * gx @ mat @ gy
-        dz = {"u": 2 * u @ (mat @ gy @ mat.T), "v": 2 * v @ (mat.T @ gx @ mat)}
-        dz["r"] = np.concatenate([np.diag(gm)[:d] + np.diag(gm)[d:], np.diag(gm[:d, d:]) - np.diag(gm[d:, :d])])
-        losses.append(flat[0] / total + float(np.log1p(z)))
-        if stop.update(losses[-1], {k: x.copy() for k, x in p.items()}):
-            break
-        at = 1
-        for k, x in p.items():
-            g = flat[at : at + x.size].reshape(x.shape) / total + dz[k] / (1 + z)
-            at += x.size
-            m[k] += 0.1 * (g - m[k])
-            w[k] += 0.001 * (g * g - w[k])
-            x -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(w[k] / (1 - 0.999**t)) + 1e-8)
-        shared.unpersist()
-    pairs.unpersist()
-    return stop.state, losses
-
-
 def random_search(space: dict[str, list], n: int, seed: int = 0) -> list[dict]:
     """n hyper-parameter choices, each value drawn from its list."""
     rng = np.random.default_rng(seed)

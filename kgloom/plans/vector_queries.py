@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from kgloom.functions.vectors import doubles, mean_pool, residues, sigmoid
 from kgloom.operators import affinity, embed, kge, similarity
-from kgloom.plans.graph_queries import target
 from kgloom.schema import product
 from kgloom.sources.readers import combine_pages, fasta_columns
 from kgloom.storage import table
@@ -89,13 +88,6 @@ def log_prob_all(spark, d):
     return out.select("head", "tail", F.round("log_prob", 6).alias("log_prob"), "rank")
 
 
-def kge_train(spark, d):
-    """Loss of each epoch of a model of the whole target relation."""
-    heads, tails = (table(spark, d, t).agg(F.max(k) + 1).first()[0] for t, k in (("supplier", "s_suppkey"), ("part", "p_partkey")))
-    _, losses = kge.train(target(spark, d), heads, tails, dim=8, epochs=8)
-    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(losses)], "epoch long, loss double")
-
-
 def hashed_embedding(spark, d):
     out = embed.hashed_embedding(table(spark, d, "benchmark"), "item_id", "text")
     cells = out.select(F.col("id").alias("item_id"), F.posexplode(doubles("embedding")).alias("k", "x"))
@@ -180,7 +172,7 @@ _PHI = f"""
 QUERIES = {
     f.__name__: f
     for f in (
-        cosine_knn, cosine_pairs_quantile, pair_mse, gram_matrix, trilinear_score, partition_function, log_prob, kge_train, hashed_embedding, affinity_regress, affinity_features, mean_pooling, sigmoid_scores,
+        cosine_knn, cosine_pairs_quantile, pair_mse, gram_matrix, trilinear_score, partition_function, log_prob, hashed_embedding, affinity_regress, affinity_features, mean_pooling, sigmoid_scores,
         fasta_like_parse, matrix_to_coo, log_regex_collect, residue_normalise, paged_lookup, trilinear_score_all, log_prob_all,
     )
 }
