@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.operators import aggregate, embed, errorrate, graph, metrics, negatives, relations, similarity
+from kgloom.operators import aggregate, embed, errorrate, graph, metrics, negatives, relations, similarity, simjoin
 from kgloom.schema import first_known
 
 
@@ -23,14 +23,19 @@ def target_relation(assays: DataFrame, assay_types: Sequence[str] = ("Kd", "Ki")
     return meta, relations.edges(meta, "inchikey", "gene_symbol", "drug", "gene", "targets", keep_duplicates=True)
 
 
-def similarity_relation(items: DataFrame, id_col: str, text_col: str, node_type: str, relation: str, method: str = "knn", k: int = 3, quantile: float = 0.95, dim: int = 64) -> DataFrame:
-    """Edges between similar items: the k nearest of each, or pairs above the quantile of all cosines in both directions."""
+def similarity_relation(items: DataFrame, id_col: str, text_col: str, node_type: str, relation: str, method: str = "knn", k: int = 3, quantile: float = 0.95, dim: int = 64, least: float = 0.8) -> DataFrame:
+    """Edges between similar items: the k nearest of each (knn), pairs above the quantile of all cosines (threshold), or pairs whose cosine is over `least` (cosine).
+
+    The last two give edges in both directions; the last one compares only pairs that pivots leave.
+    """
     vectors = embed.hashed_embedding(items.dropna(subset=[id_col]), id_col, text_col, dim).withColumnRenamed("id", "name")
     numbered = vectors.withColumn("id", F.xxhash64("name"))
     if method == "knn":
         pairs = similarity.cosine_knn(numbered, k).select("i", "j")
     elif method == "threshold":
-        pairs = relations.symmetric_closure(similarity.above_quantile(similarity.cosine_above(numbered, -2.0), "cos", quantile), "i", "j")
+        pairs = relations.symmetric_closure(similarity.cosine_above_quantile(numbered, quantile), "i", "j")
+    elif method == "cosine":
+        pairs = relations.symmetric_closure(simjoin.all_pairs(simjoin.exact_join(numbered, least)), "i", "j")
     else:
         raise ValueError(f"unknown method {method}")
     named = lambda n: numbered.select(F.col("id").alias(n), F.col("name").alias(f"{n}_name"))
