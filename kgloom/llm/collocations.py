@@ -29,7 +29,9 @@ from kgloom.llm.common import materialize, split_join
 STOPS, BLANKS = "[.,;:!?\n-\r]", "[ \t]+"
 LEAST, MAX_WORDS, TOP, COVERED = 10, 3, 2000, 50
 #: Bits of the table of frequent phrases (16 MB), and bytes of text that a task counts at once.
-BITS, SLICE = 1 << 27, 4 << 20
+BITS, SLICE = 1 << 27, 6 << 20
+#: A language's phrases are ranked in so many shares first, of which the best go on.
+SHARES = 32
 GRAMS = "lang string, phrase string, f long"
 
 
@@ -113,7 +115,8 @@ def level(texts: DataFrame, n: int, frequent: np.ndarray | None) -> DataFrame:
             if found is not None:
                 yield found
 
-    return texts.mapInArrow(each, GRAMS).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    # slices are counted already, so summing them again before the shuffle would gain little: a phrase has a row for each slice at most
+    return texts.mapInArrow(each, GRAMS).repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
 def bit_table(grams: DataFrame) -> np.ndarray:
@@ -189,7 +192,9 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     """lang, rank, phrase, a, l, r, n, score: the best phrases of each language."""
     freq = frequencies(docs, lang_col, text_col, least, max_words)
     candidates = materialize(scored(freq), "scored")
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = uncovered(candidates).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    shares = uncovered(candidates).withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(SHARES)))
+    shares = shares.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "share").orderBy(*order))).where(F.col("rank") <= top)
+    ranked = shares.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     totals = freq.where("words = 0").select("lang", F.col("f").alias("n"))
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
