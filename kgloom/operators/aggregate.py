@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgloom.operators.errorrate import RATES
+from kgloom.operators.quantiles import quantiles
 from kgloom.schema import group_by_known
 
 ESTIMATES = ("score", *[f"{r}_est" for r in RATES])
@@ -30,7 +31,8 @@ def summary(df: DataFrame, drug: str = "drug", protein: str = "protein") -> Data
 
 def quantile_flags(df: DataFrame, value: str, weak: float = 0.05, strong: float = 0.95) -> DataFrame:
     """df with is_weak (below the lower quantile) and is_strong (above the upper one), both strict."""
-    q = df.agg(F.percentile(value, F.lit(weak)).alias("__w"), F.percentile(value, F.lit(strong)).alias("__s"))
+    of = lambda q: F.max(F.when(F.col("q") == q, F.col("value")))
+    q = quantiles(df, value, [weak, strong]).agg(of(weak).alias("__w"), of(strong).alias("__s"))
     return df.crossJoin(F.broadcast(q)).withColumns({"is_weak": F.col(value) < F.col("__w"), "is_strong": F.col(value) > F.col("__s")}).drop("__w", "__s")
 
 

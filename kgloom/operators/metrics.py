@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgloom.operators.scan import running_sums
+
 #: Ranks up to which hits are counted.
 TOPS = (1, 3, 10, 100)
 
@@ -12,7 +14,7 @@ TOPS = (1, 3, 10, 100)
 def score_steps(preds: DataFrame, head: str = "head", score: str = "score", y: str = "y") -> DataFrame:
     """head, score, p, n: positives and negatives at each distinct score; then tp, fp from the highest score down.
 
-    Rows are counted by (head, score) before any window, so windows run over distinct scores.
+    Rows are counted by (head, score) before any sum runs, so those run over distinct scores.
     """
     counts = preds.groupBy(F.col(head).alias("head"), F.col(score).alias("score")).agg(
         F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(y) == 1, 0).otherwise(1)).alias("n")
@@ -21,8 +23,8 @@ def score_steps(preds: DataFrame, head: str = "head", score: str = "score", y: s
 
 
 def running(counts: DataFrame) -> DataFrame:
-    down = Window.partitionBy("head").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.withColumn("tp", F.sum("p").over(down)).withColumn("fp", F.sum("n").over(down))
+    """counts(head, score, p, n) with tp, fp: the sums of a head's p and n from its highest score down; a hot head is split across tasks."""
+    return running_sums(counts, ["head"], "score", {"tp": "p", "fp": "n"}, descending=True)
 
 
 def auroc(steps: DataFrame) -> DataFrame:
@@ -51,7 +53,7 @@ def ranks(steps: DataFrame) -> DataFrame:
 def sampled_ranks(preds: DataFrame, head: str = "head", score: str = "score", y: str = "y") -> DataFrame:
     """As ranks(); heads without negatives of their own are ranked among all negatives.
 
-    Such heads meet the negatives' distinct scores, counted once, in a merged descending run.
+    Such heads meet the negatives' distinct scores, counted once, in a merged descending run, which is split across tasks.
     """
     steps = score_steps(preds, head, score, y)
     own = steps.groupBy("head").agg(F.sum("n").alias("own"))

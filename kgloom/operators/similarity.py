@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgloom.functions.vectors import cosine, doubles, mean_squared_difference
+from kgloom.operators.quantiles import quantiles
 from kgloom.schema import position, with_constants
 
 BLOCK_ROWS = 2000
@@ -85,7 +86,7 @@ def pair_measures(pairs: DataFrame, vectors: DataFrame, id_col: str = "id", vec_
 
 def above_quantile(pairs: DataFrame, value: str, q: float) -> DataFrame:
     """Rows strictly above the exact q-quantile (linear interpolation) of the value."""
-    at = pairs.agg(F.percentile(value, F.lit(q)).alias("__q"))
+    at = quantiles(pairs, value, [q]).agg(F.max("value").alias("__q"))
     return pairs.crossJoin(F.broadcast(at)).where(F.col(value) > F.col("__q")).drop("__q")
 
 

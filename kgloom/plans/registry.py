@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kgloom.plans import file_queries, graph_queries, link_queries, prediction_queries, step_queries, training_queries, vector_queries
+from kgloom.plans import file_queries, graph_queries, link_queries, order_queries, prediction_queries, step_queries, training_queries, vector_queries
 
-_MODULES = (graph_queries, prediction_queries, vector_queries, file_queries, step_queries, training_queries, link_queries)
+_MODULES = (graph_queries, prediction_queries, vector_queries, file_queries, step_queries, training_queries, link_queries, order_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
