@@ -266,6 +266,12 @@ _TRIPLES = f"""
           FROM i LEFT JOIN o ON i.rel_id = o.rel_id AND i.src_idx = o.src_idx AND i.dst_idx = o.dst_idx)
 """
 
+_HOPS = f"""
+    WITH e AS (SELECT src_type || ':' || src AS src, dst_type || ':' || dst AS dst FROM ({EDGES}) WHERE relation IN ('targets', 'brand_fwd')), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+    h1 AS (SELECT src AS source, dst AS node, count(*) AS v FROM b WHERE src IN (SELECT 'supplier:' || s_suppkey FROM supplier {{where}}) GROUP BY ALL),
+    h2 AS (SELECT source, dst AS node, sum(v) AS v FROM h1 JOIN b ON node = src GROUP BY ALL)
+    SELECT source, dst AS node, CAST(sum(v) AS BIGINT) AS value FROM h2 JOIN b ON node = src GROUP BY source, dst"""
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -311,11 +317,8 @@ ORACLE_SQL = {
         WITH k AS ({TARGET}), h AS (SELECT head, count(*) AS hd FROM k GROUP BY head), t AS (SELECT tail, count(*) AS td FROM k GROUP BY tail)
         SELECT head, tail, hd * td AS score FROM h CROSS JOIN t WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.head = h.head AND k.tail = t.tail) ORDER BY score DESC, head, tail LIMIT 50""",
     "negatives_hash": _NEG,
-    "khop_diffusion": f"""
-        WITH e AS (SELECT src_type || ':' || src AS src, dst_type || ':' || dst AS dst FROM ({EDGES}) WHERE relation IN ('targets', 'brand_fwd')), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
-        h1 AS (SELECT src AS source, dst AS node, count(*) AS v FROM b WHERE src IN (SELECT 'supplier:' || s_suppkey FROM supplier WHERE s_suppkey % 50 = 0) GROUP BY ALL),
-        h2 AS (SELECT source, dst AS node, sum(v) AS v FROM h1 JOIN b ON node = src GROUP BY ALL)
-        SELECT source, dst AS node, CAST(sum(v) AS BIGINT) AS value FROM h2 JOIN b ON node = src GROUP BY source, dst""",
+    "khop_diffusion": _HOPS.format(where="WHERE s_suppkey % 50 = 0"),
+    "khop_diffusion_all": _HOPS.format(where=""),
     "source_counts": "SELECT source, count(*) AS n_rows, count(DISTINCT doc_id) AS n_doc_id, count(DISTINCT lang) AS n_lang FROM documents WHERE source IS NOT NULL GROUP BY source",
     "edge_attention": f"""
         WITH e AS (SELECT head AS src, tail AS dst, ((head * 31 + tail * 17) % 13) / 4.0::DOUBLE AS logit FROM ({TARGET}))

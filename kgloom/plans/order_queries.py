@@ -17,9 +17,9 @@ def running_quantity(spark, d):
 
 
 def price_quantiles(spark, d):
-    """Exact quantiles of prices for each supplier, and of all suppliers together as supplier null."""
+    """Exact quantiles of prices for each supplier, and of all suppliers together as supplier -1."""
     rows = table(spark, d, "lineitem").select("l_suppkey", "l_extendedprice")
-    whole = quantiles(rows, "l_extendedprice", [0.05, 0.5, 0.95]).select(F.lit(None).cast("long").alias("l_suppkey"), "q", "value")
+    whole = quantiles(rows, "l_extendedprice", [0.05, 0.5, 0.95]).select(F.lit(-1).cast("long").alias("l_suppkey"), "q", "value")
     out = quantiles(rows, "l_extendedprice", [0.05, 0.5, 0.95], ["l_suppkey"]).unionByName(whole)
     return out.select("l_suppkey", "q", F.round("value", 4).alias("value"))
 
@@ -33,5 +33,5 @@ ORACLE_SQL = {
     "price_quantiles": """
         WITH q AS (SELECT unnest([0.05, 0.5, 0.95])::DOUBLE AS q)
         SELECT l_suppkey, q, round(CASE q WHEN 0.05 THEN quantile_cont(l_extendedprice, 0.05) WHEN 0.5 THEN quantile_cont(l_extendedprice, 0.5) ELSE quantile_cont(l_extendedprice, 0.95) END, 4)::DOUBLE AS value FROM lineitem, q GROUP BY l_suppkey, q
-        UNION ALL SELECT NULL, q, round(CASE q WHEN 0.05 THEN quantile_cont(l_extendedprice, 0.05) WHEN 0.5 THEN quantile_cont(l_extendedprice, 0.5) ELSE quantile_cont(l_extendedprice, 0.95) END, 4)::DOUBLE FROM lineitem, q GROUP BY q""",
+        UNION ALL SELECT -1, q, round(CASE q WHEN 0.05 THEN quantile_cont(l_extendedprice, 0.05) WHEN 0.5 THEN quantile_cont(l_extendedprice, 0.5) ELSE quantile_cont(l_extendedprice, 0.95) END, 4)::DOUBLE FROM lineitem, q GROUP BY q""",
 }

@@ -186,7 +186,17 @@ ORACLE_SQL = {
     "gram_matrix": f"WITH v AS ({_E}), x AS (SELECT id, unnest(e) AS x, unnest(range(64)) AS k FROM v) SELECT a.k AS i, b.k AS j, round(sum(a.x * b.x), 5) AS s FROM x a JOIN x b USING (id) GROUP BY a.k, b.k",
     "trilinear_score": f"{_PHI} SELECT head, tail, round(score, 8) AS score FROM s WHERE head % 50 = 0",
     "partition_function": f"{_PHI} SELECT round(z, 4) AS z FROM z",
-    "log_prob": f"{_PHI} SELECT head, tail, round(ln(score + 1.0::DOUBLE / n) - ln(1 + z), 6) AS log_prob FROM s, z WHERE head % 50 = 0",
+    # the sum over all pairs from the Gram matrix of all vectors, so that only the query set's pairs are made
+    "log_prob": f"""
+        WITH v AS MATERIALIZED ({_E}), r AS (SELECT e FROM v WHERE id = 100), n AS (SELECT count(*) AS n FROM v), k AS (SELECT unnest(range({KGE_DIM})) AS k),
+        x AS (SELECT id, unnest(range({2 * KGE_DIM})) AS k, unnest(e[1:{2 * KGE_DIM}]) AS x FROM v), g AS MATERIALIZED (SELECT a.k AS i, b.k AS j, sum(a.x * b.x) AS s FROM x a JOIN x b USING (id) GROUP BY ALL),
+        m AS (SELECT k AS i, k AS k, e[k + 1] AS m FROM r, k UNION ALL SELECT k + {KGE_DIM}, k + {KGE_DIM}, e[k + 1] FROM r, k
+            UNION ALL SELECT k, k + {KGE_DIM}, e[k + {KGE_DIM + 1}] FROM r, k UNION ALL SELECT k + {KGE_DIM}, k, -e[k + {KGE_DIM + 1}] FROM r, k),
+        z AS (SELECT sum(a.s * p.m * b.s * q.m) AS z FROM g a JOIN m p ON p.i = a.i JOIN m q ON q.i = a.j JOIN g b ON b.i = p.k AND b.j = q.k),
+        s AS (SELECT a.id AS head, b.id AS tail, list_sum(list_transform(range(1, {KGE_DIM + 1}), lambda k:
+            a.e[k] * r.e[k] * b.e[k] + a.e[k + {KGE_DIM}] * r.e[k] * b.e[k + {KGE_DIM}] + a.e[k] * r.e[k + {KGE_DIM}] * b.e[k + {KGE_DIM}] - a.e[k + {KGE_DIM}] * r.e[k + {KGE_DIM}] * b.e[k])) ** 2 AS score
+            FROM v a, v b, r WHERE a.id % 50 = 0)
+        SELECT head, tail, round(ln(score + 1.0::DOUBLE / (n * n)) - ln(1 + z), 6) AS log_prob FROM s, z, n""",
     "trilinear_score_all": f"{_PHI} SELECT head, tail, round(score, 8) AS score, row_number() OVER (PARTITION BY head ORDER BY round(score, 12) DESC, tail) AS rank FROM s QUALIFY rank <= {TOP_TAILS}",
     "log_prob_all": f"{_PHI} SELECT head, tail, round(ln(score + 1.0::DOUBLE / n) - ln(1 + z), 6) AS log_prob, row_number() OVER (PARTITION BY head ORDER BY round(score, 12) DESC, tail) AS rank FROM s, z QUALIFY rank <= {TOP_TAILS}",
     "hashed_embedding": """

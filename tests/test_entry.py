@@ -51,3 +51,9 @@ def test_entry_without_the_optional_part(tmp_path):
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); print(len(q), 'pipeline' in q, len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True, check=True)
     n, pipeline, _ = out.stdout.split()
     assert int(n) > 60 and pipeline == "False"
+
+
+def test_entry_without_a_library_of_the_optional_part():
+    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries())"
+    out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, check=True)
+    assert int(out.stdout.split()[0]) > 60 and out.stdout.split()[1] == "False" and "without the training-data queries" in out.stderr
