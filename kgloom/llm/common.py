@@ -95,6 +95,18 @@ def without_rows(rows: DataFrame, marks: list[str], gone: DataFrame, id_col: str
     return rows.join(gone, same, "left_anti").drop(*marks)
 
 
+def one_of_repeated(rows: DataFrame, marks: list[str], repeated: DataFrame, id_col: str) -> DataFrame:
+    """rows of with_marks() with one row of each repeated(id, x, y), that of the least JSON text; the rest as they are. repeated may be empty."""
+    if repeated.isEmpty():
+        return rows
+    keys = repeated.select(F.col("id").alias("_again"), F.col("x").alias("_again_x"), F.col("y").alias("_again_y")).distinct()
+    same = rows[id_col].eqNullSafe(keys["_again"]) & (rows[marks[0]] == keys["_again_x"]) & (rows[marks[1]] == keys["_again_y"])
+    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    mine = rows.join(keys, same, "left_semi")
+    one = mine.groupBy(id_col, *marks).agg(F.min_by(whole, F.to_json(whole)).alias("_row")).select("_row.*")
+    return rows.join(keys, same, "left_anti").unionByName(one)
+
+
 def fresh(name: str, *frames: DataFrame) -> str:
     """A column name that none of the frames has."""
     taken = {c.lower() for f in frames for c in f.columns}

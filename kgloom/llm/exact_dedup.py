@@ -9,8 +9,8 @@ and a text with very many copies arrives as one entry per group, never as its ro
 Defined results: null text counts as empty; texts are equal if they are identical without
 [\\x20\\x09-\\x0D]; the row with most code points in its original text stays, then the smallest
 id (null ids sort first); in the table of decisions, rows that repeat an id and a text share one; the stage decides by row: only
-the best row of a text stays, rows of one id with other texts and rows without an id are rows of their own, and rows equal
-in id and text share a decision; an empty table gives an empty result; other columns of the input, whatever their names, don't matter.
+the best row of a text stays, rows of one id with other texts and rows without an id are rows of their own, and of rows equal
+in id and text one stays, whatever their other columns (that of the least JSON text); an empty table gives an empty result; other columns of the input, whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import ASCII_SPACE, materialize, with_marks, without_rows
+from kgloom.llm.common import ASCII_SPACE, materialize, one_of_repeated, with_marks, without_rows
 
 
 def squeezed(text: Column) -> Column:
@@ -94,4 +94,6 @@ def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = materialize(digest_rows(docs, id_col, text_col, 512, marks), "digests")
     groups = dedup_groups(rows).where("copies > 1").select("digest", "size", "check", "best")
     best = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("x") == F.col("best.x")) & (F.col("y") == F.col("best.y"))
-    return without_rows(docs, marks, rows.join(groups, ["digest", "size", "check"]).where(~best), id_col)
+    members = materialize(rows.join(groups, ["digest", "size", "check"]).select("id", "x", "y", best.alias("kept")), "copies")
+    again = members.where("kept").groupBy("id", "x", "y").count().where("count > 1")
+    return without_rows(one_of_repeated(docs, marks, again, id_col), marks, members.where("NOT kept"), id_col)

@@ -45,6 +45,12 @@ def test_exact_dedup_empty_and_stage(no_docs, odd_docs):
     assert len(texts) == len(set(texts))
 
 
+def test_stage_keeps_one_of_repeated_rows(spark):
+    rows = [(2, "a b", "x"), (2, "a b", "w"), (2, "ab", "x"), (3, "other", "x"), (3, "other", "x"), (3, "else", "x"), (None, "ab", "x"), (None, "lone", "x"), (None, "lone", "x"), (5, None, None), (5, None, None)]
+    kept = exact_dedup.keep_first_copies(spark.createDataFrame(rows, "doc_id long, text string, y string").repartition(3)).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(2, "a b", "w"), (3, "other", "x"), (3, "else", "x"), (None, "lone", "x"), (5, None, None)], key=str)
+
+
 def test_exact_dedup_plan_has_no_python(odd_docs):
     plan = exact_dedup.exact_dedup(odd_docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan

@@ -15,12 +15,8 @@ SMALL = "/root/testdata/sf0.001"
 
 
 def one_row_each(groups, order):
-    """Of each group the best row; with an id, rows that are equal to it share its place."""
-    kept = []
-    for rows in groups:
-        best = min(rows, key=order)
-        kept += [best] if best[0] is None else [r for r in rows if r == best]
-    return kept
+    """Of each group the best row; one of rows that are equal to it."""
+    return [min(rows, key=order) for rows in groups]
 
 
 def near_groups(rows):
