@@ -3,7 +3,7 @@
 Documents are range-partitioned and sorted by id, encoded, and an end id is appended to each.
 A shard holds the ids of neighbouring documents. Its grammar is found in rounds: all pairs of
 neighbouring symbols are counted, the frequent ones that no more frequent pair overlaps are each
-replaced by a new nonterminal, and the pair becomes its rule; rounds go on until no pair is worth a rule. Pairs never cross the
+replaced by a new nonterminal, and the pair becomes its rule; rounds go on until no pair has LEAST_COUNT places that don't overlap. Pairs never cross the
 end of a document.
 
 File format (Parquet, one row per shard, so Spark writes and prunes it like any table):
@@ -47,35 +47,62 @@ LEAST_COUNT = 4
 _SLOTS = 20
 
 
+def _alternate(places: np.ndarray, equal: np.ndarray) -> np.ndarray:
+    """Which places may be replaced together as far as a pair overlaps itself: in a run of equal symbols every second one."""
+    follows = np.zeros(len(places), bool)
+    follows[1:] = equal[1:] & equal[:-1] & (places[1:] == places[:-1] + 1)
+    at = np.arange(len(places))
+    return ~follows | ((at - np.maximum.accumulate(np.where(follows, 0, at))) % 2 == 0)
+
+
+def _winners(places: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Of overlapping places those with the greater rank, of equal ones the first."""
+    overlaps = places[1:] == places[:-1] + 1
+    best = np.ones(len(places), bool)
+    best[1:] &= ~overlaps | (rank[1:] > rank[:-1])
+    best[:-1] &= ~overlaps | (rank[:-1] >= rank[1:])
+    return best
+
+
 def re_pair(symbols: np.ndarray, base: int, least_count: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray]:
     """The grammar (rules, compressed symbols) of uint32 symbols; base - 1 marks ends and is never replaced.
 
-    Only the places of pairs that may still be frequent are looked at in each round: a pair of old symbols never gets
-    more frequent again, and pairs with a new symbol stand beside its places.
+    A pair's count is that of its places that don't overlap: every second one of a run. A round replaces, of overlapping places, those of the
+    more frequent pair, so at least the most frequent pair of all is replaced wherever it stands; the rounds end when no pair has
+    least_count places left. Counts are by hash slots first, and by the pairs themselves once those find no more; only places of pairs that
+    may still be frequent are looked at: a pair of old symbols never gets more frequent again, and pairs with a new symbol stand beside its places.
     """
     rules: list[np.ndarray] = []
-    made, end = 0, base - 1
+    made, end, exact = 0, base - 1, False
     places = np.flatnonzero((symbols[:-1] != end) & (symbols[1:] != end)) if len(symbols) > 1 else np.zeros(0, np.int64)
     while len(places):
         a, b = symbols[places], symbols[places + 1]
-        bits = min(_SLOTS, len(places).bit_length() + 2)
-        slot = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(32 - bits)
-        count = np.bincount(slot, minlength=1 << bits)[slot]
+        alone = _alternate(places, a == b)
+        if exact:
+            key = a.astype(np.uint64) << np.uint64(32) | b
+            pairs, slot = np.unique(key, return_inverse=True)
+            count = np.bincount(slot[alone], minlength=len(pairs))[slot]
+        else:
+            bits = min(_SLOTS, len(places).bit_length() + 2)
+            slot = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(32 - bits)
+            count = np.bincount(slot[alone], minlength=1 << bits)[slot]
         often = count >= least_count
-        # the more frequent of overlapping pairs goes first, of equals the one with the greater hash, so that a long repeated passage shrinks everywhere
-        places, count = places[often], count[often] << 32 | slot[often]
-        overlaps = places[1:] == places[:-1] + 1
-        best = np.ones(len(places), bool)
-        best[1:] &= ~overlaps | (count[1:] > count[:-1])
-        best[:-1] &= ~overlaps | (count[:-1] >= count[1:])
-        at = places[best]
+        # the more frequent of overlapping pairs goes first, of equals the one with the greater slot, so that a long repeated passage shrinks everywhere
+        rank = (count << 32 | slot)[often & alone]
+        at = places[often & alone]
+        places = places[often]
+        at = at[_winners(at, rank)]
         key = symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1]
         pairs, which, times = np.unique(key, return_inverse=True, return_counts=True)
         good = times >= least_count
         taken = good[which]
         at, which = at[taken], (np.cumsum(good) - 1)[which[taken]]
         if not len(at):
-            break
+            if exact:
+                break
+            exact = True
+            continue
+        exact = exact or len(at) < len(symbols) >> 10
         pairs = pairs[good]
         rules.append(np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
         keep = np.ones(len(symbols), bool)
@@ -92,12 +119,17 @@ def re_pair(symbols: np.ndarray, base: int, least_count: int = LEAST_COUNT) -> t
         beside = np.concatenate([at, at - 1])
         beside = beside[(beside >= 0) & (beside + 1 < len(symbols))]
         beside = beside[(symbols[beside] != end) & (symbols[beside + 1] != end)]
-        open_ = np.zeros(len(symbols), bool)
-        open_[places] = open_[beside] = True
-        places = np.flatnonzero(open_)
+        places = np.union1d(places, beside) if exact else np.flatnonzero(_marked(len(symbols), places, beside))
     return np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), symbols
 
 
+def _marked(size: int, *places: np.ndarray) -> np.ndarray:
+    out = np.zeros(size, bool)
+    for p in places:
+        out[p] = True
+    return out
+
+
 def expand_some(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     """The ids of some symbols, by the rules they lead to alone."""
     out = symbols

@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +81,34 @@ def test_re_pair_leaves_no_pair_worth_a_rule_standing_alone():
         assert total == len(symbols) and (part == full[begin:end]).all()
 
 
+def pairs_left(symbols, end):
+    """The number of places that don't overlap of each pair, by a plain walk."""
+    count, last = Counter(), {}
+    for i, pair in enumerate(zip(symbols.tolist(), symbols.tolist()[1:])):
+        if end not in pair and last.get(pair) != i - 1:
+            count[pair] += 1
+            last[pair] = i
+        elif last.get(pair) == i - 1:
+            last[pair] = -2  # the next place of a run is free again
+    return count
+
+
+def test_re_pair_goes_on_to_the_last_pair():
+    rng = np.random.default_rng(4)
+    run, two = np.full(20_000, 7, np.uint32), np.tile(np.array([3, 4], np.uint32), 1000)
+    mixed = np.concatenate([np.full(int(n), int(k), np.uint32) for n, k in zip(rng.integers(1, 30, 400), rng.integers(0, 3, 400))])
+    zipf = np.minimum(rng.zipf(1.3, 60_000), 900).astype(np.uint32)
+    ends = zipf.copy()
+    ends[rng.random(len(ends)) < 0.01] = 999
+    for symbols in (run, two, mixed, zipf, ends):
+        rules, packed = token_files.re_pair(symbols, 1000)
+        assert max(pairs_left(packed, 999).values(), default=0) < token_files.LEAST_COUNT
+        want = np.where(symbols == 999, np.uint32(token_files.END_ID), symbols)
+        assert (token_files.Grammar(rules, 1000).expand(packed) == want).all()
+    assert len(token_files.re_pair(run, 1000)[0]) <= 15 and len(token_files.re_pair(run, 1000)[1]) < 12
+    assert len(token_files.re_pair(two, 1000)[1]) < 12
+
+
 def test_token_files_random_access(spark, odd_docs, tmp_path, monkeypatch):
     """Some documents, and ranges of them, are read without a look at the symbols of any other, and without the other shards."""
     monkeypatch.setattr(token_files, "SHARD_IDS", 2000)
