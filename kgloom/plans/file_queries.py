@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kgloom.operators import graph
 from kgloom.plans.graph_queries import _TRIPLES, EDGES, _triples, graph_edges
 from kgloom.plans.prediction_queries import _PREDS, curve_preds
-from kgloom.sources import readers, sinks
+from kgloom.sources import matrix, readers, sinks
 from kgloom.storage import new_path, table
 
 
@@ -152,11 +152,20 @@ def signature_cells(spark, d):
     return readers.signature_cells(cells, some, table(spark, d, "part").where("p_size < 10").select(F.col("p_partkey").alias("gene_id"))).groupBy("sig_id").agg(F.count("*").alias("n"))
 
 
+def matrix_part(spark, d):
+    """Largest quantities of suppliers and parts as a matrix in blocks: the cells of rich suppliers and small parts."""
+    path, lines = new_path(spark, "matrix"), table(spark, d, "lineitem")
+    matrix.write_matrix(lines, path, "l_suppkey", "l_partkey", "l_quantity")
+    rows, columns = table(spark, d, "supplier").where("s_acctbal > 5000").select("s_suppkey"), table(spark, d, "part").where("p_size < 10").select("p_partkey")
+    out = matrix.read_matrix(spark, path, rows, columns)
+    return out.select(F.col("row").cast("long").alias("supplier"), F.col("column").cast("long").alias("part"), F.col("value").cast("double").alias("quantity"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         relation_files, edge_store, headered_csv, commented_csv, tsv_files, name_list, fasta_files, dense_matrix_file, log_files, fold_predictions, metric_files, json_metrics, official_split, fold_store,
-        value_folders, flat_csv, slice_percent, first_hit, signature_cells,
+        value_folders, flat_csv, slice_percent, first_hit, signature_cells, matrix_part,
     )
 }
 
@@ -179,5 +188,6 @@ ORACLE_SQL = {
     "flat_csv": "SELECT s_nationkey, '[' || string_agg(CAST(s_suppkey AS VARCHAR), ',' ORDER BY s_suppkey) || ']' AS suppliers FROM supplier GROUP BY s_nationkey",
     "slice_percent": "SELECT o_orderkey, o_custkey FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, count(*) OVER () AS n FROM orders) WHERE pos >= floor(n * 0.1) AND pos < floor(n * 0.3)",
     "first_hit": "SELECT c_custkey AS name, min(o_orderkey) AS o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey",
+    "matrix_part": "SELECT l_suppkey AS supplier, l_partkey AS part, CAST(max(l_quantity) AS DOUBLE) AS quantity FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000) AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 10) GROUP BY ALL",
     "signature_cells": "SELECT l_suppkey AS sig_id, count(*) AS n FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 10) GROUP BY l_suppkey",
 }

@@ -102,10 +102,25 @@ def mean_messages(spark, d):
     return diffusion.step(state, edges, "mean").select("node", F.round("value", 6).alias("value"))
 
 
+LINES = ("1-URGENT", "2-HIGH")
+
+
+def step_perturbations(spark, d):
+    """Orders as signatures of customers in two cell lines, lines of orders as their values: edges of strong ones, both ways."""
+    signatures = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("sig_id"), F.col("o_custkey").alias("pert_id"), F.col("o_orderpriority").alias("cell_iname"), F.when(F.col("o_orderkey") % 2 == 0, 10.0).otherwise(5.0).alias("pert_dose"),
+        F.when(F.col("o_orderkey") % 5 < 4, 24.0).alias("pert_time"), (F.col("o_orderstatus") != "P").cast("int").alias("is_exemplar_sig"),
+    )
+    compounds = table(spark, d, "customer").select(F.col("c_custkey").alias("pert_id"), F.when(F.col("c_nationkey") != 3, F.col("c_name")).alias("inchi_key"))
+    genes = table(spark, d, "part").select(F.col("p_partkey").alias("gene_id"), F.concat(F.lit("G"), F.col("p_partkey").cast("string")).alias("gene_symbol"))
+    cells = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("sig_id"), F.col("l_partkey").cast("string").alias("gene_id"), (F.col("l_quantity") - 30).alias("value"))
+    return workflow.perturbation_relations(signatures, compounds, genes, cells, LINES)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        step_target, step_association, step_interactions, step_strong_binding, step_assemble, step_aggregate, step_novel, step_evaluate, drop_prefix, binarized, leave_one_out, bilinear_messages, mean_messages,
+        step_target, step_association, step_interactions, step_strong_binding, step_assemble, step_aggregate, step_novel, step_evaluate, drop_prefix, binarized, leave_one_out, bilinear_messages, mean_messages, step_perturbations,
     )
 }
 
@@ -115,7 +130,13 @@ _INTER = """
     e AS (SELECT s, t, 'stimulates' AS r FROM l WHERE stim UNION ALL SELECT s, t, 'inhibits' FROM l WHERE inhib UNION ALL SELECT s, t, 'interacts' FROM l WHERE NOT stim AND NOT inhib)
 """
 
+_PERTURBED = f"""
+    WITH s AS (SELECT o_custkey AS p, o_orderpriority AS c, min(o_orderkey) AS sig FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 5 < 4 AND o_orderstatus <> 'P' AND o_orderpriority IN {LINES} GROUP BY ALL),
+    e AS (SELECT DISTINCT c_name AS d, 'G' || p_partkey AS g, c FROM s JOIN lineitem ON l_orderkey = sig JOIN customer ON c_custkey = p JOIN part ON p_partkey = l_partkey WHERE c_nationkey <> 3 AND l_quantity - 30 < -8)"""
+
 ORACLE_SQL = {
+    "step_perturbations": f"""{_PERTURBED} SELECT d AS src, g AS dst, 'drug' AS src_type, 'gene' AS dst_type, c || '_lincs_perturbation_fwd' AS relation FROM e
+        UNION ALL SELECT g, d, 'gene', 'drug', c || '_lincs_perturbation_rev' FROM e""",
     "step_target": "SELECT DISTINCT 'D' || l_suppkey AS inchikey, 'G' || l_partkey AS gene_symbol FROM lineitem WHERE l_linenumber % 2 = 0 AND l_quantity <= 20 AND l_returnflag IN ('A', 'R')",
     "step_association": f"SELECT o AS src, c AS dst, 'gene' AS src_type, 'disease' AS dst_type, 'associates_fwd' AS relation FROM ({_BOTH}) UNION ALL SELECT c, o, 'disease', 'gene', 'associates_rev' FROM ({_BOTH})",
     "step_interactions": f"{_INTER} SELECT r || '_fwd' AS relation, count(*) AS n, count(DISTINCT s) AS n_src FROM e GROUP BY r UNION ALL SELECT r || '_rev', count(*), count(DISTINCT t) FROM e GROUP BY r",
