@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgloom.functions.vectors import doubles, mean_pool, residues, sigmoid
-from kgloom.operators import affinity, embed, kge, similarity
+from kgloom.operators import affinity, affinity_net, embed, encode, kge, similarity
 from kgloom.schema import product
 from kgloom.sources.readers import combine_pages, fasta_columns
 from kgloom.storage import table
@@ -94,6 +94,18 @@ def hashed_embedding(spark, d):
     return cells.where("x <> 0").select("item_id", F.col("k").cast("long").alias("k"), F.round("x", 5).alias("x"))
 
 
+def encoded_texts(spark, d):
+    """Every whole text in chunks of 512 tokens that share 64, encoded in batches of like length and pooled."""
+    out, _ = encode.encode(table(spark, d, "documents"), "doc_id", "text", encode.wave_encoder(4), 4)
+    return out.select(F.col("id").alias("doc_id"), F.posexplode("embedding").alias("k", "x")).select("doc_id", F.col("k").cast("long").alias("k"), F.round("x", 8).alias("x"))
+
+
+def padding_share(spark, d):
+    """One row: what padding takes of the batches of all texts, by length and in the order that they come."""
+    whole = lambda by: encode.encode(table(spark, d, "documents"), "doc_id", "text", encode.wave_encoder(4), 4, by_length=by)[1]
+    return whole(True).select("chunks", "used", F.round("padding", 4).alias("padding")).crossJoin(whole(False).select(F.round("padding", 4).alias("padding_unsorted")))
+
+
 def _affinity_rows(spark, d):
     v = _vectors(spark, d)
     pairs = v.select(F.col("id").alias("drug"), ((F.col("id") * 7 + 3) % 500).alias("protein"), F.col("label").cast("double").alias("affinity"))
@@ -113,6 +125,13 @@ def affinity_regress(spark, d):
     return affinity.evaluate(model, rows.where("drug % 10 = 9"))
 
 
+def affinity_uncertainty(spark, d):
+    """drug, protein, mean, lcb, ucb: predictions of held-out pairs by networks of eight replicas."""
+    rows = _affinity_rows(spark, d).withColumn("features", vector_to_array("features"))
+    net = affinity_net.fit(rows.where("drug % 10 < 9"), ("drug", "protein"), rounds=3)
+    return affinity_net.predict(net, rows.where("drug % 10 = 9"), ("drug", "protein"))
+
+
 def mean_pooling(spark, d):
     """Masked mean of the four sixteen-number pieces of each vector, the first always and others where the id says so."""
     v = _vectors(spark, d).select("id", doubles("embedding").alias("e"))
@@ -172,7 +191,7 @@ _PHI = f"""
 QUERIES = {
     f.__name__: f
     for f in (
-        cosine_knn, cosine_pairs_quantile, pair_mse, gram_matrix, trilinear_score, partition_function, log_prob, hashed_embedding, affinity_regress, affinity_features, mean_pooling, sigmoid_scores,
+        cosine_knn, cosine_pairs_quantile, pair_mse, gram_matrix, trilinear_score, partition_function, log_prob, hashed_embedding, encoded_texts, padding_share, affinity_uncertainty, affinity_regress, affinity_features, mean_pooling, sigmoid_scores,
         fasta_like_parse, matrix_to_coo, log_regex_collect, residue_normalise, paged_lookup, trilinear_score_all, log_prob_all,
     )
 }
@@ -180,6 +199,12 @@ QUERIES = {
 QUERIES |= {f"{k}_all": QUERIES[k] for k in ("cosine_pairs_quantile", "partition_function")}
 
 ORACLE_SQL = {
+    "encoded_texts": """
+        WITH t AS (SELECT doc_id, CASE WHEN trim(coalesce(text, '')) = '' THEN 'X' ELSE trim(text) END AS t FROM documents),
+        c AS (SELECT doc_id, unnest([substr(t, b + 1, 512) FOR b IN range(0, greatest(1, length(t) - 64), 448)]) AS s, unnest(range(0, greatest(1, length(t) - 64), 448)) AS b FROM t),
+        u AS (SELECT doc_id, b, unnest(string_split(s, '')) AS s FROM c),
+        m AS (SELECT doc_id, b, k, avg(sin(unicode(s) * ((k + 1) / 7.0::DOUBLE))) AS x, count(*) - max(CASE WHEN b > 0 THEN 64 ELSE 0 END) AS w FROM u, (SELECT unnest(range(4)) AS k) GROUP BY doc_id, b, k)
+        SELECT doc_id, k, round(sum(x * w) / sum(w), 8) AS x FROM m GROUP BY doc_id, k""",
     "cosine_knn": f"WITH v AS ({_E}), c AS (SELECT a.id AS i, b.id AS j, {_COS} AS cos FROM v a JOIN v b ON a.id <> b.id) SELECT i, j, round(cos, 6) AS cos, row_number() OVER (PARTITION BY i ORDER BY round(cos, 12) DESC, j) AS rank FROM c QUALIFY rank <= 3",
     "cosine_pairs_quantile": f"WITH v AS ({_E}), c AS (SELECT a.id AS i, b.id AS j, {_COS} AS cos FROM v a JOIN v b ON a.id < b.id) SELECT i, j, round(cos, 8) AS cos FROM c WHERE cos > (SELECT quantile_cont(cos, 0.99) FROM c)",
     "pair_mse": f"WITH v AS ({_E}) SELECT a.id AS i, b.id AS j, round({_COS}, 8) AS cos_sim, round(list_sum(list_transform(range(1, 65), lambda k: (a.e[k] - b.e[k]) ** 2)) / 64, 8) AS mse FROM v a JOIN v b ON b.id = a.id + 1",
