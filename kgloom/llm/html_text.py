@@ -3,26 +3,22 @@
 The pages of a host are merged into one style tree. Its element nodes are branches: an element that holds text, told
 apart by the labels (tag, id, classes) on its path. Elements that only shape a piece of text (paragraphs, headings,
 list items, cells) belong to the element around them, so a branch is a menu, a footer, an advert or an article, not
-a heading in it. Importances are by entropy over the host's distinct pages. What stands alike on n pages is spread
-evenly over them, with entropy H = ln n, and has importance exp(-H): 1 for text of one page, nearly 0 for template
-text, whatever the number of other pages. A branch has two importances:
-
-* content: the mean of that over all appearances of texts in it, a page counting a text once. Text of an article is different on
-  each page: nearly 1. Menus, notices and footers draw on few texts, however many pages there are: nearly 0. A line
-  that all articles have takes no more from an article than its share of the lines, on a large host as on a small one.
-* presentation: the same mean for the layouts (sequences of the paths of its texts) that the branch has on the pages.
-
-A branch is low if LAYOUT * presentation + (1 - LAYOUT) * content lies under a share of the best branch of its host,
-and low branches are removed from each page. The share is set by what elements say of themselves: LIMITS. A text
-outside of articles that stands at the same place on nearly all pages of the host (less than LEAST_BITS of information)
-is removed by itself: its entropy is that of nearly all pages.
-
-Besides, what elements say removes what the tree has left in two plain cases. Elements such as nav, footer and form, roles of
-that kind, hidden elements, and elements one of whose classes, or whose id, as a whole is a word such as `ad` or `comments`, are
-noise on any page: on a host of few pages no tree can tell, and readers' comments differ from page to page as articles do.
-And a page with an article or main element has its text there. A name with such a word as a part (`post-footer-note`)
-only raises the share.
-With hints=False nothing of this is used: all elements are judged alike, by the tree.
+a heading in it. An element goes if all branches in it go. Importances are entropies over the m distinct pages that a branch is on:
+
+* presentation: with p the shares that its layouts (sequences of the paths of its texts) have of the pages, the entropy
+  -sum p log_m p. Articles are laid out in many ways: up to 1. A menu or a footer in one: 0.
+* content: a text on n of the pages is spread over them with entropy log_m n; content is one less the mean of that over all texts of
+  the branch, each as often as it appears, a page counting a text once. Text of an article is on one page: 1. What all pages share: 0.
+
+A branch's importance is the mean of both. It is low if that lies under a share of the best branch of its host, and low branches are removed
+from each page. The share is set by what elements say of themselves: LIMITS. A text outside of articles that stands at
+the same place on nearly all pages of the host (less than LEAST_BITS of information) is removed by itself.
+
+What elements say is a prior: the share under which a branch goes. It decides alone in two cases. Elements whose tag or role is that of a menu,
+footer, header outside of articles, side bar, dialog or control, hidden ones, and those named as readers' comments (which differ from page to page as
+articles do) are noise on any page. And on a host of fewer than SEEN distinct pages, which has no tree, texts of the kind that says most for itself are
+kept if they are at least half of the page's text: those in articles, else those without a suspicious name or form around them.
+With hints=False nothing of this is used but what is never shown (scripts and the like): all elements are judged alike, by the tree.
 
 Two passes over the pages: the first one gives hashes of branches, layouts and texts, which are counted; the second one
 meets the low branches of its host, as a broadcast list if it is small, else by a join that adaptive execution can split.
@@ -31,7 +27,7 @@ no longer than the branches of a few pages.
 
 Defined results: null or empty html, and a page without content, have empty text; a null url is a
 host of its own name (empty); copies of a page count once in the tree; hosts of fewer than SEEN distinct pages
-lose nothing by it; repeated pages each give their row; broken markup ends at the end of the page; digits in labels
+have none; repeated pages each give their row; broken markup ends at the end of the page; digits in labels
 count as one, so numbered ids are one branch; other columns of the input, whatever their names, don't matter; an empty table
 gives an empty result.
 """
@@ -49,11 +45,11 @@ from pyspark.sql import functions as F
 
 from kgloom.llm.common import drop_table, materialize, split_join
 
-#: What is said of an element: noise, a noise word as part of a name, nothing, such a name within an article, an article; and the share of its host's best importance under which it goes.
+#: What is said of an element: noise, a suspicious name or a form, nothing, such a name within an article, an article; and the share of its host's best importance under which it goes.
 NOISE, SUSPECT, PLAIN, DOUBTED, ARTICLE = 0, 1, 2, 3, 4
-LIMITS = {NOISE: 0.8, SUSPECT: 0.8, PLAIN: 0.5, DOUBTED: 0.8, ARTICLE: 0.2}
+LIMITS = {NOISE: 0.9, SUSPECT: 0.9, PLAIN: 0.8, DOUBTED: 0.4, ARTICLE: 0.2}
 #: Share of presentation in the importance of a branch.
-LAYOUT = 0.1
+LAYOUT = 0.5
 #: A text is removed by itself if its place on a page says less than this: on over 87 % of the pages.
 LEAST_BITS = 0.2
 #: Distinct pages that a host must have to be judged, and the share of them that a branch must be on.
@@ -72,12 +68,14 @@ SCOPE = frozenset("ul ol dl table tbody thead tfoot div section article main bod
 #: Elements that shape texts and belong to the branch around them, where nothing is said against it.
 SHAPES = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 hgroup pre blockquote center ul ol li dl dt dd dir table caption thead tbody tfoot tr td th figure figcaption details summary address".split())
 DROPPED = frozenset("head title script style noscript template iframe object svg canvas math audio video map".split())
-NOISE_TAGS = frozenset("nav footer aside form button select textarea fieldset dialog menu".split())
-NOISE_WORDS = frozenset(
+NOISE_TAGS = frozenset("nav footer aside button select textarea dialog menu".split())
+NOISE_ROLES = frozenset("navigation banner contentinfo complementary dialog alert menu menubar".split())
+#: Names of readers' comments, and names that only make an element suspicious.
+COMMENT_WORDS = frozenset("comment comments disqus reply replies respond feedback".split())
+SUSPECT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription share sharing social "
-    "comment comments disqus reply replies respond sidebar widget widgets related recommended recommendations menu menus nav navbar navigation breadcrumb breadcrumbs header footer masthead toolbar pagination pager login signup signin search copyright legal disclaimer skip".split()
+    "sidebar widget widgets related recommended recommendations menu menus nav navbar navigation breadcrumb breadcrumbs header footer masthead toolbar pagination pager login signup signin search copyright legal disclaimer skip".split()
 )
-NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _WORD = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _DIGITS = re.compile(r"[0-9]+")
@@ -93,14 +91,12 @@ def said(tag: str, given: dict[str, str | None], around: int) -> int:
     names = f"{given.get('class') or ''} {given.get('id') or ''}".lower().split()
     if tag in ("html", "body"):
         return PLAIN
-    inside = around >= DOUBTED
-    if tag in NOISE_TAGS or role in NOISE_ROLES or tag == "header" and not inside:
-        return NOISE
-    if any(n in NOISE_WORDS and not (n == "header" and inside) for n in names):
+    words = [_WORD.findall(n) for n in names]
+    if tag in NOISE_TAGS or role in NOISE_ROLES or tag == "header" and around < DOUBTED or any(w and (w[0] in COMMENT_WORDS or w[-1] in COMMENT_WORDS) for w in words):
         return NOISE
     if tag in ("article", "main") or role in ("main", "article"):
         return ARTICLE
-    if any(w in NOISE_WORDS for n in names for w in _WORD.findall(n)):
+    if tag in ("form", "fieldset") or role in ("form", "search") or any(x in SUSPECT_WORDS for w in words for x in w):
         return SUSPECT
     return PLAIN
 
@@ -128,7 +124,7 @@ class PageParser(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.hints = hints
         #: tag, path, branch, said; said is -1 for what is dropped
-        self.open: list[tuple[str, int, int, int]] = [("", 0, 0, PLAIN if hints else SUSPECT)]
+        self.open: list[tuple[str, int, int, int]] = [("", 0, 0, PLAIN)]
         self.count: dict[str, int] = {}
         self.blocks: list[tuple[int, int, int, str]] = []
         self.parts: list[str] = []
@@ -261,28 +257,29 @@ def nodes(rows: DataFrame, hints: bool = True) -> DataFrame:
     return found.where(F.size("branches") > 0).dropDuplicates(["site", "host", "page"])
 
 
-def _importance(counts: DataFrame, n: str) -> DataFrame:
-    """site, host, branch, value: the mean of exp(-H), H = ln(n) the entropy of a kind over the n pages it is on, over all appearances of kinds in a branch."""
-    n = F.col(n)
-    return counts.groupBy("site", "host", "branch").agg((F.sum(n * F.exp(-F.log(n))) / F.sum(n)).alias("value"))
-
-
 def style_tree(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The branches of all hosts (site, host, branch, said, pages, importance), and their content nodes (site, host, branch, key, said, n)."""
+    """The branches of all hosts (site, host, branch, said, pages, importance), and their content nodes (site, host, branch, key, said, n).
+
+    presentation: with p the shares that a branch's layouts have of its m pages, the entropy -sum p log_m p.
+    content: a text that is on n of the m pages is spread over them with entropy log_m n; one less the mean of that over the branch's texts, each
+    as often as it appears. Both are 1 on a single page.
+    """
+    keys = ["site", "host", "branch"]
     each = seen.select("site", "host", F.explode("branches").alias("b")).select("site", "host", "b.*")
-    layouts = each.groupBy("site", "host", "branch", "layout").agg(F.max("said").alias("said"), F.count("*").alias("n"))
-    texts = each.select("site", "host", "branch", "said", F.explode("texts").alias("key")).groupBy("site", "host", "branch", "key").agg(F.max("said").alias("said"), F.count("*").alias("n"))
+    layouts = each.groupBy(*keys, "layout").agg(F.max("said").alias("said"), F.count("*").alias("n"))
+    texts = each.select(*keys, "said", F.explode("texts").alias("key")).groupBy(*keys, "key").agg(F.max("said").alias("said"), F.count("*").alias("n"))
     texts = materialize(texts, "content-nodes")
-    shape = _importance(layouts, "n").select("site", "host", "branch", F.col("value").alias("presentation"))
-    content = _importance(texts, "n").select("site", "host", "branch", F.col("value").alias("content"))
-    pages = layouts.groupBy("site", "host", "branch").agg(F.max("said").alias("said"), F.sum("n").alias("pages"))
-    keys = ["site", "host", "branch"]
-    tree = pages.join(shape, keys).join(content, keys)
+    n, m = F.col("n"), F.col("pages")
+    # sum p ln p = (sum n ln n) / m - ln m
+    shape = layouts.groupBy(*keys).agg(F.max("said").alias("said"), F.sum(n).alias("pages"), F.sum(n * F.log(n)).alias("repeats"))
+    shape = shape.withColumn("presentation", F.when(m > 1, 1 - F.col("repeats") / (m * F.log(m))).otherwise(1.0))
+    content = texts.groupBy(*keys).agg((F.sum(n * F.log(n)) / F.sum(n)).alias("spread"))
+    tree = shape.join(content, keys).withColumn("content", F.when(m > 1, 1 - F.col("spread") / F.log(m)).otherwise(1.0))
     return tree.select(*keys, "said", "pages", (LAYOUT * F.col("presentation") + (1 - LAYOUT) * F.col("content")).alias("importance")), texts
 
 
 def low_nodes(seen: DataFrame) -> DataFrame:
-    """site, host, low: the hashes of the low branches and of the low content nodes of each host that has any; a written table."""
+    """site, host, low: the hashes of the low branches and of the low content nodes of each host that has a tree; a written table."""
     tree, texts = style_tree(seen)
     tree = materialize(tree, "style-tree")
     hosts = seen.groupBy("site", "host").agg(F.count("*").alias("of")).where(F.col("of") >= SEEN)
@@ -294,27 +291,37 @@ def low_nodes(seen: DataFrame) -> DataFrame:
     branches = judged.where(low).select("site", "host", F.col("branch").alias("node"))
     outside = split_join(texts.where((F.col("n") >= SEEN) & (F.col("said") < ARTICLE)), hosts, ["site", "host"])
     leaves = outside.where(-F.log2(F.col("n") / F.col("of")) < LEAST_BITS).select("site", "host", F.col("key").alias("node"))
-    found = materialize(branches.union(leaves).groupBy("site", "host").agg(F.collect_set("node").alias("low")), "low-nodes")
+    gone = branches.union(leaves).groupBy("site", "host").agg(F.collect_set("node").alias("low"))
+    judged = hosts.select(F.col("site").alias("_site"), F.col("host").alias("_host"))
+    found = judged.join(gone, (F.col("_site") == gone["site"]) & (F.col("_host") == gone["host"]), "left")
+    found = materialize(found.select(F.col("_site").alias("site"), F.col("_host").alias("host"), F.coalesce("low", F.array().cast("array<long>")).alias("low")), "low-nodes")
     for written in (texts, tree):
         drop_table(written)
     return found
 
 
 def with_low(rows: DataFrame, low: DataFrame) -> DataFrame:
-    """The pages with the list of low nodes of their host, null if it has none."""
+    """The pages with the list of low nodes of their host, null if it has no tree."""
     size = low.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("low")), F.lit(0)).alias("entries")).first()
     if size.rows <= SEND_ROWS and size.entries <= SEND_ENTRIES:
         return rows.join(F.broadcast(low), ["site", "host"], "left")
     return split_join(rows, low, ["site", "host"], "left")
 
 
-def kept_blocks(html: str | None, low: set[int], hints: bool = True) -> tuple[list[str], int, int]:
-    """The texts that stay of a page, how many the tree has removed, and how many of the rest what elements say."""
-    blocks = blocks_of(html, hints)
-    high = [b for b in blocks if _signed(b[0]) not in low and not (b[2] < ARTICLE and _signed(_mix(b[1], b[3])) in low)]
-    least = DOUBTED if any(b[2] >= DOUBTED for b in blocks) else NOISE + 1
-    kept = [b[3] for b in high if b[2] >= least]
-    return kept, len(blocks) - len(high), len(high) - len(kept)
+def kept_blocks(html: str | None, low: set[int] | None, hints: bool = True) -> tuple[list[str], int, int]:
+    """The texts that stay of a page, how many of those that aren't noise the tree has removed, and how many of the rest what elements say.
+
+    low is None on a host without a tree: then the kind of text that says most for itself stays, if it is half of the page's.
+    """
+    shown = [b for b in blocks_of(html, hints) if b[2] > NOISE]
+    if low is not None:
+        high = [b[3] for b in shown if _signed(b[0]) not in low and not (b[2] < ARTICLE and _signed(_mix(b[1], b[3])) in low)]
+        return high, len(shown) - len(high), 0
+    for least in (DOUBTED, PLAIN):
+        best = [b[3] for b in shown if b[2] >= least]
+        if best and hints and 2 * sum(map(len, best)) >= sum(len(b[3]) for b in shown):
+            return best, 0, len(shown) - len(best)
+    return [b[3] for b in shown], 0, 0
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", hints: bool = True) -> DataFrame:
@@ -328,7 +335,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kept = [kept_blocks(h.as_py(), set(low.as_py() or ()), hints) for h, low in zip(b.column(2), b.column(3))]
+            kept = [kept_blocks(h.as_py(), set(low.as_py()) if low.is_valid else None, hints) for h, low in zip(b.column(2), b.column(3))]
             text = ["\n".join(x) for x, _, _ in kept]
             counts = [[len(t) for t in text], [n for _, n, _ in kept], [n for _, _, n in kept]]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), *(pa.array(c, pa.int64()) for c in counts)], ["page_id", "url", "text", "n_chars", "n_low", "n_said"])
