@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kgloom.schema import small
+
+#: Up to so many rows of three numbers a list is sent to all tasks.
+SEND_ROWS = 200_000
 #: The ASCII white space [\x20\x09-\x0D] that the text contracts name.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
@@ -89,8 +93,12 @@ def with_marks(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
 
 
 def without_rows(rows: DataFrame, marks: list[str], gone: DataFrame, id_col: str) -> DataFrame:
-    """The rows of with_marks() that are not in gone(id, x, y); the columns as they were before it."""
-    gone = gone.select(F.col("id").alias("_gone"), F.col("x").alias("_gone_x"), F.col("y").alias("_gone_y")).distinct()
+    """The rows of with_marks() that are not in gone(id, x, y); the columns as they were before it.
+
+    The list is written and, up to SEND_ROWS, sent to all tasks, so that whole texts aren't shuffled to meet it; a longer one is joined by key.
+    """
+    gone = materialize(gone.select(F.col("id").alias("_gone"), F.col("x").alias("_gone_x"), F.col("y").alias("_gone_y")).distinct(), "gone")
+    gone = F.broadcast(gone) if small(gone, SEND_ROWS) else gone.hint("merge")
     same = rows[id_col].eqNullSafe(gone["_gone"]) & (rows[marks[0]] == gone["_gone_x"]) & (rows[marks[1]] == gone["_gone_y"])
     return rows.join(gone, same, "left_anti").drop(*marks)
 

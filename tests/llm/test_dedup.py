@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 import xxhash
 
-from kgloom.llm import components, exact_dedup, line_dedup, simhash
+from kgloom.llm import common, components, exact_dedup, line_dedup, simhash
 
 
 def brute_exact(rows):
@@ -178,3 +178,9 @@ def test_line_marks_apply_to_their_own_row(spark):
     assert ("2", "end") in got and ("2", "other\nlines\nstand\nhere") in got
     assert sorted(t.count("p\nq\nr") for i, t in got if i == "3") == [0, 1]
     assert sorted(t for i, t in got if i == "None") == ["", "k\nl\nm"]
+
+
+def test_long_lists_of_rows_are_joined(odd_docs, monkeypatch):
+    sent = sorted(map(str, exact_dedup.keep_first_copies(odd_docs).collect())), sorted(map(str, simhash.keep_one_each(odd_docs).collect()))
+    monkeypatch.setattr(common, "SEND_ROWS", 0)
+    assert (sorted(map(str, exact_dedup.keep_first_copies(odd_docs).collect())), sorted(map(str, simhash.keep_one_each(odd_docs).collect()))) == sent
