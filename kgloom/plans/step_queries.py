@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kgloom.operators import diffusion, graph, relations
 from kgloom.plans import workflow
 from kgloom.plans.graph_queries import TARGET, target
+from kgloom.plans.link_queries import _drawn_sql, _typed_pairs
 from kgloom.plans.prediction_queries import _CURVE, _BETWEEN, CURVE_N, curve_preds
 from kgloom.storage import table
 
@@ -117,10 +118,17 @@ def step_perturbations(spark, d):
     return workflow.perturbation_relations(signatures, compounds, genes, cells, LINES)
 
 
+def step_negatives(spark, d):
+    """Nations of suppliers and sizes of parts: pairs and four negatives of each, scored by a sum of their numbers."""
+    pairs = _typed_pairs(spark, d).where("relation = 0").select("head", "tail")
+    out = workflow.predict_with_negatives(pairs, pairs, lambda rows: rows.withColumn("score", (F.col("head") * 2 + F.col("tail")).cast("double")), 4, 25, 50, "tail")
+    return out.select("head", "tail", "y", F.round("prob", 8).alias("prob"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        step_target, step_association, step_interactions, step_strong_binding, step_assemble, step_aggregate, step_novel, step_evaluate, drop_prefix, binarized, leave_one_out, bilinear_messages, mean_messages, step_perturbations,
+        step_target, step_association, step_interactions, step_strong_binding, step_assemble, step_aggregate, step_novel, step_evaluate, drop_prefix, binarized, leave_one_out, bilinear_messages, mean_messages, step_perturbations, step_negatives,
     )
 }
 
@@ -135,6 +143,13 @@ _PERTURBED = f"""
     e AS (SELECT DISTINCT c_name AS d, 'G' || p_partkey AS g, c FROM s JOIN lineitem ON l_orderkey = sig JOIN customer ON c_custkey = p JOIN part ON p_partkey = l_partkey WHERE c_nationkey <> 3 AND l_quantity - 30 < -8)"""
 
 ORACLE_SQL = {
+    "step_negatives": f"""
+        WITH p AS MATERIALIZED (SELECT DISTINCT CAST(0 AS BIGINT) AS relation, CAST(s_nationkey AS BIGINT) AS head, CAST(p_size - 1 AS BIGINT) AS tail
+                FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'A' AND l_quantity <= 7),
+            x AS (SELECT *, 50 - count(*) OVER (PARTITION BY relation, head) AS free_tail FROM p), w AS MATERIALIZED (SELECT *, least(4, free_tail) AS want_tail FROM x),
+            {_drawn_sql(0, 'head', 'tail', 50)},
+            a AS (SELECT head, tail, 1 AS y FROM p UNION ALL SELECT DISTINCT head, v, 0 FROM o0), s AS (SELECT *, (head * 2 + tail)::DOUBLE AS score FROM a)
+        SELECT head, tail, y, round((score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()), 8) AS prob FROM s""",
     "step_perturbations": f"""{_PERTURBED} SELECT d AS src, g AS dst, 'drug' AS src_type, 'gene' AS dst_type, c || '_lincs_perturbation_fwd' AS relation FROM e
         UNION ALL SELECT g, d, 'gene', 'drug', c || '_lincs_perturbation_rev' FROM e""",
     "step_target": "SELECT DISTINCT 'D' || l_suppkey AS inchikey, 'G' || l_partkey AS gene_symbol FROM lineitem WHERE l_linenumber % 2 = 0 AND l_quantity <= 20 AND l_returnflag IN ('A', 'R')",

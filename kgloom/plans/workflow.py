@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.operators import aggregate, embed, errorrate, graph, metrics, negatives, relations, similarity, simjoin
+from kgloom.operators import aggregate, embed, errorrate, exact_negatives, graph, metrics, relations, similarity, simjoin
 from kgloom.schema import first_known
 
 
@@ -96,8 +96,10 @@ def assemble(edges: DataFrame, target: tuple[str, str, str] = ("drug", "targets"
 
 
 def predict_with_negatives(positives: DataFrame, known: DataFrame, score: Callable[[DataFrame], DataFrame], n: int, n_heads: int, n_tails: int, which: str = "both") -> DataFrame:
-    """head, tail, score, y, prob: positives and n sampled negatives for each of them, scored; prob scaled over all."""
-    wrong = negatives.corrupted(positives, known, n, n_heads, n_tails, which).select(F.col("neg_head").alias("head"), F.col("neg_tail").alias("tail")).distinct()
+    """head, tail, score, y, prob: positives and n negatives for each of them (all there are, if there are fewer), scored; prob scaled over all."""
+    one = lambda d: d.select(F.lit(0).cast("long").alias("relation"), F.col("head").cast("long").alias("head"), F.col("tail").cast("long").alias("tail"))
+    sizes = positives.sparkSession.range(1).select(F.col("id").alias("relation"), F.lit(n_heads).cast("long").alias("n_heads"), F.lit(n_tails).cast("long").alias("n_tails"))
+    wrong = exact_negatives.corrupted_exactly(one(positives), one(known), sizes, n, which).select(F.col("neg_head").alias("head"), F.col("neg_tail").alias("tail")).distinct()
     rows = score(positives.select("head", "tail").withColumn("y", F.lit(1)).unionByName(wrong.withColumn("y", F.lit(0))))
     return aggregate.min_max(rows, "score")
 
