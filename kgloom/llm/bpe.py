@@ -230,7 +230,8 @@ class LibraryEncoder:
     def encode_words(self, words: list[str], at_once: int = 4096) -> list[bytes]:
         """Many words make one text; each word's ids end with a word-end token."""
         texts = [" ".join(words[i : i + at_once]) for i in range(0, len(words), at_once)]
-        ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(self.tool.encode(t, add_special_tokens=False).ids, np.uint32) for t in texts)])
+        # the batch call leaves out the offsets, which nobody asks for; one text a call, so no threads beside Spark's
+        ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(self.tool.encode_batch_fast([t], add_special_tokens=False)[0].ids, np.uint32) for t in texts)])
         ends = (np.flatnonzero(self.final[ids]) + 1).tolist()
         if len(ends) != len(words):
             raise ValueError("words and word ends differ")
@@ -248,13 +249,13 @@ class Words:
     a special token, goes by the encoder's own rules.
     """
 
-    def __init__(self, encoder: TrieEncoder | LibraryEncoder, keep: int = KNOWN_WORDS):
-        self.encoder, self.keep, self.known, self.older = encoder, keep, {}, {}
+    def __init__(self, encoder: TrieEncoder | LibraryEncoder, keep: int = KNOWN_WORDS, slice_bytes: int = SLICE_BYTES):
+        self.encoder, self.keep, self.slice_bytes, self.known, self.older = encoder, keep, slice_bytes, {}, {}
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The number of ids of each text and all ids, for one slice of the texts after the other."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
-        place = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64) // SLICE_BYTES
+        place = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64) // self.slice_bytes
         cuts = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(texts)]
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
@@ -317,7 +318,7 @@ def trie_words(path: str) -> Words:
 
 @cache
 def library_words(path: str) -> Words:
-    return Words(LibraryEncoder(path), 300_000)
+    return Words(LibraryEncoder(path), 300_000, 3 * SLICE_BYTES)
 
 
 @cache
