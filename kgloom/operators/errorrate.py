@@ -11,8 +11,8 @@ RATES = ("fnr", "fpr", "tnr", "tpr")
 
 
 def _attach(df: DataFrame, few: DataFrame, by: Sequence[str]) -> DataFrame:
-    """df with the columns of a table that has one row for each value of `by` (such as folds), or one row in all."""
-    return df.join(F.broadcast(few), list(by)) if by else df.crossJoin(F.broadcast(few))
+    """df with the columns of a table that has one row for each value of `by` (such as folds; Spark broadcasts it by its size), or one row in all."""
+    return df.join(few, list(by)) if by else df.crossJoin(F.broadcast(few))
 
 
 def thresholds(preds: DataFrame, n: int = 250, score: str = "score", by: Sequence[str] = ()) -> DataFrame:
@@ -43,7 +43,7 @@ def curve(preds: DataFrame, n: int = 250, score: str = "score", positive: str =
     same = F.lit(True)
     for k in by:
         same &= F.col(f"t.{k}") == F.col(f"c.{k}")
-    joined = t.join(F.broadcast(c), same, "left").groupBy(*[F.col(f"t.{k}").alias(k) for k in by], "t.i", "t.t", "t.lo", "t.hi")
+    joined = t.join(c if by else F.broadcast(c), same, "left").groupBy(*[F.col(f"t.{k}").alias(k) for k in by], "t.i", "t.t", "t.lo", "t.hi")
     hit = F.col("c.below") > F.col("t.i")
     total = lambda x, cond: F.coalesce(F.sum(F.when(cond, F.col(x))), F.lit(0)).cast("long")
     out = joined.agg(total("c.p", hit).alias("tp"), total("c.p", ~hit).alias("fn"), total("c.q", hit).alias("fp"), total("c.q", ~hit).alias("tn"))
@@ -63,7 +63,7 @@ def estimate(preds: DataFrame, rates: DataFrame, n: int = 250, score: str = "sco
     s = F.col(score).cast("double")
     place = F.when(F.col("__hi") > F.col("__lo"), F.floor((s - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * (n - 1))).otherwise(n - 1)
     rows = _attach(preds, ends, by).withColumn("__i", F.greatest(F.lit(0), F.least(F.lit(n - 1), place)).cast("int"))
-    rows = rows.join(F.broadcast(pieces), [*by, "__i"])
+    rows = rows.join(pieces if by else F.broadcast(pieces), [*by, "__i"])
     share = F.when(F.col("__t1") > F.col("__t"), (s - F.col("__t")) / (F.col("__t1") - F.col("__t"))).otherwise(0.0)
     value = lambda r: F.col(f"__{r}") + share * (F.coalesce(f"__{r}1", f"__{r}") - F.col(f"__{r}"))
     return rows.select(*preds.columns, *[F.greatest(F.lit(0.0), F.least(F.lit(1.0), value(r))).alias(f"{r}_est") for r in RATES])

@@ -22,7 +22,7 @@ def node_dictionary(edges: DataFrame) -> DataFrame:
     names = known.select(F.col("src_type").alias("node_type"), F.col("src").alias("name")).union(known.select("dst_type", "dst")).distinct()
     placed = position(names, "node_type", "name")
     first = placed.groupBy("node_type").agg(F.min("pos").alias("first"))
-    return placed.join(F.broadcast(first), "node_type").select("node_type", "name", (F.col("pos") - F.col("first")).alias("idx"))
+    return placed.join(first, "node_type").select("node_type", "name", (F.col("pos") - F.col("first")).alias("idx"))
 
 
 def relation_dictionary(edges: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def indexed_edges(edges: DataFrame, nodes: DataFrame, relations: DataFrame, keep
     known = edges.dropna(subset=["src", "dst"]).select("src", "dst", *_KEY)
     known = known if keep_duplicates else known.distinct()
     side = lambda s: nodes.select(F.col("node_type").alias(f"{s}_type"), F.col("name").alias(s), F.col("idx").alias(f"{s}_idx"))
-    return known.join(F.broadcast(relations), _KEY).join(side("src"), ["src_type", "src"]).join(side("dst"), ["dst_type", "dst"]).select("rel_id", "src_idx", "dst_idx")
+    return known.join(relations, _KEY).join(side("src"), ["src_type", "src"]).join(side("dst"), ["dst_type", "dst"]).select("rel_id", "src_idx", "dst_idx")
 
 
 def build(edges: DataFrame, keep_duplicates: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -79,7 +79,7 @@ def all_splits(folded: DataFrame, k: int, **how) -> DataFrame:
 
 def triples(indexed: DataFrame, relations: DataFrame, target: int, split: DataFrame) -> DataFrame:
     """All triples with their split: the target relation's by (src_idx, dst_idx), all others train."""
-    named = indexed.join(F.broadcast(relations), "rel_id")
+    named = indexed.join(relations, "rel_id")
     found = named.join(split.select("src_idx", "dst_idx", "split").withColumn("rel_id", F.lit(target).cast("long")), ["rel_id", "src_idx", "dst_idx"], "left")
     return found.select(
         F.coalesce("split", F.lit("train")).alias("split"), F.col("src_type").alias("head_type"), F.col("src_idx").alias("head"), F.col("rel_id").alias("relation"), F.col("dst_type").alias("tail_type"), F.col("dst_idx").alias("tail")

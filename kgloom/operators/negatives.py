@@ -45,7 +45,7 @@ def top_by_degrees(heads: DataFrame, tails: DataFrame, known: DataFrame, k: int)
     best = novel.orderBy(F.desc("score")).limit(k).withColumn("_before", F.sum("_n").over(Window.orderBy(F.desc("score"))) - F.col("_n"))
     least = best.where(F.col("_before") < k).agg(F.min("score").alias("_least"))
     high = classes.crossJoin(F.broadcast(least)).where(F.col("score") >= F.col("_least")).select("hd", "td", "score")
-    pairs = heads.join(F.broadcast(high.select("hd").distinct()), "hd", "left_semi").join(high, "hd").join(tails, "td")
+    pairs = heads.join(high.select("hd").distinct(), "hd", "left_semi").join(high, "hd").join(tails, "td")
     return top_novel(pairs.join(known.select("head", "tail").distinct(), ["head", "tail"], "left_anti"), k).select("head", "tail", "score")
 
 
