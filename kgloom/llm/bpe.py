@@ -29,6 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from kgloom.llm.common import fresh
@@ -333,17 +334,37 @@ def with_codes(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
         if c.lower() in ("ids", "decoded"):
             kept = fresh(f"_{c}", docs)
             docs, text_col = docs.withColumnRenamed(c, kept), kept if text_col == c else text_col
-    coded = docs.withColumn("ids", encode(F.col(text_col), path))
-    return coded.withColumn("decoded", decode(F.col("ids"), path))
+    at, schema = docs.columns.index(text_col), T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, names = trie_words(path), token_names(path)
+        for batch in batches:
+            done = 0
+            for n, x in words.encode(batch.column(at)):  # a slice at a time, so ids and texts of a whole batch are never held
+                ids = _lists(n, x)
+                yield pa.RecordBatch.from_arrays([*batch.slice(done, len(n)).columns, ids, joined(ids, names)], names=[*batch.schema.names, "ids", "decoded"])
+                done += len(n)
+
+    return docs.mapInArrow(each, schema)
+
+
+def _lists(lengths: np.ndarray, ids: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(ids.view(np.int32)))
+
+
+def joined(lists: pa.ListArray, names: pa.Array) -> pa.Array:
+    """The tokens of each list joined by a space; null stays null."""
+    n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    tokens = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), names.take(lists.flatten()))
+    return pc.if_else(pc.is_null(lists), pa.scalar(None, pa.string()), pc.binary_join(tokens, " "))
 
 
 def encode(text: Column, path: str) -> Column:
     """text -> array<int> of token ids. The file at `path` is read by each worker."""
 
     def ids(texts: pa.Array) -> pa.Array:
-        found = list(trie_words(path).encode(texts))
-        offsets = np.cumsum(np.concatenate([[0], *(n for n, _ in found)]), dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.uint32), *(x for _, x in found)]).view(np.int32)))
+        found = [_lists(n, x) for n, x in trie_words(path).encode(texts)]
+        return pa.concat_arrays(found) if found else pa.array([], pa.list_(pa.int32()))
 
     return F.arrow_udf(ids, "array<int>")(text)
 
@@ -352,13 +373,7 @@ def decode(ids: Column, path: str) -> Column:
     """array<int> -> text: the tokens joined by a space, as the tokenizer file without decoder says; null stays null."""
 
     def texts(lists: pa.Array) -> pa.Array:
-        out = []
-        for a in range(0, len(lists), 1000):
-            some = lists.slice(a, 1000)
-            names = token_names(path).take(some.flatten())
-            n = pc.fill_null(pc.list_value_length(some), 0).to_numpy(zero_copy_only=False)
-            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), names), " ")
-            out.append(pc.if_else(pc.is_null(some), pa.scalar(None, pa.string()), joined))
+        out = [joined(lists.slice(a, 1000), token_names(path)) for a in range(0, len(lists), 1000)]
         return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
     return F.arrow_udf(texts, "string")(ids)

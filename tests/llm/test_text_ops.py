@@ -81,6 +81,11 @@ def test_re_pair_leaves_no_pair_worth_a_rule_standing_alone():
         assert total == len(symbols) and (part == full[begin:end]).all()
 
 
+def test_columns_alone_equal_both_at_once(odd_docs):
+    rows = bpe.with_codes(odd_docs, TOKENIZER).select("text", "ids", "decoded", bpe.encode(F.col("text"), TOKENIZER).alias("a"), bpe.decode(F.col("ids"), TOKENIZER).alias("b")).collect()
+    assert rows and all(r.ids == r.a and r.decoded == r.b for r in rows)
+
+
 def pairs_left(symbols, end):
     """The number of places that don't overlap of each pair, by a plain walk."""
     count, last = Counter(), {}
