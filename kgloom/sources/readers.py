@@ -57,18 +57,24 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*fasta_columns(F.col("value")))
 
 
-def dense_matrix(spark: SparkSession, path: str, row_names: str | None = None, column_names: str | None = None) -> DataFrame:
-    """row, col, value of the cells that aren't zero in a white-space separated matrix, with names where given.
+def numbered_lines(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The lines of a file, or of a folder's files in order of their paths, with their numbers, from 0; read in as many splits as any text file.
 
-    The file's lines are kept in order by their position in the file, so it is read as one split.
+    Spark says where a line's split begins, and lines of a split come in order, so a number is the lines of earlier splits plus the place in its own.
     """
-    numbered = lambda p, name: spark.read.text(p, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), "\n")).alias(name, "line"))
-    cells = numbered(path, "row").select("row", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("col", "value"))
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.struct("_metadata.file_path", "_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__id"))
+    splits = lines.groupBy("__at").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
+    splits = splits.withColumn("__before", F.sum("__n").over(Window.orderBy("__at")) - F.col("__n"))
+    return lines.join(splits, "__at").select((F.col("__before") + F.col("__id") - F.col("__first")).cast("int").alias(name), "line")
+
+
+def dense_matrix(spark: SparkSession, path: str, row_names: str | None = None, column_names: str | None = None) -> DataFrame:
+    """row, col, value of the cells that aren't zero in a white-space separated matrix, with names where given."""
+    cells = numbered_lines(spark, path, "row").where(F.trim("line") != "").select("row", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("col", "value"))
     cells = cells.withColumn("value", F.col("value").try_cast("double")).where("value <> 0")
     for names, at in ((row_names, "row"), (column_names, "col")):
         if names:
-            named = numbered(names, at).select(at, F.trim("line").alias(f"{at}_name"))
-            cells = cells.join(named, at)
+            cells = cells.join(numbered_lines(spark, names, at).select(at, F.trim("line").alias(f"{at}_name")), at)
     return cells
 
 

@@ -42,6 +42,23 @@ def test_matrix(spark, tmp_path):
     assert sorted((r.row_name, r.col_name, r.value) for r in got.collect()) == [("a", "y", 1.0), ("b", "x", 2.5), ("c", "y", 3.0)]
 
 
+def test_matrix_in_many_splits(spark, tmp_path):
+    rows = [" ".join(str((i * 7 + j) % 5) for j in range(1 + i % 9)) + ("  " if i % 4 else "") if i % 11 else "" for i in range(700)]
+    m, names = put(tmp_path / "big.txt", "\n".join(rows) + "\n\n"), put(tmp_path / "names.txt", "".join(f"n{i}\n" for i in range(700)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        assert spark.read.text(m).rdd.getNumPartitions() > 8
+        got = readers.dense_matrix(spark, m, names)
+        want = {(f"n{i}", j, float(x)) for i, r in enumerate(rows) for j, x in enumerate(r.split()) if x != "0"}
+        found = [(r.row_name, r.col, r.value) for r in got.collect()]
+        assert len(found) == len(want) and set(found) == want
+    finally:
+        for k, v in zip(("maxPartitionBytes", "openCostInBytes"), before):
+            spark.conf.set(f"spark.sql.files.{k}", v)
+
+
 def test_logs_and_folds(spark, tmp_path):
     put(tmp_path / "logs/a/1.log", "start\nindex 3\nremoved relation: binds\n")
     put(tmp_path / "logs/2.log", "index 4\n")
