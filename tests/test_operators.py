@@ -226,3 +226,15 @@ def test_text_helpers(spark):
     texts = spark.createDataFrame([(1, "abc"), (2, " abc "), (3, ""), (4, None), (5, "X"), (6, "some longer text, some longer text")], "id long, t string")
     e = {r.id: list(r.embedding) for r in embed.hashed_embedding(texts, "id", "t", 16).collect()}
     assert e[1] == e[2] and e[3] == e[4] == e[5] and all(sum(x * x for x in v) == pytest.approx(1, abs=1e-5) for v in e.values()) and len(e[6]) == 16
+
+
+def test_blocked_step_shuffles_no_message(spark):
+    """Every message of a hop in cells of sources and destinations: the sums of step(), null names and absent ends included."""
+    from kgloom.storage import materialize
+
+    edges = spark.range(4000).selectExpr("concat('a', id % 60) AS src", "CASE WHEN id % 97 > 0 THEN concat('b', id % 211) END AS dst")
+    state = materialize(spark.range(2000).selectExpr("concat('s', id % 40) AS source", "concat('a', id % 70) AS node", "id AS value"), "state")
+    want, got = diffusion.step(state, edges), diffusion.blocked_step(state, edges, 5000)
+    assert want.exceptAll(got).count() == 0 and got.exceptAll(want).count() == 0 and got.count() > 1000
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "HashAggregate" not in plan.split("FlatMapGroupsInArrow")[0] and "weight" not in edges.columns
