@@ -50,3 +50,15 @@ def test_whole_queries_use_all_rows(spark):
     assert {r.fold for r in q["error_rate_interp_all"](spark, SMALL).collect()} == {0, 1, 2, 3}
     hops, some = q["khop_diffusion_all"](spark, SMALL), q["khop_diffusion"](spark, SMALL)
     assert hops.select("source").distinct().count() > some.select("source").distinct().count() and some.exceptAll(hops).count() == 0
+
+
+def test_score_grid_joins_no_pair(spark):
+    rng = np.random.default_rng(9)
+    u, v, r = rng.normal(size=(12, 6)), rng.normal(size=(31, 6)), rng.normal(size=6)
+    side = lambda x: spark.createDataFrame([(i, a[:3].tolist(), a[3:].tolist()) for i, a in enumerate(x)] + [(99, None, None)], "id long, re array<double>, im array<double>")
+    rel = spark.createDataFrame([(r[:3].tolist(), r[3:].tolist())], "re array<double>, im array<double>")
+    pairs = side(u).selectExpr("id AS head").crossJoin(side(v).selectExpr("id AS tail"))
+    want, got = kge.score_pairs(pairs, side(u), side(v), rel), kge.score_grid(side(u), side(v), rel, 50)
+    assert got.count() == 13 * 32 and want.select("head", "tail", "score").exceptAll(got).count() == 0
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "HashJoin" not in plan and "SortMergeJoin" not in plan
