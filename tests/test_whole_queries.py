@@ -62,3 +62,18 @@ def test_score_grid_joins_no_pair(spark):
     assert got.count() == 13 * 32 and want.select("head", "tail", "score").exceptAll(got).count() == 0
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "HashJoin" not in plan and "SortMergeJoin" not in plan
+
+
+def test_cosine_blocks_grow_with_the_table(spark):
+    """Rows are repeated for as many blocks as there are: a bounded number until blocks are full."""
+    df = spark.range(40_000).selectExpr("id", "array(1.0D, double(id % 7)) AS embedding")
+    pairs = similarity._block_pairs(df, "id", "embedding", True, None)
+    assert pairs.count() == 40_000 * 9 and similarity._block_rows(df, "embedding") == 5000
+
+
+def test_quantile_between_two_steps(spark):
+    """The quantile lies between the last pair of a step and the first of a later one."""
+    x = [[1.0, 0.0], [1.0, 0.001], [0.0, 1.0]]
+    df = spark.createDataFrame(list(enumerate(x)), "id long, embedding array<double>")
+    for q, n in ((0.75, 1), (0.25, 2), (1.0, 0), (0.0, 2)):
+        assert similarity.cosine_above_quantile(df, q, bins=64).count() == n
