@@ -47,3 +47,18 @@ def test_other_blocks_are_not_read(spark, stored):
 def test_empty_matrix(spark, tmp_path):
     matrix.write_matrix(spark.createDataFrame([], "row string, column string, value double"), str(tmp_path / "m"))
     assert matrix.read_matrix(spark, str(tmp_path / "m")).count() == 0
+
+
+def test_blocks_with_few_cells_take_little_room(spark, tmp_path):
+    rows = [(f"r{i:03}", f"c{i:03}", float(i + 1)) for i in range(200)] + [(f"r{i:03}", f"c{j:03}", i + j + 0.5) for i in range(8) for j in range(50)] + [("r150", "c150", 7.0)]
+    cells = {}
+    for r, c, v in rows:
+        cells[r, c] = max(v, cells.get((r, c), v))
+    path = str(tmp_path / "m")
+    matrix.write_matrix(spark.createDataFrame(rows, "row string, column string, value double").repartition(3), path, block_rows=8, block_columns=50)
+    assert {(r.row, r.column): r.value for r in matrix.read_matrix(spark, path).collect()} == cells
+    stored = spark.read.parquet(f"{path}/blocks").selectExpr("row_block", "column_block", "coalesce(octet_length(data), 0) + 8 * coalesce(array_size(cells), 0) AS room").collect()
+    held = lambda b: sum(1 for r, c in cells if int(r[1:]) // 8 == b.row_block and int(c[1:]) // 50 == b.column_block)
+    assert all(b.room <= 8 * held(b) for b in stored)
+    some = matrix.read_matrix(spark, path, ids(spark, ["r003", "r150"]), ids(spark, ["c150", "c007"]), keep_zeros=True)
+    assert {(r.row, r.column): r.value for r in some.collect()} == {("r003", "c007"): 10.5, ("r150", "c150"): 151.0}
