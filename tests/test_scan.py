@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kgloom import schema
 from kgloom.operators import quantiles, scan
 
 
@@ -46,3 +47,14 @@ def test_quantiles_equal_percentile(spark, monkeypatch):
 def test_quantiles_of_nothing(spark):
     assert quantiles.quantiles(spark.createDataFrame([], "x double"), "x", [0.5]).count() == 0
     assert quantiles.quantiles(spark.createDataFrame([(None,)], "x double"), "x", [0.5]).count() == 0
+
+
+def test_parts_follow_the_rows(spark, monkeypatch):
+    """Partitions that adaptive execution put together are dealt out again, and the windows keep their number."""
+    monkeypatch.setattr(schema, "TASK_ROWS", 100)
+    df = spark.range(2000).select((F.col("id") % 2).alias("g"), (F.col("id") % 700).alias("at"), F.lit(1).alias("one"))
+    got = scan.running_sums(df, ["g"], "at", {"n": "one"})
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and ", 20), REPARTITION" in plan
+    rows = got.collect()
+    assert len(rows) == 2000 and all(r.n == sum(1 for i in range(2000) if i % 2 == r.g and i % 700 <= r["at"]) for r in rows)
