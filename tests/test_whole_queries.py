@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kgloom.operators import kge, similarity
+from kgloom import schema
+from kgloom.operators import errorrate, kge, similarity
 from kgloom.plans import registry
 
 SMALL = "/root/testdata/sf0.001"
@@ -77,3 +78,19 @@ def test_quantile_between_two_steps(spark):
     df = spark.createDataFrame(list(enumerate(x)), "id long, embedding array<double>")
     for q, n in ((0.75, 1), (0.25, 2), (1.0, 0), (0.0, 2)):
         assert similarity.cosine_above_quantile(df, q, bins=64).count() == n
+
+
+def test_pairs_of_orders_have_partitions_by_rows(spark, monkeypatch):
+    """Whatever bytes adaptive execution would put together, a task has a bounded number of lines and pairs."""
+    monkeypatch.setattr(schema, "TASK_ROWS", 1000)
+    n = -(-spark.read.parquet(f"{SMALL}/lineitem.parquet").count() // 1000)
+    out = registry.queries()["bool_partition_edges"](spark, SMALL)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert f", {n}), REPARTITION_BY_NUM" in plan and f", {4 * n}), REPARTITION_BY_NUM" in plan
+
+
+def test_predictions_are_not_dealt_by_fold(spark):
+    """Four folds would be four tasks; curves and thresholds are tables of known size, which are broadcast."""
+    preds = spark.range(4000).select((F.col("id") % 4).alias("fold"), (F.col("id") * 37 % 1009).cast("double").alias("score"), (F.col("id") % 3 == 0).alias("test"), (F.col("id") % 3 == 1).alias("negatives"))
+    out = errorrate.error_rates(preds.repartition(5, "score"), 20, 0.0, 1.0, by=["fold"])
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 4000
