@@ -7,11 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgloom.storage import materialize
+
 RATES = ("fnr", "fpr", "tnr", "tpr")
 
 
 def _attach(df: DataFrame, few: DataFrame, by: Sequence[str]) -> DataFrame:
-    """df with the columns of a table that has one row for each value of `by` (such as folds; Spark broadcasts it by its size), or one row in all."""
+    """df with the columns of a table that has one row for each value of `by` (such as folds; it comes from a written table, so Spark knows its size and broadcasts it instead of dealing df out by folds), or one row in all."""
     return df.join(few, list(by)) if by else df.crossJoin(F.broadcast(few))
 
 
@@ -28,7 +30,7 @@ def curve(preds: DataFrame, n: int = 250, score: str = "score", positive: str =
     Each score is compared with the thresholds once: it falls between two of them, scores are counted by that
     place, and the n counts are summed up cumulatively as arrays; nothing is compared n times.
     """
-    th = thresholds(preds, n, score, by)
+    th = materialize(thresholds(preds, n, score, by), "thresholds")
     grid = th.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "t"))), lambda x: x["t"]).alias("ts"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
     rows = _attach(preds.select(*by, F.col(score).cast("double").alias("s"), F.coalesce(positive, F.lit(False)).alias("p"), F.coalesce(negative, F.lit(False)).alias("q")).where(F.col("p") | F.col("q")), grid, by)
     # thresholds at or below s: the guess by division, set right by comparing with its neighbours
@@ -71,4 +73,5 @@ def estimate(preds: DataFrame, rates: DataFrame, n: int = 250, score: str = "sco
 
 def error_rates(preds: DataFrame, n: int = 250, min_fnr: float = 0.5, max_fpr: float = 1.0, by: Sequence[str] = ()) -> DataFrame:
     """Predictions with their estimated rates, those with fnr_est >= min_fnr and fpr_est <= max_fpr."""
-    return estimate(preds, curve(preds, n, by=by), n, by=by).where((F.col("fnr_est") >= min_fnr) & (F.col("fpr_est") <= max_fpr))
+    preds = materialize(preds, "predictions")
+    return estimate(preds, materialize(curve(preds, n, by=by), "curve"), n, by=by).where((F.col("fnr_est") >= min_fnr) & (F.col("fpr_est") <= max_fpr))
