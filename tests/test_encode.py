@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from kgloom.operators import encode
@@ -56,3 +57,18 @@ def test_packing():
     assert encode.packed(sizes, 9) == [(0, 3), (3, 4), (4, 5), (5, 6)] and encode.packed(sizes[:0], 9) == []
     with pytest.raises(ValueError):
         encode.chunks(None, "id", "s", max_tokens=4, overlap=4)
+
+
+def test_texts_are_cut_in_slices():
+    """A batch of long texts is never in tokens as a whole."""
+    texts = pa.array(["A" * 5000] * 9 + ["", "B" * 20_000])
+    got = list(encode.cut(texts, encode.code_points, 512, 64, 12_000))
+    assert len(got) == 4 and all(sum(map(len, g[3])) < 30_000 for g in got)
+    assert [k for g in got for k in g[0]] == sorted(k for g in got for k in g[0]) and sum(w for g in got for w in g[2]) == 65_000
+
+
+def test_chunks_are_not_shuffled(sequences):
+    """Sorting by length takes no exchange, and so no second run of the tokenizer to find its ranges."""
+    parts = encode.chunks(sequences[1], "id", "s", max_tokens=128, overlap=16)
+    plan = encode.encoded_chunks(parts, encode.wave_encoder(2))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == sequences[1]._jdf.queryExecution().executedPlan().toString().count("Exchange")
