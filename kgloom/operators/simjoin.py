@@ -24,6 +24,8 @@ from kgloom.storage import materialize
 
 #: Rows of a block on either side, and the rows that pivots are picked from.
 HOMES, VISITORS, SAMPLE = 2000, 20_000, 4096
+#: Vectors that are copied to their places at a time; one may visit the rings of all pivots.
+DEALT = 100
 PLACE = "cell int, ring long, side int, same int"
 
 
@@ -61,12 +63,12 @@ Places = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 def _dealt(reps: DataFrame, places: Places, vectors: bool) -> DataFrame:
     """A row for each vector and place: cell, ring, side (0 at home, 1 visiting), same (visits its own ring), id and, if asked for, v."""
-    kind = dict(reps.dtypes)["id"]
+    kind, step = dict(reps.dtypes)["id"], DEALT if vectors else HOMES
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, HOMES):
-                part = batch.slice(at, HOMES)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 row, cell, ring, side, same = places(_matrix(part.column("v")))
                 take = pa.array(row, pa.int64())
                 columns = [pa.array(cell, pa.int32()), pa.array(ring, pa.int64()), pa.array(side, pa.int32()), pa.array(same, pa.int32()), part.column("id").take(take)]

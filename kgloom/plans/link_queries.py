@@ -26,7 +26,7 @@ def cosine_join_links(spark, d):
     """The class and the number of links of every vector, by pivots; whole vectors."""
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     join = simjoin.exact_join(rows, LINKED)
-    ends = join.pairs.select(F.col("i").alias("rep")).unionByName(join.pairs.select(F.col("j").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n"))
+    ends = join.pairs.select(F.explode(F.array("i", "j")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n"))
     return join.members.join(ends, "rep", "left").select("id", F.col("rep").alias("class_id"), F.coalesce("n", F.lit(0)).alias("links"))
 
 

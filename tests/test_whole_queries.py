@@ -94,3 +94,8 @@ def test_predictions_are_not_dealt_by_fold(spark):
     preds = spark.range(4000).select((F.col("id") % 4).alias("fold"), (F.col("id") * 37 % 1009).cast("double").alias("score"), (F.col("id") % 3 == 0).alias("test"), (F.col("id") % 3 == 1).alias("negatives"))
     out = errorrate.error_rates(preds.repartition(5, "score"), 20, 0.0, 1.0, by=["fold"])
     assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 4000
+
+
+def test_links_multiply_blocks_once(spark):
+    out = registry.queries()["cosine_join_links"](spark, SMALL)
+    assert out._jdf.queryExecution().executedPlan().toString().count("FlatMapGroupsInArrow") == 1
