@@ -99,3 +99,9 @@ def test_predictions_are_not_dealt_by_fold(spark):
 def test_links_multiply_blocks_once(spark):
     out = registry.queries()["cosine_join_links"](spark, SMALL)
     assert out._jdf.queryExecution().executedPlan().toString().count("FlatMapGroupsInArrow") == 1
+
+
+def test_hops_read_written_edges(spark):
+    """Each hop would filter and shuffle the lines again."""
+    plan = registry.queries()["leave_one_out_paths"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem.parquet" not in plan
