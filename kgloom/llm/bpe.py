@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from kgloom.llm.common import fresh
+from kgloom.llm.common import fresh, released
 
 #: A worker keeps so many words it has met of late, and as many of the time before; and so many known seams. Results don't depend on it.
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 100_000
 #: Words, in sorted order, whose trie is held at a time.
 TRIE_WORDS = 20_000
 #: Bytes of text that are cut into words at a time.
@@ -345,7 +345,7 @@ def with_codes(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.slice(done, len(n)).columns, ids, joined(ids, names)], names=[*batch.schema.names, "ids", "decoded"])
                 done += len(n)
 
-    return docs.mapInArrow(each, schema)
+    return docs.mapInArrow(released(each), schema)
 
 
 def _lists(lengths: np.ndarray, ids: np.ndarray) -> pa.ListArray:

@@ -23,6 +23,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from kgloom.llm.common import released
 from pyspark.sql.pandas.types import to_arrow_type
 
 RATE = 0.05
@@ -139,7 +141,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 n, item, distance, end = zip(*found) if found else ((), (), (), ())
                 yield pa.RecordBatch.from_arrays([own.take(pa.array(n, pa.int64())), pa.array(item, item_arrow), pa.array(distance, pa.int32()), pa.array(end, pa.int32())], ["doc_id", "item_id", "distance", "passage_end"])
 
-        parts.append(rows.mapInArrow(each, schema))
+        parts.append(rows.mapInArrow(released(each), schema))
     return reduce(DataFrame.union, parts) if parts else rows.sparkSession.createDataFrame([], schema)
 
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import materialize, split_join, with_marks, without_rows
+from kgloom.llm.common import materialize, released, split_join, with_marks, without_rows
 from kgloom.llm.components import components
 
 RADIUS = 3
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), _fingerprints(b.column(1)), *b.columns[2:]], ["id", "fp", *names])
 
     kind = docs.select(id_col).dtypes[0][1]
-    return docs.select(id_col, text_col, *marks).mapInArrow(each, ", ".join([f"id {kind}", "fp long", *["x long", "y int"][: len(marks)]]))
+    return docs.select(id_col, text_col, *marks).mapInArrow(released(each), ", ".join([f"id {kind}", "fp long", *["x long", "y int"][: len(marks)]]))
 
 
 def variants(radius: int = RADIUS) -> list[tuple[int, int]]:
@@ -139,7 +139,7 @@ def links(fps: DataFrame) -> DataFrame:
     """a, b: links that connect the distinct fingerprints fps(fp) as all pairs within RADIUS would."""
     table = F.array(*[F.struct(F.lit(f).alias("flip"), F.lit(k).alias("keep")) for f, k in variants()])
     keys = fps.select("fp", F.explode(table).alias("x")).select(F.col("fp").bitwiseXOR(F.col("x.flip")).bitwiseAND(F.col("x.keep")).alias("key"), "fp")
-    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(_meet, "a long, b long").distinct()
+    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(released(_meet), "a long, b long").distinct()
 
 
 def groups(fps: DataFrame) -> DataFrame:

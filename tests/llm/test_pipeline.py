@@ -78,3 +78,16 @@ def test_stages_on_an_empty_table(spark, tmp_path):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SMALL).columns == docs.columns
+
+
+def test_arrow_memory_is_given_back_after_each_batch(monkeypatch):
+    import pyarrow as pa
+
+    from kgloom.llm import bpe, common
+
+    calls = []
+    pool = type("Pool", (), {"release_unused": lambda self: calls.append(1)})()
+    monkeypatch.setattr(common.pa, "default_memory_pool", lambda: pool)
+    batches = [pa.RecordBatch.from_pydict({"x": [k]}) for k in range(3)]
+    assert list(common.released(lambda b: b)(iter(batches))) == batches and len(calls) == 3
+    assert bpe.KNOWN_WORDS <= 100_000
