@@ -238,3 +238,26 @@ def test_blocked_step_shuffles_no_message(spark):
     assert want.exceptAll(got).count() == 0 and got.exceptAll(want).count() == 0 and got.count() > 1000
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan and "HashAggregate" not in plan.split("FlatMapGroupsInArrow")[0] and "weight" not in edges.columns
+
+
+def test_blocked_step_shuffles_states_and_edges_once(spark):
+    """Rows that are shuffled don't grow with the pairs of blocks; far more messages than rows, sums beyond doubles, negative values, and few sums among many places."""
+    from kgloom.storage import materialize
+
+    store = spark.sparkContext._jsc.sc().statusStore()
+    none, doubles_ = spark.sparkContext._jvm.java.util.ArrayList(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def shuffled():
+        stages = store.stageList(None, False, False, doubles_, none)
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    edges = materialize(spark.range(1200).selectExpr("concat('a', id % 40) AS src", "concat('b', id) AS dst"), "edges")
+    for value in ("IF(id % 5 = 0, -id, id)", "IF(id % 5 = 0, -id, 9007199254740993 + id)"):
+        state = materialize(spark.range(4800).selectExpr("CASE WHEN id % 1600 > 3 THEN concat('s', id % 1600) END AS source", "concat('a', id % 43) AS node", f"{value} AS value"), "state")
+        want, sent = materialize(diffusion.step(state, edges), "want"), []
+        for most in (4000, 400):
+            before = shuffled()
+            got = materialize(diffusion.blocked_step(state, edges, most), "got")
+            sent.append(shuffled() - before)
+            assert want.exceptAll(got).count() == 0 and got.exceptAll(want).count() == 0 and got.count() > 100_000
+        assert sent[1] < 1.2 * sent[0] and sent[1] < 4 * (4800 + 1200)
