@@ -261,3 +261,12 @@ def test_blocked_step_shuffles_states_and_edges_once(spark):
             sent.append(shuffled() - before)
             assert want.exceptAll(got).count() == 0 and got.exceptAll(want).count() == 0 and got.count() > 100_000
         assert sent[1] < 1.2 * sent[0] and sent[1] < 4 * (4800 + 1200)
+
+
+def test_hops_start_at_every_supplier(spark):
+    """No supplier with a path of three hops is left out, by the query or its SQL."""
+    from kgloom.plans import graph_queries as g
+
+    d = "/root/testdata/sf0.001"
+    want = g.target(spark, d).join(spark.read.parquet(f"{d}/supplier.parquet").selectExpr("s_suppkey AS head"), "head").select("head").distinct().count()
+    assert g.khop_diffusion(spark, d).select("source").distinct().count() == want > 1 and "% 50" not in g.ORACLE_SQL["khop_diffusion"]
